@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-DIGITS = 8
+DIGITS = 6
 _REGISTRY: dict[str, "Query"] = {}
 
 
@@ -29,10 +29,11 @@ class Query:
     build: Callable[[Tables], DataFrame]
     sql: str | None
     floats: tuple[str, ...]
+    digits: int = DIGITS
 
     def __call__(self, spark: SparkSession, path: str) -> DataFrame:
         df = self.build(Tables(spark, path))
-        return df.withColumns({c: F.round(F.col(c), DIGITS) for c in self.floats}) if self.floats else df
+        return df.withColumns({c: F.round(F.col(c), self.digits) for c in self.floats}) if self.floats else df
 
     @property
     def oracle(self) -> str | None:
@@ -41,17 +42,17 @@ class Query:
         body = with_panels(self.sql)
         if not self.floats:
             return body
-        fixes = ", ".join(f"round({c}, {DIGITS}) + 0.0 AS {c}" for c in self.floats)
+        fixes = ", ".join(f'round("{c}", {self.digits}) + 0.0 AS "{c}"' for c in self.floats)
         return f"SELECT * REPLACE ({fixes}) FROM ({body})"
 
 
-def query(name: str, sql: str | None = None, floats: str = ""):
+def query(name: str, sql: str | None = None, floats: str = "", digits: int = DIGITS):
     """Register ``fn(tables) -> DataFrame``; ``floats`` are rounded on both sides."""
 
     def wrap(fn: Callable[[Tables], DataFrame]):
         if name in _REGISTRY:
             raise ValueError(f"query {name} registered twice")
-        _REGISTRY[name] = Query(name, fn, sql, tuple(floats.split()))
+        _REGISTRY[name] = Query(name, fn, sql, tuple(floats.split()), digits)
         return fn
 
     return wrap
