@@ -1,2 +1,2 @@
 """Importing this module registers every query."""
-from . import feature_queries, panel_queries  # noqa: F401
+from . import feature_queries, join_queries, panel_queries  # noqa: F401
