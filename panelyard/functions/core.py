@@ -98,3 +98,26 @@ def norm_cdf(c: ColumnLike) -> Column:
 def add_columns(df: DataFrame, **exprs: Column) -> DataFrame:
     """withColumns with keyword names; expressions sharing a window share one sort."""
     return df.withColumns(exprs)
+
+
+# Coefficients of Acklam's rational approximation of the normal quantile.
+_PPF_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+_PPF_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+_PPF_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+_PPF_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+
+
+def _poly(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(0.0)
+    for c in coefficients:
+        out = out * x + c
+    return out
+
+
+def norm_ppf(c: ColumnLike) -> Column:
+    """Standard normal quantile (relative error < 1.2e-9)."""
+    p = col(c)
+    q, tail = p - 0.5, F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    middle = _poly(_PPF_A, q * q) * q / _poly(_PPF_B, q * q)
+    low = _poly(_PPF_C, tail) / _poly(_PPF_D, tail)
+    return F.when((p <= 0) | (p >= 1), None).when(p < 0.02425, low).when(p > 1 - 0.02425, -low).otherwise(middle)

@@ -1,2 +1,2 @@
 """Importing this module registers every query."""
-from . import feature_queries, graph_queries, join_queries, panel_queries  # noqa: F401
+from . import feature_queries, graph_queries, harness_queries, join_queries, panel_queries  # noqa: F401
