@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import clip, ratio, so_far
+from ..session import settle
 from .joins import nearest
 
 # Score weights, caps, gates and expected moves by class and horizon.
@@ -269,6 +270,7 @@ NEUTRAL, REVERT = 0.005, 0.5
 
 def signal_persistence(outcomes: DataFrame, detections: DataFrame) -> DataFrame:
     """confirmed / revised_away / unknown: detector severity nearest to exit against open."""
+    outcomes = settle(outcomes)  # read three times below
     det = detections.groupBy("entity", "date").agg(F.max_by("severity", F.abs("severity")).alias("severity"))
     o = nearest(outcomes.select("gap_id", "entity", F.col("opened").alias("date")), det, ["entity"], "severity").select("gap_id", F.col("severity").alias("_z0"))
     e = nearest(outcomes.filter(F.col("exit").isNotNull()).select("gap_id", "entity", F.col("exit").alias("date")), det, ["entity"], "severity").select("gap_id", F.col("severity").alias("_z1"))

@@ -283,3 +283,125 @@ def walk_forward_weights(ic: DataFrame, shrink: float) -> DataFrame:
         "mean_ic",
         F.when(F.col("_t") > 0, F.col("_s") / F.col("_t")).otherwise(1 / F.col("_n")).alias("weight"),
     )
+
+
+def composite_scores(signals: DataFrame, weights: DataFrame, regimes: DataFrame) -> DataFrame:
+    """Regime-weighted sum of signals (date, entity, variable, value) per entity and date.
+
+    A missing signal counts as 0; a date's weights are normalised over the variables it has.
+    """
+    w = regimes.select("date", "regime").join(weights.select("regime", "variable", "weight"), "regime")
+    have = signals.select("date", "variable").distinct().join(w, ["date", "variable"])
+    tot = have.groupBy("date").agg(F.sum("weight").alias("_t"), F.count("*").alias("_n"))
+    have = have.join(tot, "date").withColumn("_w", F.when(F.col("_t") > 0, F.col("weight") / F.col("_t")).otherwise(1 / F.col("_n")))
+    return (
+        signals.join(have.select("date", "variable", "_w"), ["date", "variable"])
+        .groupBy("date", "entity").agg(F.sum(F.coalesce("value", F.lit(0.0)) * F.col("_w")).alias("score"))
+    )
+
+
+def quintile_spread(scores: DataFrame, returns: DataFrame, k: int = 5, minimum: int = 10, ret: str = "ret") -> DataFrame:
+    """Equal-weight top minus bottom k-tile of each date (tiles by position, ties by key)."""
+    j = scores.join(returns.select("date", "entity", ret), ["date", "entity"]).filter(F.col(ret).isNotNull())
+    p = positions(j, ["date"], "score", ["entity"], out="_p", total="_n").filter(F.col("_n") >= minimum)
+    # cut points at 1 + (n-1) i/k on positions, intervals closed on the right
+    p = p.withColumn("_hi", F.col("_p") > 1 + (F.col("_n") - 1) * (k - 1) / k).withColumn("_lo", F.col("_p") <= 1 + (F.col("_n") - 1) / k)
+    return p.groupBy("date").agg((F.avg(F.when(F.col("_hi"), F.col(ret))) - F.avg(F.when(F.col("_lo"), F.col(ret)))).alias("ret_ls"), F.max("_n").alias("n"))
+
+
+def month_end_portfolio(signal: DataFrame, returns: DataFrame, n_top: int, rebalances: DataFrame) -> DataFrame:
+    """Top-N equal weights from signals strictly before each rebalance date, held until the
+    next one; turnover is measured against the drifted weights.
+
+    signal (date, entity, value), returns (date, entity, ret), rebalances (date).
+    """
+    from .joins import asof
+
+    reb = rebalances.select("date").distinct()
+    w = Window.orderBy("date")
+    reb = reb.withColumns({"_next": F.lead("date").over(w), "_k": F.row_number().over(w)})
+    # signals strictly before a rebalance: each signal date maps to the rebalance after it
+    names = signal.select("entity").distinct().join(reb.agg(F.collect_set("date").alias("_r"))).select("entity", F.explode("_r").alias("date"))
+    s = asof(names, signal.filter(F.col("value").isNotNull()).withColumnRenamed("value", "score"), ["entity"], ["score"], strict=True)
+    top = positions(s, ["date"], "score", ["entity"], descending=True, out="_p", total="_n").filter(F.col("_p") <= n_top)
+    cnt = top.groupBy("date").agg(F.count("*").alias("_c"))
+    book = top.join(cnt, "date").join(reb, "date").select(F.col("date").alias("rebalance"), "entity", (1 / F.col("_c")).alias("weight"), "_k", "_next")
+    # each return date belongs to the rebalance before it: map the short list of dates
+    dates = returns.select("date").distinct()
+    u = dates.select("date", F.lit(1).alias("_s"), F.lit(None).cast("date").alias("_b")).unionByName(reb.select("date", F.lit(2).alias("_s"), F.col("date").alias("_b")))
+    m = u.withColumn("rebalance", F.last("_b", ignorenulls=True).over(Window.orderBy("date", "_s").rowsBetween(Window.unboundedPreceding, 0))).filter("_s = 1 AND rebalance IS NOT NULL").select("date", "rebalance")
+    held = returns.filter(F.col("ret").isNotNull()).join(m, "date").join(book, ["rebalance", "entity"])
+    growth = held.groupBy("rebalance", "entity").agg(F.exp(F.sum(F.log1p("ret"))).alias("_g"))
+    b = book.join(growth, ["rebalance", "entity"], "left").withColumn("_v", F.col("weight") * F.coalesce("_g", F.lit(1.0)))
+    tot = b.groupBy("rebalance").agg(F.sum("_v").alias("_t"))
+    b = b.join(tot, "rebalance").withColumn("_drift", F.col("_v") / F.col("_t"))
+    prev = b.filter(F.col("_next").isNotNull()).select(F.col("_next").alias("rebalance"), "entity", F.col("_drift").alias("_old"))
+    chg = b.select("rebalance", "entity", "weight").join(prev, ["rebalance", "entity"], "full").groupBy("rebalance").agg(
+        (F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0)))) / 2).alias("turnover"))
+    ret = tot.withColumn("period_return", F.col("_t") - 1).select("rebalance", "period_return")
+    return ret.join(chg, "rebalance")
+
+
+def half_sample_funnel(df: DataFrame, prior: str, half_min: float = 0.0, deflated_min: float = -10.0, min_half: int = 24, periods: int = 12) -> DataFrame:
+    """Factors matching a prior with both variants, positive in both halves and above the
+    deflation term in both variants; input (factor, date, value) with _CS/_TS names."""
+    from ..plans.harness import expected_max_sharpe
+
+    d = df.filter(F.col("value").isNotNull() & F.col("factor").rlike("_(CS|TS)$")).withColumns(
+        {"base": F.regexp_replace("factor", "_(CS|TS)$", ""), "variant": F.regexp_extract("factor", "_(CS|TS)$", 1)}).filter(F.col("base").rlike(prior))
+    w = Window.partitionBy("factor").orderBy("date")
+    d = d.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy("factor"))}).withColumn("_h", F.when(F.col("_i") <= F.floor(F.col("_n") / 2), 1).otherwise(2))
+
+    def sh(c: Column) -> Column:
+        v = F.when(c, F.col("value"))
+        return F.avg(v) / F.stddev_samp(v) * periods**0.5
+
+    h1, h2 = F.col("_h") == 1, F.col("_h") == 2
+    v = d.groupBy("base", "variant").agg(F.count("*").alias("n"), F.count(F.when(h1, 1)).alias("n1"), F.count(F.when(h2, 1)).alias("n2"), sh(F.lit(True)).alias("sharpe"), sh(h1).alias("s1"), sh(h2).alias("s2"))
+    pairs = v.groupBy("base").agg(F.count("*").alias("_v"), F.min("n").alias("n_obs"), F.min(F.least("n1", "n2")).alias("_mh"), F.min("sharpe").alias("min_sharpe"), F.min(F.least("s1", "s2")).alias("min_half_sharpe")).filter("_v = 2")
+    tot = pairs.agg((F.count("*") * 2).alias("_trials"), F.percentile("n_obs", F.lit(0.5)).alias("_T"))
+    j = pairs.join(tot).withColumn("deflation", expected_max_sharpe(F.col("_trials"), F.col("_T")) * periods**0.5)
+    keep = (F.col("_mh") >= min_half) & (F.col("min_half_sharpe") > half_min) & (F.col("min_sharpe") - F.col("deflation") >= deflated_min)
+    return j.select("base", "n_obs", "min_sharpe", "min_half_sharpe", "deflation", keep.alias("survives"))
+
+
+def walk_forward_ridge(features: DataFrame, returns: DataFrame, names: Sequence[str], alpha: float = 1.0, minimum: int = 4, min_rows: int = 200) -> DataFrame:
+    """Scores from a ridge refit every year on all earlier rows.
+
+    features (date, entity, variable, value) signed so that higher is better: z per date,
+    at least ``minimum`` present, missing ones 0; label = next row's return less its date
+    mean.  The normal equations of each year are sums, accumulated over years; only
+    years x d x d numbers are solved, in the job.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from .normalise import cross_z
+
+    d = len(names)
+    z = cross_z(features.filter(F.col("variable").isin(*names)), ("date", "variable"))
+    wide = z.groupBy("date", "entity").agg(*[F.coalesce(F.max(F.when(F.col("variable") == v, F.col("z"))), F.lit(0.0)).alias(f"x{i}") for i, v in enumerate(names)], F.count("z").alias("_c")).filter(F.col("_c") >= minimum)
+    nxt = returns.withColumn("_y", F.lead("ret").over(Window.partitionBy("entity").orderBy("date"))).select("date", "entity", "_y")
+    mean = nxt.groupBy("date").agg(F.avg("_y").alias("_m"))
+    j = wide.join(nxt.join(mean, "date").withColumn("_y", F.col("_y") - F.col("_m")).drop("_m"), ["date", "entity"], "left")
+    lab = j.filter(F.col("_y").isNotNull())
+    cols = [F.sum(F.col(f"x{a}") * F.col(f"x{b}")).alias(f"g{a}_{b}") for a in range(d) for b in range(a, d)] + [F.sum(F.col(f"x{a}") * F.col("_y")).alias(f"b{a}") for a in range(d)]
+    per = lab.groupBy(F.year("date").alias("_year")).agg(*cols, F.count("*").alias("_n"))
+    # cumulative sums up to the year before; the last label of a year ends in the next one
+    w = Window.orderBy("_year").rowsBetween(Window.unboundedPreceding, -1)
+    cum = per.select("_year", *[F.sum(c).over(w).alias(c) for c in per.columns if c != "_year"]).filter(F.col("_n") >= min_rows)
+
+    def solve(batches):
+        for p in batches:
+            out = []
+            for _, r in p.iterrows():
+                g = np.zeros((d, d))
+                for a in range(d):
+                    for b in range(a, d):
+                        g[a, b] = g[b, a] = r[f"g{a}_{b}"]
+                out.append((int(r["_year"]), np.linalg.solve(g + alpha * np.eye(d), np.array([r[f"b{a}"] for a in range(d)])).tolist()))
+            yield pd.DataFrame(out, columns=["_year", "_coef"])
+
+    coef = cum.mapInPandas(solve, "_year int, _coef array<double>")
+    score = sum(F.col(f"x{i}") * F.col("_coef")[i] for i in range(d))
+    return wide.withColumn("_year", F.year("date")).join(coef, "_year").select("date", "entity", score.alias("score"))

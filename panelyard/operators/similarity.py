@@ -57,7 +57,7 @@ def top_k_cosine(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: i
     d = df.select(key, F.col(vector).cast("array<double>").alias("_v"))
 
     def fn(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"focal": [], "neighbor": [], "sim": []})
+        empty = _no_rows("focal", "neighbor", "sim")
         if a.empty or b.empty:
             return empty
         x, y = _unit(np.stack(a["_v"].to_numpy())), _unit(np.stack(b["_v"].to_numpy()))
@@ -66,6 +66,10 @@ def top_k_cosine(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: i
     return top_per_focal(block_pairs(d, key, [], fn, schema, block_rows), k)
 
 
+def _no_rows(*columns: str) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     n[n == 0] = 1.0
@@ -107,7 +111,7 @@ def fundamental_twins(
     def fn(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         cols = ["month", "focal", "neighbor", "sim"]
         if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in cols})
+            return _no_rows(*cols)
         names = sorted({v for r in (*a["_names"], *b["_names"]) for v in r})
         at = {v: i for i, v in enumerate(names)}
 
@@ -148,7 +152,7 @@ def lead_lag_edges(
     def fn(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         cols = ["month", "leader", "follower", "corr"]
         if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in cols})
+            return _no_rows(*cols)
 
         def dense(p: pd.DataFrame) -> np.ndarray:
             m = np.full((len(p), window), np.nan)
@@ -186,7 +190,7 @@ def correlated_pairs(df: DataFrame, cap: float, name: str = "variable", value: s
 
     def fn(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": [], "corr": []})
+            return _no_rows("a", "b", "corr")
         width = 1 + max(int(np.max(i)) for i in (*a["_i2"], *b["_i2"]))
 
         def dense(p):

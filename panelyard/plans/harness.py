@@ -416,7 +416,7 @@ def spanning(df: DataFrame, factors: DataFrame, models: dict[str, Sequence[str]]
         n = len(pdf)
         cols = ["entity", "model", "n_obs", "alpha", "alpha_t", "r2", "betas"]
         if n < minimum:
-            return pd.DataFrame({c: [] for c in cols})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in cols})
         y = pdf["ret"].to_numpy(float)
         x = np.column_stack([np.ones(n), np.vstack(pdf["_x"].to_numpy())])
         g = np.linalg.pinv(x.T @ x)
