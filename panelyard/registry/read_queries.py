@@ -1,5 +1,6 @@
 """Read functions, contracts and streaming replays."""
 import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -24,9 +25,9 @@ def _(t):
     return Q.event_window(B.user_daily(t), 7, "2024-01-15", 5, 10, ["click", "view"])
 
 
-@query("Q2_events_in_window", f"""SELECT * FROM {SHOCKS} WHERE event_date <= DATE '2024-01-22' AND coalesce(end_date,event_date) >= DATE '2024-01-05' AND category='policy' AND severity IN (3,4) AND (is_global OR list_contains(string_split(countries_affected, ', '),'U1')) AND list_has_any(string_split(tags, ','),['odd'])""")
+@query("Q2_events_in_window", f"""SELECT * FROM {SHOCKS} WHERE event_date <= DATE '2024-01-22' AND coalesce(end_date,event_date) >= DATE '2024-01-05' AND category='policy' AND severity IN (3,5) AND (is_global OR list_contains(string_split(countries_affected, ', '),'U1')) AND list_has_any(string_split(tags, ','),['odd'])""")
 def _(t):
-    return Q.events_in_window(shocks(t), "2024-01-05", "2024-01-22", "U1", "policy", [3, 4], ["odd"])
+    return Q.events_in_window(shocks(t), "2024-01-05", "2024-01-22", "U1", "policy", [3, 5], ["odd"])
 
 
 @query("Q3_J14_market_snapshot", f"""WITH {OUTC}, sn AS (SELECT outcome_id, market_id, probability, CAST(o_orderdate AS DATE) AS snapshot_date FROM fl JOIN orders ON o_orderkey=outcome_id), me AS (SELECT DISTINCT market_id, category FROM fl)
@@ -122,16 +123,14 @@ def _(t):
 
 def event_stream(t):
     """The events file read as a stream (file source)."""
-    return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.path)
+    raw = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.path)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _drain(df, name, mode="append"):
-    from ..session import settle
-
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     folder = tempfile.mkdtemp(prefix="panelyard-stream-") if where is None else f"{where}/{name}"
-    import uuid
-
     table = f"{name}_{uuid.uuid4().hex[:8]}"
     return ST.run_to_end(df, table, f"{folder}/{table}", mode)
 
@@ -149,3 +148,27 @@ def _(t):
 @query("ST7_activity_sessions", """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS c FROM events)) GROUP BY user_id, s""")
 def _(t):
     return _drain(ST.activity_sessions(event_stream(t), "user_id", "ts", "12 hours"), "st7", "complete")
+
+
+def user_days(t):
+    e = event_stream(t)
+    return e.select(F.col("event_type").alias("detector"), F.col("user_id").cast("string").alias("entity"), F.to_date("ts").alias("date"), F.when(F.col("value") >= 30, F.col("value") / 30).alias("severity"), "value")
+
+
+@query("ST3_detector_states", """WITH s AS (SELECT event_type AS detector, user_id::VARCHAR AS entity, CAST(ts AS DATE) AS date, min(CASE WHEN value>=30 THEN value/30 END) AS sev FROM events GROUP BY 1,2,3), g AS (SELECT *, count(*) FILTER (sev IS NULL) OVER (PARTITION BY detector, entity ORDER BY date) AS grp, lag(sev) OVER (PARTITION BY detector, entity ORDER BY date) AS prev FROM s),
+   r AS (SELECT *, row_number() OVER (PARTITION BY detector, entity, grp, sev IS NULL ORDER BY date) AS n, min(date) OVER (PARTITION BY detector, entity, grp, sev IS NULL) AS f FROM g), p AS (SELECT *, lag(n) OVER (PARTITION BY detector, entity ORDER BY date) AS pn, lag(f) OVER (PARTITION BY detector, entity ORDER BY date) AS pf FROM r)
+   SELECT detector, entity, date, CASE WHEN sev IS NULL THEN 'resolved' WHEN prev IS NULL THEN 'new' WHEN sev>=1.2*prev THEN 'intensifying' WHEN sev<=0.8*prev THEN 'fading' ELSE 'persisting' END AS status, coalesce(sev,0.0) AS severity, CASE WHEN sev IS NULL THEN pf ELSE f END AS first_seen, CASE WHEN sev IS NULL THEN pn ELSE n END AS days_active FROM p WHERE sev IS NOT NULL OR prev IS NOT NULL""", "severity")
+def _(t):
+    return _drain(ST.detector_states(user_days(t).drop("value")), "st3")
+
+
+@query("ST4_episode_events")
+def _(t):
+    d = user_days(t).select(F.concat_ws("|", "detector", "entity").alias("episode_key"), "date", (F.col("value") > 40).alias("trigger"), ((F.col("value") % 7 - 3) / 100).alias("ret"))
+    return _drain(ST.episode_events(d, 0.03, 20), "st4")
+
+
+@query("ST6_smoothed_state", """WITH s AS (SELECT user_id::VARCHAR AS entity, CAST(ts AS DATE) AS date, min(value) AS value FROM events GROUP BY 1,2) SELECT entity, date, value, list_reduce(array_agg(value) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING), lambda a, x: a*(1-2.0/11)+x*2.0/11) AS ewm,
+   CASE WHEN count(value) OVER w >= 5 AND stddev_pop(value) OVER w > 0 THEN (value-avg(value) OVER w)/stddev_pop(value) OVER w END AS z FROM s WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "value ewm z")
+def _(t):
+    return _drain(ST.smoothed(user_days(t).select("entity", "date", "value"), 10, 5), "st6")

@@ -56,7 +56,7 @@ class DetectorState(StatefulProcessor):
         self.state = handle.getValueState("active", DETECTOR_STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("date", kind="stable")
+        pdf = pd.concat(list(rows)).sort_values(["date", "severity"], kind="stable")
         cur = self.state.get() if self.state.exists() else None
         out = []
         for r in pdf.itertuples(index=False):
@@ -102,7 +102,7 @@ class EpisodeState(StatefulProcessor):
         self.state = handle.getValueState("episode", "instance long, opened date, last_date date, cum double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("date", kind="stable")
+        pdf = pd.concat(list(rows)).sort_values(["date", "trigger", "ret"], kind="stable")
         inst, opened, last, cum = self.state.get() if self.state.exists() else (0, None, None, 0.0)
         out = []
         for r in pdf.itertuples(index=False):
@@ -146,7 +146,7 @@ class SmoothState(StatefulProcessor):
         self.state = handle.getValueState("moments", "n long, mean double, m2 double, ewm double, last_date date")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("date", kind="stable")
+        pdf = pd.concat(list(rows)).sort_values(["date", "value"], kind="stable")
         n, mean, m2, ewm, last = self.state.get() if self.state.exists() else (0, 0.0, 0.0, None, None)
         out = []
         for r in pdf.itertuples(index=False):
