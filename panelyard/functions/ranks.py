@@ -124,14 +124,16 @@ def average_ranks(
     out: str = "rank",
     total: str = "group_n",
     distinct: str | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Tie-averaged ranks (1-based) of the non-null values; NULL values get NULL.
 
     Equal values are counted before anything is ordered, so a value shared by very many
-    rows costs one row.  ``distinct`` names a column for the number of different values.
+    rows costs one row.  ``distinct`` names a column for the number of different values;
+    ``fits`` passes on the outcome of a size check already made for the same groups.
     """
     by = list(by)
-    if groups_fit_one_task(df, by):
+    if groups_fit_one_task(df, by) if fits is None else fits:
         # NULL values sort last and are not counted, so they do not shift any rank.
         w = Window.partitionBy(*by)
         up = w.orderBy(F.col(value).asc_nulls_last())

@@ -237,6 +237,7 @@ def score_outcomes(episodes: DataFrame, prices: DataFrame, index_returns: DataFr
     ep = ep.join(own, ["_e", "_x", "ticker"], "left").join(ew, ["_e", "_x"], "left").join(
         days.select(F.col("_i").alias("_e"), F.col("date").alias("entry")), "_e", "left").join(
         days.select(F.col("_i").alias("_x"), F.col("date").alias("exit")), "_x", "left")
+    ep = settle(ep)  # its entry and exit dates are looked up below
     # compounded index return over (entry, exit]: cumulative log at the last row <= each end
     from .joins import asof
 

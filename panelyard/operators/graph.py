@@ -163,6 +163,8 @@ def bloc_mean(metric: DataFrame, members: DataFrame, value: str = "value", out:
 def metrics_from_returns(returns: DataFrame, fill: int = 5) -> dict[str, DataFrame]:
     """21- and 63-row returns, drawdown and deep-drawdown flag on the common calendar."""
 
+    returns = settle(returns)
+
     def on_cal(d: DataFrame, c: str) -> DataFrame:
         return on_calendar(d.select("date", "entity", F.col(c).alias("value")), fill, ["entity"], ["value"])
 
@@ -177,6 +179,8 @@ def metrics_from_returns(returns: DataFrame, fill: int = 5) -> dict[str, DataFra
 
 def network_features(metrics: dict[str, DataFrame], trade: DataFrame, bank: DataFrame, holder: DataFrame) -> DataFrame:
     """The seven neighbour features of one weight regime in tidy form."""
+    metrics = {k: settle(d) for k, d in metrics.items()}  # each is read several times
+    trade, bank, holder = settle(trade), settle(bank), settle(holder)
 
     def level(d: DataFrame, e: DataFrame, name: str) -> DataFrame:
         return neighbour_mean(d, e).select("date", "entity", F.col("nbr").alias("value"), F.lit(name).alias("variable"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import before, clip, series, so_far
 from ..functions.ranks import positions
+from ..session import settle
 
 # Full weight below the first rank fraction, none above the second.
 BAND_TOP, BAND_CUTOFF = 0.15, 0.25
@@ -114,6 +115,7 @@ def next_day_factor_returns(
         .join(benchmark, "date")
         .withColumn("net", F.coalesce(F.col("gross") - F.col("bench"), F.lit(0.0)))
     )
+    port = settle(port)  # one row per factor and date, read twice
     moving = port.groupBy("variable").agg(F.sum(F.abs("net")).alias("_a")).filter(F.col("_a") > 0)
     return port.join(moving.select("variable"), "variable", "left_semi")
 
@@ -149,6 +151,22 @@ def contributions(membership: DataFrame, factor_returns: DataFrame) -> DataFrame
     ).withColumn("contribution", F.col("weight") * F.col("factor_return"))
 
 
+def factor_contributions(signal: DataFrame, returns: DataFrame, source: str, value: str = "value", ret: str = "ret") -> DataFrame:
+    """Membership weights, net factor returns and contributions from one ranking pass."""
+    both = settle(
+        signal.filter(F.col(value).isNotNull()).join(returns.filter(F.col(ret).isNotNull()).select("date", "entity", ret), ["date", "entity"])
+    )
+    members = settle(soft_band_weights(both, ("variable", "date"), value))
+    bench = returns.groupBy("date").agg(F.avg(ret).alias("_b"))
+    net = (
+        members.groupBy("variable", "date").agg(F.sum(F.col("weight") * F.col(ret)).alias("_g"))
+        .join(bench, "date")
+        .select("date", F.col("variable").alias("factor"), (F.col("_g") - F.col("_b")).alias("value"), F.lit(source).alias("source"))
+    )
+    m = members.select("date", "entity", F.col("variable").alias("factor"), "weight", F.lit(source).alias("source"))
+    return contributions(m, net)
+
+
 def attribution(contrib: DataFrame, by_magnitude: bool, n: int | None = None) -> DataFrame:
     """Summed contribution per entity and factor, ordered by sign or by magnitude."""
     tot = contrib.groupBy("entity", "factor").agg(

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.core import clean, clip
 from ..functions.ranks import average_ranks
+from ..session import settle
 
 BLOCK_ROWS = 2048
 
@@ -94,7 +95,7 @@ def fundamental_twins(
     month's variables are left out, missing variables count as 0, values are bounded, months
     with fewer than ``minimum`` entities are dropped.
     """
-    d = panel.withColumn("value", clean("value")).filter(F.col("value").isNotNull())
+    d = settle(panel.withColumn("value", clean("value")).filter(F.col("value").isNotNull()))
     # a month has as many variables as the catalogue, so its distinct count is small
     nv = d.groupBy("month").agg(F.countDistinct("variable").alias("_nv"))
     vec = (
@@ -104,9 +105,9 @@ def fundamental_twins(
         .filter(F.col("_c") >= coverage * F.col("_nv"))
     )
     ok = vec.groupBy("month").agg(F.count("*").alias("_n")).filter(F.col("_n") >= minimum)
-    vec = vec.join(ok.select("month"), "month", "left_semi").select(
+    vec = settle(vec.join(ok.select("month"), "month", "left_semi").select(
         "month", "entity", F.col("_p.variable").alias("_names"), F.col("_p.x").alias("_x")
-    )
+    ))
 
     def fn(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         cols = ["month", "focal", "neighbor", "sim"]

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import month_number, norm_cdf, norm_ppf, ratio, so_far
-from ..functions.ranks import average_ranks, positions
+from ..functions.ranks import average_ranks, groups_fit_one_task, positions
+from ..session import settle
 
 # Annual borrow cost, cost grid in basis points, gates and sub-periods.
 BORROW_BPS = 50.0
@@ -64,8 +65,9 @@ def align_daily(signals: DataFrame, returns: DataFrame, horizons: Sequence[int],
 def rank_ic(aligned: DataFrame, by: Sequence[str] = ("signal", "horizon"), minimum: int = 10, distinct: int = 3) -> DataFrame:
     """Spearman rank IC (average ties) per date; thin or flat cross-sections are dropped."""
     g = [*by, "date"]
-    d = average_ranks(aligned, g, "value", out="_rx", total="_n", distinct="_d")
-    d = average_ranks(d, g, "fwd_return", out="_ry", total="_n2")
+    fits = groups_fit_one_task(aligned, g)
+    d = average_ranks(aligned, g, "value", out="_rx", total="_n", distinct="_d", fits=fits)
+    d = average_ranks(d, g, "fwd_return", out="_ry", total="_n2", fits=fits)
     return (
         d.groupBy(*g)
         .agg(F.corr("_rx", "_ry").alias("ic"), F.max("_n").alias("n_entities"), F.max("_d").alias("_d"))
@@ -365,15 +367,15 @@ def evaluate(
         raise ValueError(f"primary horizon {first} is not evaluated")
     sign = F.col("direction").cast("double") if "direction" in signals.columns else F.lit(1.0)
     sg = signals.withColumn("_sign", sign)
-    aligned = align_monthly(sg, returns, sorted({1, *horizons}), lag)
-    ic = ic_summary(rank_ic(aligned.filter(F.col("horizon").isin(*horizons))), max(horizons))
+    aligned = settle(align_monthly(sg, returns, sorted({1, *horizons}), lag))  # read by every block below
+    ic = ic_summary(settle(rank_ic(aligned.filter(F.col("horizon").isin(*horizons)))), max(horizons))
     prim = ic.filter(F.col("horizon") == first)
     cov = aligned.filter(F.col("horizon") == first).groupBy("signal", "date").agg(F.countDistinct("entity").alias("_c"), F.max("_sign").alias("_sign"))
     gates = cov.groupBy("signal").agg(
         (F.avg((F.col("_c") >= min_cov).cast("double")) < 0.95).alias("coverage_fail"), (F.count("*") < min_history).alias("history_fail"),
         F.max("_sign").alias("_sign"),
     )
-    bt = backtest_monthly(aligned.filter(F.col("horizon") == 1), n_top, min_xs, sign=F.col("_sign"))
+    bt = settle(backtest_monthly(aligned.filter(F.col("horizon") == 1), n_top, min_xs, sign=F.col("_sign")))
     perf = backtest_summary(bt).select("signal", "ls_sharpe_net25", "top_excess_net25", "ls_sharpe", "turnover_ls")
     dsr = deflated_sharpe(net_series(bt), ["signal"], "net", n_trials).select("signal", "deflated_sharpe")
     j = gates.join(prim, "signal", "left").join(perf, "signal", "left").join(dsr, "signal", "left")

@@ -159,18 +159,8 @@ def _(t):
     return P.trailing_mean(P.fill_with_row_mean(net)).select("date", "variable", "net", F.col("trailing").alias("trail"))
 
 
-def _membership(t):
-    both = _signal(t).filter(F.col("value").isNotNull()).join(B.mret(t), ["date", "entity"])
-    return P.soft_band_weights(both).select(
-        "date", "entity", F.col("variable").alias("factor"), "weight", F.lit("ship").alias("source")
-    )
-
-
 def _contrib(t):
-    net = P.portfolio_returns(_signal(t), B.mret(t)).select(
-        "date", F.col("variable").alias("factor"), F.col("net").alias("value"), F.lit("ship").alias("source")
-    )
-    return P.contributions(_membership(t), net)
+    return P.factor_contributions(_signal(t), B.mret(t), "ship")
 
 
 CONTRIB_SQL = f"""WITH {MEMBERS_SQL}, n AS (SELECT variable, date, sum(weight*ret) - any_value(bench) AS net
