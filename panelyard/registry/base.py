@@ -70,48 +70,42 @@ def supplier_nation(t: Tables) -> DataFrame:
     )
 
 
+def customer_nation(t: Tables) -> DataFrame:
+    return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.col("n_name").alias("entity")
+    )
+
+
+# The facts are joined to their dimension first and then summed once: the sums combine
+# map-side to (date x nation) groups, so what is shuffled for them is tiny.  The dimension is
+# broadcast only if its measured size allows it; otherwise the facts are shuffled once by key.
+
+
 def monthly(t: Tables) -> DataFrame:
     """Shipped revenue per month, supplier nation and return flag."""
-    facts = (
-        t.lineitem.groupBy(
-            F.trunc("l_shipdate", "month").alias("date"),
-            "l_suppkey",
-            F.col("l_returnflag").alias("variable"),
-        )
-        .agg(F.sum(revenue()).alias("value"))
-    )
     return (
-        facts.join(supplier_nation(t), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("date", "entity", "variable")
-        .agg(F.round(F.sum("value"), 4).alias("value"))
+        t.lineitem.join(supplier_nation(t), F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy(F.trunc("l_shipdate", "month").alias("date"), "entity", F.col("l_returnflag").alias("variable"))
+        .agg(F.round(F.sum(revenue()), 4).alias("value"))
     )
 
 
 def daily(t: Tables) -> DataFrame:
     """Shipped revenue per day and supplier nation (days without shipments are absent)."""
-    facts = t.lineitem.groupBy(
-        F.to_date("l_shipdate").alias("date"), "l_suppkey"
-    ).agg(F.sum(revenue()).alias("value"))
     return (
-        facts.join(supplier_nation(t), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("date", "entity")
-        .agg(F.round(F.sum("value"), 4).alias("value"))
+        t.lineitem.join(supplier_nation(t), F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy(F.to_date("l_shipdate").alias("date"), "entity")
+        .agg(F.round(F.sum(revenue()), 4).alias("value"))
         .withColumn("variable", F.lit("REV"))
     )
 
 
 def sales(t: Tables) -> DataFrame:
     """Ordered amount per month and customer nation."""
-    facts = t.orders.groupBy(
-        F.trunc("o_orderdate", "month").alias("date"), "o_custkey"
-    ).agg(F.sum("o_totalprice").alias("value"))
-    who = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "c_custkey", F.col("n_name").alias("entity")
-    )
     return (
-        facts.join(who, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("date", "entity")
-        .agg(F.round(F.sum("value"), 4).alias("value"))
+        t.orders.join(customer_nation(t), F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(F.trunc("o_orderdate", "month").alias("date"), "entity")
+        .agg(F.round(F.sum("o_totalprice"), 4).alias("value"))
         .withColumn("variable", F.lit("SALES"))
     )
 
@@ -152,21 +146,17 @@ def user_daily(t: Tables) -> DataFrame:
 
 def trade(t: Tables) -> DataFrame:
     """Yearly flows from supplier nation (src) to customer nation (dst)."""
-    lines = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.sum(revenue()).alias("v"))
-    who = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "c_custkey", F.col("n_name").alias("dst")
+    orders = (
+        t.orders.join(customer_nation(t).withColumnRenamed("entity", "dst"), F.col("o_custkey") == F.col("c_custkey"))
+        .select("o_orderkey", "dst", F.year("o_orderdate").cast("long").alias("year"))
     )
+    lines = t.lineitem.join(
+        supplier_nation(t).withColumnRenamed("entity", "src"), F.col("l_suppkey") == F.col("s_suppkey")
+    ).select("l_orderkey", "src", revenue().alias("_v"))
     return (
-        lines.join(
-            t.orders.select("o_orderkey", "o_custkey", F.year("o_orderdate").cast("long").alias("year")),
-            F.col("l_orderkey") == F.col("o_orderkey"),
-        )
-        .groupBy("l_suppkey", "o_custkey", "year")
-        .agg(F.sum("v").alias("v"))
-        .join(supplier_nation(t).withColumnRenamed("entity", "src"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(who, F.col("o_custkey") == F.col("c_custkey"))
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("year", "src", "dst")
-        .agg(F.round(F.sum("v"), 4).alias("weight"))
+        .agg(F.round(F.sum("_v"), 4).alias("weight"))
     )
 
 

@@ -307,11 +307,9 @@ def _(t):
 
 def instrument(t):
     return (
-        t.lineitem.groupBy(F.to_date("l_shipdate").alias("date"), "l_suppkey")
-        .agg(F.sum("l_extendedprice").alias("p"), F.sum("l_quantity").alias("q"))
-        .join(B.supplier_nation(t), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("date", "entity")
-        .agg(F.round(F.sum("p") / F.sum("q"), 8).alias("close"), F.sum("q").alias("volume"))
+        t.lineitem.join(B.supplier_nation(t), F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy(F.to_date("l_shipdate").alias("date"), "entity")
+        .agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 8).alias("close"), F.sum("l_quantity").alias("volume"))
     )
 
 

@@ -21,6 +21,8 @@ def get_spark(app: str = "panelyard", master: str | None = None, **conf: str) ->
     if master:
         b = b.master(master)
         if master.startswith("local"):
+            # small inputs on one machine: keep all cores busy instead of coalescing to one task
+            b = b.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
             b = b.config("spark.sql.shuffle.partitions", "8").config(
                 "spark.driver.memory", os.environ.get("PANELYARD_DRIVER_MEMORY", "8g")
             )
