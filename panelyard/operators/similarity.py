@@ -214,7 +214,7 @@ def correlated_pairs(df: DataFrame, cap: float, name: str = "variable", value: s
     return block_pairs(vec, name, [], fn, "a string, b string, corr double", block_rows)
 
 
-def greedy_prune(ordered: DataFrame, pairs: DataFrame, max_picks: int | None = None, limit: int = 10_000) -> list[str]:
+def greedy_prune(ordered: DataFrame, pairs: DataFrame, max_picks: int | None = None, limit: int = 2_000) -> list[str]:
     """Names kept in order unless too correlated with one kept before.
 
     The order makes this sequential; the list is the catalogue of surviving factors, whose

@@ -356,10 +356,11 @@ def interaction_test(ranked: DataFrame, regimes: DataFrame, replicates: int = 19
         cross = xy[:, :2] @ br - fitfit              # (X_r b)' e per entity
         ee = yy - 2 * (xy[:, :2] @ br) + fitfit
         rng = np.random.default_rng(seed)
-        w = rng.choice([-1.0, 1.0], size=(replicates, k))
-        b = fit.sum(0)[None, :] + w @ e
-        q = fitfit.sum() + 2 * (w @ cross) + ee.sum()
-        fb = fstat(b, q)
+        parts = []
+        for _ in range(replicates):  # one weight vector at a time: memory stays one row per entity
+            w = rng.choice([-1.0, 1.0], size=k)
+            parts.append(fstat(fit.sum(0) + w @ e, fitfit.sum() + 2 * (w @ cross) + ee.sum()))
+        fb = np.array(parts)
         fb = fb[np.isfinite(fb)]
         res.update(growth_coef=bu[2], recession_coef=bu[3], f_stat=f0, p_boot=(1 + int((fb >= f0).sum())) / (1 + len(fb)), included=True)
         return pd.DataFrame([res])

@@ -237,11 +237,9 @@ def _(t):
     return E.expression_rows(promoted(t), tk)
 
 
-@query("E5_shadow_score_uniform", """SELECT 1 AS ok""")
+@query("E5_shadow_score", """SELECT o_orderkey, CAST('0x'||substr(sha1(o_orderkey::VARCHAR||'|shadow_v1'),1,13) AS BIGINT)/4503599627370496.0 AS shadow FROM orders""", "shadow")
 def _(t):
-    s = t.orders.select(E.shadow_score(F.col("o_orderkey").cast("string")).alias("s"))
-    a = s.agg(F.avg("s").alias("m"), F.min("s").alias("lo"), F.max("s").alias("hi"))
-    return a.select(((F.abs(F.col("m") - 0.5) < 0.02) & (F.col("lo") >= 0) & (F.col("hi") < 1)).cast("int").alias("ok"))
+    return t.orders.select("o_orderkey", E.shadow_score(F.col("o_orderkey").cast("string")).alias("shadow"))
 
 
 @query("E11_signature_stable", """SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity, l_tax FROM lineitem)""")

@@ -6,14 +6,15 @@ from ..operators import features as X
 from ..operators import graph as G
 from ..operators import similarity as S
 from ..operators.normalise import cross_z
+from ..session import settle
 from . import base as B
 from .base import query
 
 EDGES = "(SELECT src, dst, sum(weight) AS weight FROM {trade} WHERE year >= 1999 AND src <> dst GROUP BY 1,2)"
 
 
-def edges(t):
-    return B.trade(t).filter("year >= 1999 AND src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+def edges(t, trade=None):
+    return (B.trade(t) if trade is None else trade).filter("year >= 1999 AND src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def metric(t):
@@ -99,9 +100,10 @@ DAILY_FEATURES = f"""WITH {NORM}, cal AS (SELECT date, row_number() OVER (ORDER
 
 @query("G2_network_features", DAILY_FEATURES, "mean_value")
 def _(t):
-    bank = B.trade(t).filter("year = 1998").drop("year")
-    holder = B.trade(t).filter("year = 1997").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    f = G.network_features(G.metrics_from_returns(B.dret(t)), edges(t), bank, holder)
+    flows = settle(B.trade(t))  # three edge sets come from it
+    bank = flows.filter("year = 1998").drop("year")
+    holder = flows.filter("year = 1997").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    f = G.network_features(G.metrics_from_returns(B.dret(t)), edges(t, flows), bank, holder)
     return f.groupBy("variable", F.trunc("date", "month").alias("month")).agg(F.count("value").alias("n"), F.avg("value").alias("mean_value"))
 
 

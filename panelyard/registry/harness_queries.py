@@ -208,3 +208,9 @@ def _(t):
     mkt = r.groupBy("date").agg(F.avg("ret").alias("value")).withColumn("factor", F.lit("MKT"))
     disp = r.groupBy("date").agg(F.stddev_samp("ret").alias("value")).withColumn("factor", F.lit("DISP"))
     return H.spanning(r, mkt.unionByName(disp), {"MKT": ["MKT"], "MKT2": ["MKT", "DISP"]})
+
+
+@query("H11_load_signal", """SELECT 'H1' AS signal, date, entity, value, 'ship' AS source FROM {monthly} WHERE variable='N'""", "value", digits=4)
+def _(t):
+    p = B.monthly(t).withColumn("source", F.lit("ship"))
+    return H.load_signal(p, "H1", "N")
