@@ -177,30 +177,51 @@ def metrics_from_returns(returns: DataFrame, fill: int = 5) -> dict[str, DataFra
     }
 
 
+# Features of one weight regime: name -> (edge set, metric, own value taken off).
+FEATURES = {
+    "TRADE_NBR_GAP_21": ("trade", "ret21", True),
+    "TRADE_NBR_GAP_63": ("trade", "ret63", True),
+    "BANK_NBR_GAP_21": ("bank", "ret21", True),
+    "BANK_NBR_GAP_63": ("bank", "ret63", True),
+    "HOLDER_STRESS": ("holder", "drawdown", False),
+    "NBR_DRAWDOWN_COUNT": ("trade", "deep", False),
+}
+
+
 def network_features(metrics: dict[str, DataFrame], trade: DataFrame, bank: DataFrame, holder: DataFrame) -> DataFrame:
-    """The seven neighbour features of one weight regime in tidy form."""
-    metrics = {k: settle(d) for k, d in metrics.items()}  # each is read several times
-    trade, bank, holder = settle(trade), settle(bank), settle(holder)
-
-    def level(d: DataFrame, e: DataFrame, name: str) -> DataFrame:
-        return neighbour_mean(d, e).select("date", "entity", F.col("nbr").alias("value"), F.lit(name).alias("variable"))
-
-    two = two_hop_mean(metrics["ret21"], trade).join(
-        metrics["ret21"].withColumnRenamed("value", "_own"), ["entity", "date"]
-    ).select("date", "entity", (F.col("nbr") - F.col("_own")).alias("value"), F.lit("TWOHOP_TRADE_GAP_21").alias("variable"))
-    parts = [
-        neighbour_gap(metrics["ret21"], trade, "TRADE_NBR_GAP_21"),
-        neighbour_gap(metrics["ret63"], trade, "TRADE_NBR_GAP_63"),
-        neighbour_gap(metrics["ret21"], bank, "BANK_NBR_GAP_21"),
-        neighbour_gap(metrics["ret63"], bank, "BANK_NBR_GAP_63"),
-        level(metrics["drawdown"], holder, "HOLDER_STRESS"),
-        two,
-        level(metrics["deep"], trade, "NBR_DRAWDOWN_COUNT"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter(F.col("value").isNotNull())
+    """The seven neighbour features of one weight regime in tidy form.
+
+    All one-hop features are one join and one aggregate: metrics and edges are long, and an
+    edge row carries the feature it serves.
+    """
+    m = None
+    for name, d in metrics.items():
+        p = d.filter(F.col("value").isNotNull()).select("entity", "date", F.lit(name).alias("metric"), "value")
+        m = p if m is None else m.unionByName(p)
+    m, trade = settle(m), settle(trade)
+    e = None
+    for kind, d in (("trade", trade), ("bank", bank), ("holder", holder)):
+        served = [F.struct(F.lit(f).alias("feature"), F.lit(x).alias("metric")) for f, (k, x, _) in FEATURES.items() if k == kind]
+        p = d.filter((F.col("src") != F.col("dst")) & F.col("weight").isNotNull()).withColumn("_f", F.explode(F.array(*served)))
+        p = p.select("src", "dst", "weight", "_f.feature", "_f.metric")
+        e = p if e is None else e.unionByName(p)
+    nbr = (
+        m.withColumnRenamed("entity", "dst").join(e, ["dst", "metric"])
+        .groupBy("src", "date", "metric", "feature")
+        .agg(F.sum(F.col("weight") * F.col("value")).alias("_s"), F.sum("weight").alias("_w"))
+        .filter(F.col("_w") > 1e-12)
+    )
+    gaps = [f for f, (_, _, gap) in FEATURES.items() if gap]
+    own = m.select(F.col("entity").alias("src"), "date", "metric", F.col("value").alias("_own"))
+    value = F.col("_s") / F.col("_w") - F.when(F.col("feature").isin(*gaps), F.col("_own")).otherwise(0.0)
+    one = nbr.join(own, ["src", "date", "metric"], "left").select(
+        "date", F.col("src").alias("entity"), value.alias("value"), F.col("feature").alias("variable")
+    )
+    ret21 = m.filter("metric = 'ret21'").drop("metric")
+    two = two_hop_mean(ret21, trade).join(ret21.withColumnRenamed("value", "_own"), ["entity", "date"]).select(
+        "date", "entity", (F.col("nbr") - F.col("_own")).alias("value"), F.lit("TWOHOP_TRADE_GAP_21").alias("variable")
+    )
+    return one.unionByName(two).filter(F.col("value").isNotNull())
 
 
 def vintage_neighbour_mean(
