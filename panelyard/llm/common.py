@@ -61,8 +61,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         e = settle(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum("v")).first()
-        now = tuple(str(x) for x in now)
+        now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first())
         if now == mark:
             break
         mark = now
