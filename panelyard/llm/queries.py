@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, line_rules, pii, quality, simhash, sql, url_filters, warc
+from . import bpe, chunk_dedup, decontaminate, html_extract, line_rules, pii, quality, simhash, sql, url_filters, warc
 from .common import table
 
 #: Key of the registered query; a real run passes a secret one.
@@ -62,6 +62,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.passages_by_document(table(spark, sf_dir, "documents")).drop("key")
+
+
 @query
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages"))

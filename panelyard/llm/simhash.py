@@ -160,14 +160,17 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
 def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their component; all columns are kept.
 
-    Of rows that share the smallest id one stays.  Rows without an id are dropped only if
-    their component holds an id, and one of them stays otherwise.
+    Of rows that share the smallest id one stays.  Rows without an id are dropped if their
+    component holds an id; of all others without id one stays.
     """
-    d = df.withColumn("_row", F.coalesce(F.col(id).cast("string"), F.lit("")))
     found = near_duplicates(df, id, text, **how)
-    stay = found.filter(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("_id")).distinct()
-    rows = d.join(stay, F.col(id).eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["_row"]).drop("_row")
+
+    def name(c: str) -> Column:
+        return F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
+
+    stay = found.filter(F.col(id).eqNullSafe(F.col("component_id"))).select(name(id).alias("_row")).distinct()
+    # The join and the choice among equal ids share one distribution of the rows.
+    return df.withColumn("_row", name(id)).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def as_hex(fp: Column) -> Column:
