@@ -110,12 +110,12 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", m
     halves = chunk_table(docs, id, text, full=False).groupBy("h1").count().filter("count > 1").select(F.col("h1").alias("_h"))
     halves = written(halves, "chunk-halves")
     chunks = chunk_table(docs, id, text)
-    found = written(chunks.join(halves, F.col("h1") == F.col("_h"), "left_semi"), "chunk-repeats")
+    found = written(chunks.join(halves, F.col("h1") == F.col("_h"), "left_semi").distinct(), "chunk-repeats")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "start")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     first = first.select(F.col("h1").alias("_a"), F.col("h2").alias("_b"), "_first")
     d = found.join(first, (F.col("h1") == F.col("_a")) & (F.col("h2") == F.col("_b")))
     later = ~F.struct("id", "key", "start").eqNullSafe(F.col("_first"))
-    d = d.select("id", "key", "start", "end", F.when(later, F.col("end") - F.col("start")).otherwise(0).alias("r")).distinct()
+    d = d.select("id", "key", "start", "end", F.when(later, F.col("end") - F.col("start")).otherwise(0).alias("r"))
     order = Window.partitionBy("id", "key").orderBy("start")
     d = d.withColumn("_new", F.coalesce((F.lag("end").over(order) != F.col("start")).cast("int"), F.lit(1)))
     d = d.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

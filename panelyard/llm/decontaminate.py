@@ -14,6 +14,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 16
@@ -131,6 +132,7 @@ def find_items(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str
     types = {f.name: f.dataType for f in d.schema} | {"item": items.schema[item_id].dataType}
     empty = docs.sparkSession.createDataFrame([], "distance int, start int, end int")
     schema = empty.select(F.lit(None).cast(types["_id"]).alias(id), F.lit(None).cast(types["item"]).alias(item_id), "*").schema
+    item_type = to_arrow_type(types["item"])
     out = None
     for block in item_blocks(items, item_id, item_text, block_chars):
 
@@ -139,7 +141,7 @@ def find_items(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str
             for b in batches:
                 rows = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for hit in s.search(t)]
                 cols = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1]) if rows else pa.nulls(0, pa.int64()), *(pa.array(c, pa.int32()) for c in cols[2:])], names=[id, item_id, "distance", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], item_type), *(pa.array(c, pa.int32()) for c in cols[2:])], names=[id, item_id, "distance", "start", "end"])
 
         hits = d.mapInArrow(run, schema)
         out = hits if out is None else out.unionByName(hits)

@@ -1,0 +1,20 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def rows(spark):
+    def make(data, schema="doc_id long, text string"):
+        return spark.createDataFrame(data, schema)
+
+    return make
+
+
+LONG = "".join(chr(97 + i * 7 % 26) + (" " if i % 6 == 5 else "") for i in range(60_000))
+#: NULL, empty and very long texts, repeated rows and a NULL id.
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, LONG), (6, LONG), (6, LONG), (None, "no id here"), (7, "Ünïcödé ﬁ 😀 " * 3)]
+
+
+@pytest.fixture(scope="session")
+def odd(rows):
+    """The odd rows with an extra column and one named like an output of many operators."""
+    return rows([(i, t, "extra", "clash") for i, t in ODD], "doc_id long, text string, other string, kept string")
