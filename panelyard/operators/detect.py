@@ -264,16 +264,21 @@ def merge_state(today: DataFrame, previous: DataFrame, as_of: str, moves: DataFr
     )
 
 
-def trigger_lists(detections: DataFrame, events: DataFrame, per_entity: int = 50) -> DataFrame:
-    """Detections and recent events of each entity as one ordered list.
+FIRING = ("new", "intensifying")
 
-    The list is a report of the latest ``per_entity`` triggers; the count covers all.
+
+def triggers(detections: DataFrame, events: DataFrame, days: int = 2, firing: Sequence[str] = FIRING, exclude: Sequence[str] = ("D8",)) -> DataFrame:
+    """What calls for evidence on an entity at each run date, one row per trigger.
+
+    Triggers are the detections of the date (entity, date, detector, status, severity) with a
+    firing status, but for the excluded detectors, and the events (entity, event_date, name)
+    within ``days`` days of it.  Run dates are the dates of the detections.  Rows are numbered
+    within entity and run date, detections first by severity.
     """
-    t = detections.select("entity", F.lit("detector").alias("kind"), F.col("detector").alias("name"), "date").unionByName(
-        events.select("entity", F.lit("event").alias("kind"), "name", "date"))
-    w = Window.partitionBy("entity").orderBy(F.col("date").desc(), "kind", "name")
-    n = t.groupBy("entity").agg(F.count("*").alias("n_triggers"))
-    top = t.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_entity)
-    return top.groupBy("entity").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_r", "kind", "name", "date"))), lambda x: F.concat_ws("|", x["kind"], x["name"], x["date"].cast("string"))).alias("triggers")
-    ).join(n, "entity")
+    runs = detections.select("date").distinct()
+    det = detections.filter(F.col("status").isin(*firing) & ~F.col("detector").isin(*exclude)).select(
+        "entity", "date", F.lit("detector").alias("kind"), F.col("detector").alias("name"), "severity")
+    near = events.withColumn("_d", F.explode(F.sequence(F.lit(-days), F.lit(days)))).select(
+        "entity", F.date_add("event_date", F.col("_d")).alias("date"), F.lit("event").alias("kind"), "name", F.lit(None).cast("double").alias("severity"))
+    w = Window.partitionBy("entity", "date").orderBy("kind", F.abs("severity").desc_nulls_last(), "name")
+    return det.unionByName(near.join(runs, "date", "left_semi")).withColumn("position", F.row_number().over(w).cast("long"))

@@ -6,6 +6,7 @@ windows would be quadratic (expanding order statistics) or cannot state the recu
 """
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Sequence
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import (
-    SERIES, before, clip, compounded, guarded, last_rows, month_start, prior_rows, ratio, series, so_far,
+    SERIES, before, clean, clip, compounded, guarded, last_rows, month_start, prior_rows, ratio, series, so_far,
 )
 from ..functions.ranks import group_quantiles
 
@@ -259,25 +260,36 @@ def ewm_outlier_replace(
 
 
 def local_outlier_replace(
-    df: DataFrame, window: int = 20, sigma: float = 4.0, by: Sequence[str] = SERIES, value: str = "value", out: str = "value_clean"
+    df: DataFrame, window: int = 20, sigma: float = 4.0, by: Sequence[str] = SERIES, value: str = "value", out: str = "value_clean", minimum: int = 10
 ) -> DataFrame:
-    """Two-sided variant: each value against the exponential mean and spread of its
-    neighbours (itself left out), at least 10 of them."""
-
-    def fn(pdf: pd.DataFrame) -> dict:
-        x = pdf[value].to_numpy(dtype="float64")
-        res = x.copy()
-        for i in range(len(x)):
-            near = pd.Series(np.concatenate([x[max(0, i - window): i], x[i + 1: i + window + 1]]))
-            if len(near) < 10:
-                continue
-            e = near.ewm(span=window)
-            m, s = e.mean().iloc[-1], e.std().iloc[-1]
-            if s > np.finfo(float).eps and abs(x[i] - m) / s > sigma:
-                res[i] = m
-        return {out: res}
-
-    return nan_to_null(_per_series(df, by, fn, [(out, T.DoubleType())]), [out])
+    """Replace values that lie more than ``sigma`` weighted deviations from the weighted mean
+    of the up to ``window`` rows on either side, the row itself left out.
+
+    A neighbour's weight decays with its distance from the latest neighbour by the factor
+    (span - 1) / (span + 1) with span ``window``; missing neighbours take a place but no
+    weight; the variance is the unbiased one for such weights.  Rows with fewer than
+    ``minimum`` neighbours stay.  The frame holds 2 * window + 1 rows, and both moments are
+    folds over it.
+    """
+    w = series(by)
+    decay = (window - 1.0) / (window + 1.0)
+    d = df.withColumn("_x", clean(value)).withColumn("_at", F.row_number().over(w))
+    d = d.withColumn("_frame", F.collect_list(F.struct("_at", "_x")).over(w.rowsBetween(-window, window)))
+    d = d.withColumn("_near", F.filter("_frame", lambda p: p["_at"] != F.col("_at")))
+    terms = F.transform("_near", lambda p, i: F.struct(p["_x"].alias("x"), F.pow(F.lit(decay), F.size("_near") - 1 - i).alias("w")))
+    d = d.withColumn("_near", F.filter(terms, lambda p: p["x"].isNotNull())).withColumn("_size", F.size("_frame") - 1)
+
+    def total(f) -> Column:
+        return F.aggregate("_near", F.lit(0.0), lambda acc, p: acc + f(p))
+
+    d = d.withColumn("_w1", total(lambda p: p["w"])).withColumn("_w2", total(lambda p: p["w"] * p["w"]))
+    d = d.withColumn("_m", F.when(F.col("_w1") > 0, total(lambda p: p["w"] * p["x"]) / F.col("_w1")))
+    free = F.col("_w1") - F.col("_w2") / F.col("_w1")
+    square = total(lambda p: p["w"] * (p["x"] - F.col("_m")) * (p["x"] - F.col("_m")))
+    d = d.withColumn("_s", F.when(F.size("_near") > 1, F.sqrt(square / free)))
+    far = (F.col("_size") >= minimum) & (F.col("_s") > sys.float_info.epsilon) & (F.abs(F.col("_x") - F.col("_m")) > sigma * F.col("_s"))
+    new = F.when(far, F.col("_m")).otherwise(F.col("_x"))
+    return d.withColumn(out, new).drop("_x", "_at", "_frame", "_near", "_size", "_w1", "_w2", "_m", "_s")
 
 
 def nan_to_null(df: DataFrame, columns) -> DataFrame:

@@ -99,16 +99,20 @@ def katz_edges(edges: DataFrame, alpha: float = 0.5, hops: int = 3) -> DataFrame
     return total.filter(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def pagerank(edges: DataFrame, iterations: int = 30, damping: float = 0.85, settle_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, most: int = 100, settle_every: int = 5) -> DataFrame:
     """Weighted PageRank by power iteration; the mass of nodes without out-edges is spread
-    evenly.  Stops after ``iterations`` rounds; lineage is cut every few rounds."""
+    evenly.  Ends when a round moves less than ``tolerance`` per node in total; raises if
+    ``most`` rounds do not get there.  Lineage is cut, and the change measured, every few
+    rounds."""
     w = settle(row_normalised(edges))
     nodes = settle(w.select(F.col("src").alias("node")).unionByName(w.select(F.col("dst").alias("node"))).distinct())
     n = nodes.count()
+    if n == 0:
+        return nodes.withColumn("rank", F.lit(0.0))
     sinks = nodes.join(w.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("_sink", F.lit(True))
-    nodes = nodes.join(sinks, "node", "left").withColumn("_sink", F.coalesce("_sink", F.lit(False)))
-    rank = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(iterations):
+    nodes = settle(nodes.join(sinks, "node", "left").withColumn("_sink", F.coalesce("_sink", F.lit(False))))
+    rank = nodes.withColumns({"rank": F.lit(1.0 / n), "_was": F.lit(1.0 / n)})
+    for i in range(most):
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("_sink"), F.col("rank"))), F.lit(0.0)).alias("_lost"))
         flow = (
             w.join(rank.select(F.col("node").alias("src"), "rank"), "src")
@@ -116,13 +120,15 @@ def pagerank(edges: DataFrame, iterations: int = 30, damping: float = 0.85, sett
             .agg(F.sum(F.col("weight") * F.col("rank")).alias("_in"))
         )
         rank = (
-            nodes.join(flow, "node", "left").join(lost)
+            rank.select("node", "_sink", F.col("rank").alias("_was")).join(flow, "node", "left").join(lost)
             .withColumn("rank", (1 - damping) / n + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") / n))
-            .select("node", "_sink", "rank")
+            .select("node", "_sink", "rank", "_was")
         )
-        if (i + 1) % settle_every == 0:
+        if (i + 1) % settle_every == 0 or i + 1 == most:
             rank = settle(rank)
-    return rank.select("node", "rank")
+            if rank.agg(F.sum(F.abs(F.col("rank") - F.col("_was")))).first()[0] < tolerance * n:
+                return rank.select("node", "rank")
+    raise RuntimeError(f"pagerank: not within {tolerance} per node after {most} rounds")
 
 
 def hub_scaled_edges(edges: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -139,9 +145,9 @@ def blocs(edges: DataFrame, k: int = 5, iterations: int = 20) -> DataFrame:
     w = row_normalised(edges)
     lo, hi = F.least("src", "dst"), F.greatest("src", "dst")
     sym = w.select(lo.alias("a"), hi.alias("b"), "weight").groupBy("a", "b").agg((F.sum("weight") / 2).alias("weight"))
-    # node numbers: positions of the sorted names, assigned per hash of the name
+    # node numbers are hashes of the names, so they do not depend on the partitioning
     names = sym.select(F.col("a").alias("node")).unionByName(sym.select(F.col("b").alias("node"))).distinct()
-    ids = settle(names.withColumn("id", F.monotonically_increasing_id()))
+    ids = settle(names.withColumn("id", F.xxhash64("node")))
     e = (
         sym.join(ids.select(F.col("node").alias("a"), F.col("id").alias("src")), "a")
         .join(ids.select(F.col("node").alias("b"), F.col("id").alias("dst")), "b")

@@ -78,11 +78,18 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _best(sim: np.ndarray, left: np.ndarray, right: np.ndarray, k: int, extra: dict | None = None) -> pd.DataFrame:
-    """The k best positive right entries of each left row; equal scores keep all candidates."""
+    """The k best positive right entries of each left row; equal scores go to the smaller key."""
+    by_key = np.argsort(right, kind="stable")
+    sim, right = sim[:, by_key], right[by_key]
     sim = np.where(left[:, None] == right[None, :], -np.inf, sim)
     take = min(k, sim.shape[1])
     cut = np.partition(sim, -take, axis=1)[:, -take]
-    i, j = np.nonzero((sim >= cut[:, None]) & (sim > 0))
+    best = (sim >= cut[:, None]) & (sim > 0)
+    tied = np.flatnonzero(best.sum(axis=1) > take)
+    for r in tied:  # columns stand in key order: of the entries at the cut the first ones stay
+        at = np.flatnonzero(sim[r] == cut[r])
+        best[r, at[take - int((sim[r] > cut[r]).sum()) :]] = False
+    i, j = np.nonzero(best)
     return pd.DataFrame({**(extra or {}), "focal": left[i], "neighbor": right[j], "sim": sim[i, j]})
 
 
@@ -214,26 +221,31 @@ def correlated_pairs(df: DataFrame, cap: float, name: str = "variable", value: s
     return block_pairs(vec, name, [], fn, "a string, b string, corr double", block_rows)
 
 
-def greedy_prune(ordered: DataFrame, pairs: DataFrame, max_picks: int | None = None, limit: int = 2_000) -> list[str]:
-    """Names kept in order unless too correlated with one kept before.
+def greedy_prune(ordered: DataFrame, pairs: DataFrame, max_picks: int | None = None, most_rounds: int = 1_000) -> DataFrame:
+    """(name, position) of the names kept in order unless too correlated with one kept before.
 
-    The order makes this sequential; the list is the catalogue of surviving factors, whose
-    size is checked before it reaches the driver.
+    In rounds: a name falls if a kept name before it clashes with it, and is kept once no
+    undecided name before it does.  The first undecided name is always decided, and chains
+    of clashes are short, so there are few rounds; each one is a join of the clashes with
+    the names they concern.
     """
-    names = [r[0] for r in ordered.orderBy("position").select("name").limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} names; pruning is meant for a short ordered list")
-    clash: dict[str, set[str]] = {}
-    for r in pairs.select("a", "b").collect():
-        clash.setdefault(r["a"], set()).add(r["b"])
-        clash.setdefault(r["b"], set()).add(r["a"])
-    kept: list[str] = []
-    for n in names:
-        if not clash.get(n, set()).intersection(kept):
-            kept.append(n)
-            if max_picks and len(kept) >= max_picks:
-                break
-    return kept
+    names = settle(ordered.select("name", "position"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    early = names.select(F.col("name").alias("a"), F.col("position").alias("_pa"))
+    late = names.select(F.col("name").alias("b"), F.col("position").alias("_pb"))
+    clash = settle(both.join(early, "a").join(late, "b").filter("_pa < _pb").select("a", "b").distinct())
+    open_, kept = names, None
+    for _ in range(most_rounds):
+        waiting = clash.join(open_.select(F.col("name").alias("a")), "a", "left_semi").select(F.col("b").alias("name")).distinct()
+        new = settle(open_.join(waiting, "name", "left_anti"))
+        kept = new if kept is None else kept.unionByName(new)
+        fallen = clash.join(new.select(F.col("name").alias("a")), "a", "left_semi").select(F.col("b").alias("name")).distinct()
+        open_ = settle(open_.join(new, "name", "left_anti").join(fallen, "name", "left_anti"))
+        if open_.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"greedy_prune: not decided after {most_rounds} rounds")
+    return kept.orderBy("position").limit(max_picks) if max_picks else kept
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -257,11 +269,12 @@ def nearest_to(df: DataFrame, key: str, vector: str, query_key, k: int = 10) ->
     )
 
 
-def state_embedding(state: DataFrame, dims: int, max_missing: float = 0.5) -> DataFrame:
+def state_embedding(state: DataFrame, dims: int, max_missing: float = 0.5, most_variables: int = 5_000) -> DataFrame:
     """(entity, variable, value) -> PCA of the median-imputed, standardised state matrix.
 
     The variable list becomes the columns of the matrix; it is the catalogue of variables,
-    not of data, and bounds the width.
+    not of data.  More than ``most_variables`` of them are refused before any fit, as a
+    dense covariance of that width does not fit the driver.
     """
     from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 
@@ -269,8 +282,10 @@ def state_embedding(state: DataFrame, dims: int, max_missing: float = 0.5) -> Da
     n = s.select("entity").distinct().count()
     good = [
         r[0] for r in s.groupBy("variable").agg(F.count("*").alias("c")).filter(F.col("c") >= (1 - max_missing) * n)
-        .orderBy("variable").limit(5000).collect()
+        .orderBy("variable").limit(most_variables + 1).collect()
     ]
+    if len(good) > most_variables:
+        raise ValueError(f"more than {most_variables} variables")
     wide = s.filter(F.col("variable").isin(*good)).groupBy("entity").pivot("variable", good).agg(F.first("value"))
     filled = Imputer(inputCols=good, outputCols=good, strategy="median").fit(wide).transform(wide)
     v = VectorAssembler(inputCols=good, outputCol="_raw").transform(filled)

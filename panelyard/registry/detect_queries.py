@@ -176,12 +176,19 @@ def _(t):
     return d.withColumn("dislocation_id", F.when(F.col("status") == "new", "new").otherwise(F.col("dislocation_id")))
 
 
-@query("D13_trigger_lists", f"""WITH t AS (SELECT entity, 'detector' AS kind, variable AS name, date FROM {Z} WHERE abs(z)>=1.5 UNION ALL SELECT entity, 'event', 'drop', date FROM {{mret}} WHERE ret<-0.03), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC, kind, name) AS r FROM t)
-   SELECT entity, string_agg(kind||'|'||name||'|'||date::VARCHAR, ';' ORDER BY r) FILTER (r<=50) AS triggers, count(*) AS n_triggers FROM r GROUP BY 1""")
+@query("D13_trigger_lists", f"""WITH l AS (SELECT *, lag(z) OVER (PARTITION BY entity, variable ORDER BY date) AS p FROM {Z}),
+   d AS (SELECT entity, date, CASE variable WHEN 'N' THEN 'D8' ELSE variable END AS name, z, CASE WHEN coalesce(abs(p),0) < 1 THEN 'new' WHEN abs(z) >= 1.2*abs(p) THEN 'intensifying' ELSE 'persisting' END AS status FROM l WHERE abs(z) >= 1),
+   t AS (SELECT entity, date, 'detector' AS kind, name, round(z,6) AS severity FROM d WHERE status <> 'persisting' AND name <> 'D8'
+     UNION ALL SELECT r.entity, m.date, 'event', 'drop', NULL FROM {{mret}} r JOIN (SELECT DISTINCT date FROM d) m ON abs(date_diff('day', r.date, m.date)) <= 2 WHERE ret < -0.03)
+   SELECT *, row_number() OVER (PARTITION BY entity, date ORDER BY kind, abs(severity) DESC NULLS LAST, name) AS position FROM t""", "severity")
 def _(t):
-    det = zed(t).filter(F.abs("z") >= 1.5).select("entity", F.col("variable").alias("detector"), "date")
-    ev = B.mret(t).filter("ret < -0.03").select("entity", F.lit("drop").alias("name"), "date")
-    return D.trigger_lists(det, ev).withColumn("triggers", F.array_join("triggers", ";"))
+    prev = F.lag("z").over(Window.partitionBy("entity", "variable").orderBy("date"))
+    det = zed(t).withColumn("_p", prev).filter(F.abs("z") >= 1)
+    det = det.select(
+        "entity", "date", F.when(F.col("variable") == "N", "D8").otherwise(F.col("variable")).alias("detector"), F.round("z", 6).alias("severity"),
+        F.when(F.coalesce(F.abs("_p"), F.lit(0.0)) < 1, "new").when(F.abs("z") >= 1.2 * F.abs("_p"), "intensifying").otherwise("persisting").alias("status"))
+    ev = B.mret(t).filter("ret < -0.03").select("entity", F.col("date").alias("event_date"), F.lit("drop").alias("name"))
+    return D.triggers(det, ev)
 
 
 # --- episodes -----------------------------------------------------------------------------

@@ -10,11 +10,11 @@ from ..session import settle
 from . import base as B
 from .base import query
 
-EDGES = "(SELECT src, dst, sum(weight) AS weight FROM {trade} WHERE year >= 1999 AND src <> dst GROUP BY 1,2)"
+EDGES = "(SELECT src, dst, sum(weight) AS weight FROM {trade} WHERE src <> dst GROUP BY 1,2)"
 
 
 def edges(t, trade=None):
-    return (B.trade(t) if trade is None else trade).filter("year >= 1999 AND src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return (B.trade(t) if trade is None else trade).filter("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def metric(t):
@@ -56,15 +56,15 @@ def _pagerank_sql(rounds):
     return ", ".join(out)
 
 
-@query("G5_pagerank", f"WITH {_pagerank_sql(10)} SELECT * FROM r10", "rank")
+@query("G5_pagerank", f"WITH {_pagerank_sql(30)} SELECT * FROM r30", "rank")
 def _(t):
-    return G.pagerank(edges(t), iterations=10)
+    return G.pagerank(edges(t), tolerance=1e-10)
 
 
-@query("G5_hub_scaled_mean", f"""WITH {_pagerank_sql(5)}, h AS (SELECT src, dst, weight*rank AS weight FROM w JOIN r5 ON node=dst) SELECT src AS entity, date, sum(weight*ret)/sum(weight) AS nbr FROM h JOIN {{mret}} m ON m.entity=h.dst GROUP BY 1,2""", "nbr")
+@query("G5_hub_scaled_mean", f"""WITH {_pagerank_sql(30)}, h AS (SELECT src, dst, weight*rank AS weight FROM w JOIN r30 ON node=dst) SELECT src AS entity, date, sum(weight*ret)/sum(weight) AS nbr FROM h JOIN {{mret}} m ON m.entity=h.dst GROUP BY 1,2""", "nbr")
 def _(t):
     e = edges(t)
-    return G.neighbour_mean(metric(t), G.hub_scaled_edges(e, G.pagerank(e, iterations=5)))
+    return G.neighbour_mean(metric(t), G.hub_scaled_edges(e, G.pagerank(e, tolerance=1e-10)))
 
 
 @query("G6_bloc_mean")
@@ -207,10 +207,13 @@ def _(t):
     return S.correlated_pairs(B.sales(t).drop("variable"), 0.3, "entity")
 
 
-@query("T6_greedy_prune")
+@query("T6_greedy_prune", """WITH RECURSIVE o AS (SELECT entity AS name, row_number() OVER (ORDER BY sum(value) DESC, entity) AS position FROM {sales} GROUP BY 1),
+   c AS (SELECT a.entity AS a, b.entity AS b FROM sales a JOIN sales b ON a.date=b.date AND a.entity<>b.entity GROUP BY 1,2 HAVING abs(corr(a.value,b.value)) >= 0.2),
+   k(position, kept) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL
+     SELECT o.position, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.a=o.name AND list_contains(k.kept, c.b)) THEN k.kept ELSE list_append(k.kept, o.name) END FROM k JOIN o ON o.position=k.position+1)
+   SELECT name, position FROM o WHERE list_contains((SELECT arg_max(kept, position) FROM k), name)""")
 def _(t):
     s = B.sales(t)
     order = s.groupBy(F.col("entity").alias("name")).agg(F.sum("value").alias("v"))
-    order = order.withColumn("position", F.row_number().over(Window.orderBy(F.col("v").desc(), "name")))
-    kept = S.greedy_prune(order, S.correlated_pairs(s.drop("variable"), 0.2, "entity"))
-    return order.filter(F.col("name").isin(*kept)).select("name", "position")
+    order = order.withColumn("position", F.row_number().over(Window.orderBy(F.col("v").desc(), "name")).cast("long"))
+    return S.greedy_prune(order, S.correlated_pairs(s.drop("variable"), 0.2, "entity"))

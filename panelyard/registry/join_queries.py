@@ -119,10 +119,22 @@ def _(t):
     return t.supplier.select("s_suppkey", L.number(text).alias("value"))
 
 
-@query("S16_rating_score", """SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 21 WHEN 'BUILDING' THEN 20 WHEN 'FURNITURE' THEN 12 WHEN 'HOUSEHOLD' THEN NULL ELSE 1 END::DOUBLE AS score FROM customer""", "score")
+# The grades of each score, written out for the SQL side.
+GRADES = (
+    ("AAA Aaa", 21), ("AA+ Aa1", 20), ("AA Aa2", 19), ("AA- Aa3", 18), ("A+ A1", 17), ("A A2", 16), ("A- A3", 15), ("BBB+ Baa1", 14), ("BBB Baa2", 13), ("BBB- Baa3", 12),
+    ("BB+ Ba1", 11), ("BB Ba2", 10), ("BB- Ba3", 9), ("B+ B1", 8), ("B B2", 7), ("B- B3", 6), ("CCC+ Caa1", 5), ("CCC Caa2", 4), ("CCC- Caa3", 3), ("CC Ca", 2), ("C", 1),
+    ("D SD RD", 0), ("NR WD N.A.", None),
+)
+GRADE_LIST = [(g, v) for names, v in GRADES for g in names.split()]
+
+
+@query("S16_rating_score", f"""WITH g AS (SELECT * FROM (VALUES {", ".join(f"({i}, {'NULL' if v is None else v})" for i, (_, v) in enumerate(GRADE_LIST))}) g(i, score))
+   SELECT c_custkey, score::DOUBLE AS score FROM customer LEFT JOIN g ON c_custkey % {len(GRADE_LIST)} = i""", "score")
 def _(t):
+    names = F.array(*[F.lit(g) for g, _ in GRADE_LIST])
+    grade = F.get(names, (F.col("c_custkey") % len(GRADE_LIST)).cast("int"))
     s = F.col("c_mktsegment")
-    raw = F.when(s == "AUTOMOBILE", "AAA *-").when(s == "BUILDING", "AA+u").when(s == "FURNITURE", "(P)BBB-").when(s == "HOUSEHOLD", "NR").otherwise("D")
+    raw = F.when(s == "AUTOMOBILE", F.concat(grade, F.lit(" *-"))).when(s == "BUILDING", F.concat(grade, F.lit("u"))).when(s == "FURNITURE", F.concat(F.lit("(P)"), grade)).when(s == "HOUSEHOLD", F.concat(F.lit(" "), grade)).otherwise(grade)
     return t.customer.select("c_custkey", L.rating_score(raw).alias("score"))
 
 

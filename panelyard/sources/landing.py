@@ -143,11 +143,13 @@ def number(text: Column) -> Column:
     return F.when(negative, -v).otherwise(clean(v))
 
 
-# Agency rating scale, best 21 to default 1.
+# The 21-point scale of the agencies' grades, default 0.
 RATING_SCALE = {
     "AAA": 21, "AA+": 20, "AA": 19, "AA-": 18, "A+": 17, "A": 16, "A-": 15,
     "BBB+": 14, "BBB": 13, "BBB-": 12, "BB+": 11, "BB": 10, "BB-": 9,
-    "B+": 8, "B": 7, "B-": 6, "CCC+": 5, "CCC": 4, "CCC-": 3, "CC": 2, "C": 1, "D": 1,
+    "B+": 8, "B": 7, "B-": 6, "CCC+": 5, "CCC": 4, "CCC-": 3, "CC": 2, "C": 1, "D": 0, "SD": 0, "RD": 0,
+    "Aaa": 21, "Aa1": 20, "Aa2": 19, "Aa3": 18, "A1": 17, "A2": 16, "A3": 15, "Baa1": 14, "Baa2": 13, "Baa3": 12,
+    "Ba1": 11, "Ba2": 10, "Ba3": 9, "B1": 8, "B2": 7, "B3": 6, "Caa1": 5, "Caa2": 4, "Caa3": 3, "Ca": 2,
 }
 
 
