@@ -1,32 +1,37 @@
-"""Exact ranks and quantiles of groups of any size.
-
-A plain ``Window.partitionBy(group).orderBy(value)`` puts a whole cross-section into one
-task.  The largest group is counted first (a map-side combined aggregate); up to
-``panelyard.ranks.plainLimit`` rows the plain window is used.  Beyond it the input is
-settled once and every group is cut into value ranges: a hash sample of its rows gives the
-cut points, each range is ordered in its own task, and the range sizes are added up as
-offsets.  The sample only decides where a group is cut; every row is ranked, and the ranks
-are exact for any choice of cuts.
+"""Exact ranks and quantiles of groups of any size, in one way for every size.
+
+A window over a whole cross-section would put it into one task.  Here a group is cut into
+value ranges, each range is ordered by a task of its own, and the sizes of the ranges before
+it are added.  One grouped aggregate counts each group and takes the cut points from a
+mergeable quantile sketch; a group gets one range for every ``ROWS_PER_PIECE`` rows, so that
+small groups stay whole.  The sketch only decides where a group is cut: every row is ranked,
+and the ranks are exact for any cuts.  Equal values are counted before they are ordered, but
+for positions, whose ties are told apart by key.
+
+Everything is lazy.  The input of the two aggregates is persisted to disk, so that its own
+plan runs once.  Group keys are compared null-safe: NULL is a group like any other.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+ROWS_PER_PIECE = 1_000_000
+MOST_PIECES = 128
+ACCURACY = 2_000
 
-PLAIN_LIMIT = 1_000_000
-PIECES = 256
-SAMPLE_ONE_IN = 65_536
 
-
-def groups_fit_one_task(df: DataFrame, by: Sequence[str]) -> bool:
-    """True if the largest group of ``df`` has at most ``panelyard.ranks.plainLimit`` rows."""
-    limit = int(df.sparkSession.conf.get("panelyard.ranks.plainLimit", str(PLAIN_LIMIT)))
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return (largest or 0) <= limit
+def join_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which NULL keys are equal; the right side's keys are dropped."""
+    names = {c: f"_on_{i}" for i, c in enumerate(on)}
+    r = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    same = F.lit(True)
+    for c, n in names.items():
+        same = same & left[c].eqNullSafe(r[n])
+    return left.join(r, same, how).drop(*names.values())
 
 
 def running_weight(
@@ -36,69 +41,36 @@ def running_weight(
     weight: Column | None = None,
     cum: str = "_cum",
     total: str = "_total",
-    pieces: int = PIECES,
-    one_in: int = SAMPLE_ONE_IN,
+    rows_per_piece: int = ROWS_PER_PIECE,
+    pieces: int = MOST_PIECES,
 ) -> DataFrame:
     """Add the inclusive running weight in ``order`` and the weight of the whole group.
 
-    ``order`` must be unique within a group.  With weight 1 the running weight is the
-    position.
+    ``order`` must be unique within a group, and its first column is a number.  With weight
+    1 the running weight is the position.
     """
     by, order = list(by), list(order)
-    d = df.withColumn("_w", (F.lit(1) if weight is None else weight).cast("long"))
-    if groups_fit_one_task(df, by):
-        w = Window.partitionBy(*by)
-        run = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return d.withColumns(
-            {cum: F.sum("_w").over(run), total: F.sum("_w").over(w)}
-        ).drop("_w")
-    d = settle(d)
-    d = d.withColumn("_k", F.struct(*order))
-    sampled = d.filter(F.pmod(F.xxhash64(*by, *order), F.lit(one_in)) == 0)
-    points = F.sort_array(F.collect_list("_k"))
-    cuts = (
-        sampled.groupBy(*by)
-        .agg(points.alias("_p"))
-        .withColumn(
-            "_p",
-            F.when(F.size("_p") < pieces, F.col("_p")).otherwise(
-                F.transform(
-                    F.sequence(F.lit(1), F.lit(pieces - 1)),
-                    lambda i: F.element_at(
-                        "_p", F.greatest(F.lit(1), F.floor(i * F.size("_p") / pieces)).cast("int")
-                    ),
-                )
-            ),
-        )
-    )
-    d = (
-        d.join(cuts, by, "left")
-        .withColumn(
-            "_b",
-            F.coalesce(F.size(F.filter("_p", lambda p: p < F.col("_k"))), F.lit(0)),
-        )
-        .withColumn("_b", F.greatest(F.col("_b"), F.lit(0)))
-        .drop("_p")
-    )
-    sizes = d.groupBy(*by, "_b").agg(F.sum("_w").alias("_bw"))
-    w = Window.partitionBy(*by)
-    offsets = sizes.select(
-        *by,
-        "_b",
-        (
-            F.sum("_bw").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("_bw")
-        ).alias("_off"),
-        F.sum("_bw").over(w).alias(total),
-    )
-    local = F.sum("_w").over(
-        Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumn("_rw_w", (F.lit(1) if weight is None else weight).cast("long")).persist(StorageLevel.DISK_ONLY)
+    probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    groups = d.groupBy(*by).agg(
+        F.count("*").alias("_rw_n"), F.sum("_rw_w").alias(total), F.percentile_approx(F.col(order[0]).cast("double"), probs, F.lit(ACCURACY)).alias("_rw_p")
     )
+    k = F.least(F.ceil(F.col("_rw_n") / rows_per_piece), F.lit(pieces)).cast("int")
+    cuts = F.when(k > 1, F.transform(F.sequence(F.lit(1), k - 1), lambda i: F.get("_rw_p", (i * pieces / k).cast("int") - 1)))
+    groups = groups.withColumn("_rw_p", cuts).drop("_rw_n")
+    first = F.col(order[0]).cast("double")
+    at = F.coalesce(F.size(F.filter("_rw_p", lambda c: c < first)), F.lit(0))
+    d = join_safe(d, groups, by).withColumn("_rw_b", F.when(F.col("_rw_p").isNull(), 0).otherwise(at)).withColumn("_rw_cut", F.col("_rw_p").isNotNull()).drop("_rw_p")
+
+    sizes = d.filter("_rw_cut").groupBy(*by, "_rw_b").agg(F.sum("_rw_w").alias("_rw_bw"))
+    run = Window.partitionBy(*by).orderBy("_rw_b").rowsBetween(Window.unboundedPreceding, 0)
+    before = sizes.select(*by, "_rw_b", (F.sum("_rw_bw").over(run) - F.col("_rw_bw")).alias("_rw_off"))
+    local = Window.partitionBy(*by, "_rw_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.repartition(*[F.col(c) for c in by], F.col("_rw_b")).withColumn("_rw_local", F.sum("_rw_w").over(local))
     return (
-        d.withColumn("_local", local)
-        .join(offsets, [*by, "_b"])
-        .withColumn(cum, F.col("_local") + F.col("_off"))
-        .drop("_local", "_off", "_b", "_w", "_k")
+        join_safe(d, before, [*by, "_rw_b"], "left")
+        .withColumn(cum, F.col("_rw_local") + F.coalesce("_rw_off", F.lit(0)))
+        .drop("_rw_local", "_rw_off", "_rw_b", "_rw_w", "_rw_cut")
     )
 
 
@@ -111,10 +83,18 @@ def positions(
     out: str = "position",
     total: str = "group_n",
 ) -> DataFrame:
-    """1..n position of each non-null value in its group; ties are broken by ``tie``."""
+    """1..n position of each non-null value in its group; ties are broken by ``tie``.
+
+    Rows of one value are ordered together, however many they are.
+    """
     d = df.filter(F.col(value).isNotNull())
-    d = d.withColumn("_v", -F.col(value) if descending else F.col(value))
-    return running_weight(d, by, ["_v", *tie], cum=out, total=total).drop("_v")
+    d = d.withColumn("_rw_v", -F.col(value) if descending else F.col(value))
+    return running_weight(d, by, ["_rw_v", *tie], cum=out, total=total).drop("_rw_v")
+
+
+def histogram(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """How often each value occurs in its group; NULL values occur, with weight 0."""
+    return df.groupBy(*by, value).agg(F.count(value).alias("_times"))
 
 
 def average_ranks(
@@ -124,39 +104,22 @@ def average_ranks(
     out: str = "rank",
     total: str = "group_n",
     distinct: str | None = None,
-    fits: bool | None = None,
 ) -> DataFrame:
     """Tie-averaged ranks (1-based) of the non-null values; NULL values get NULL.
 
-    Equal values are counted before anything is ordered, so a value shared by very many
-    rows costs one row.  ``distinct`` names a column for the number of different values;
-    ``fits`` passes on the outcome of a size check already made for the same groups.
+    A value shared by very many rows costs one row before the ranks are joined back.
+    ``distinct`` names a column for the number of different values.
     """
     by = list(by)
-    if groups_fit_one_task(df, by) if fits is None else fits:
-        # NULL values sort last and are not counted, so they do not shift any rank.
-        w = Window.partitionBy(*by)
-        up = w.orderBy(F.col(value).asc_nulls_last())
-        has = F.col(value).isNotNull()
-        cols = {
-            out: F.when(has, (F.rank().over(up) + F.count(value).over(up)) / 2),
-            total: F.when(has, F.count(value).over(w)),
-        }
-        if distinct:
-            cols["_dense"] = F.when(has, F.dense_rank().over(up))
-        d = df.withColumns(cols)
-        if distinct:
-            d = d.withColumn(distinct, F.max("_dense").over(w).cast("long")).drop("_dense")
-        return d
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    r = running_weight(hist, by, [value], weight=F.col("_n"), total=total)
-    r = r.withColumn(out, F.col("_cum") - (F.col("_n") - 1) / 2)
-    keep = [*by, value, out, total]
+    hist = histogram(df, by, value)
+    r = running_weight(hist, by, [value], weight=F.col("_times"), total=total)
+    has = F.col(value).isNotNull()
+    r = r.withColumn(out, F.when(has, F.col("_cum") - (F.col("_times") - 1) / 2)).withColumn(total, F.when(has, F.col(total)))
+    r = join_safe(df, r.select(*by, value, out, total), [*by, value])
     if distinct:
-        d = hist.groupBy(*by).agg(F.count("*").alias(distinct))
-        r = r.join(d, by)
-        keep.append(distinct)
-    return df.join(r.select(*keep), [*by, value], "left")
+        n = df.groupBy(*by).agg(F.countDistinct(value).alias(distinct))
+        r = join_safe(r, n, by)
+    return r
 
 
 def group_quantiles(
@@ -164,24 +127,18 @@ def group_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, one column per entry of ``probs``.
 
-    Reads the two order statistics around each quantile off the exact positions instead of
-    holding a group's values in one aggregation buffer.
+    Reads the two order statistics around each quantile off the exact positions.  A group
+    without values has NULL quantiles.
     """
     by = list(by)
-    if groups_fit_one_task(df, by):
-        every = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()]))
-        return df.groupBy(*by).agg(every.alias("_q")).select(
-            *by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)]
-        )
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    r = running_weight(hist, by, [value], weight=F.col("_n"))
+    r = running_weight(histogram(df, by, value), by, [value], weight=F.col("_times"))
     parts, finals = [], []
     for name, p in probs.items():
         at = (F.col("_total") - 1) * F.lit(float(p))
         lo, hi = F.floor(at) + 1, F.ceil(at) + 1
 
         def holds(k: Column) -> Column:
-            return (F.col("_cum") >= k) & (F.col("_cum") - F.col("_n") < k)
+            return (F.col("_cum") >= k) & (F.col("_cum") - F.col("_times") < k)
 
         parts += [
             F.max(F.when(holds(lo), F.col(value))).alias(f"_{name}_lo"),

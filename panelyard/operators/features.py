@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.core import (
     SERIES, before, clean, clip, compounded, guarded, last_rows, month_start, prior_rows, ratio, series, so_far,
 )
-from ..functions.ranks import group_quantiles
+from ..functions.ranks import group_quantiles, join_safe
 
 MAD_SCALE = 1.4826
 
@@ -201,11 +201,11 @@ def full_mad_winsor(
     """Clip to the whole-sample median +- k scaled MAD of each series."""
     by = list(by)
     med = group_quantiles(df, by, value, {"_med": 0.5})
-    d = df.join(med, by)
+    d = join_safe(df, med, by)
     mad = group_quantiles(
         d.withColumn("_dev", F.abs(F.col(value) - F.col("_med"))), by, "_dev", {"_mad": 0.5}
     )
-    d = d.join(mad, by, "left")
+    d = join_safe(d, mad, by)
     r = k * MAD_SCALE * F.col("_mad")
     return d.withColumn(out, clip(value, F.col("_med") - r, F.col("_med") + r)).drop("_med", "_mad")
 

@@ -202,6 +202,8 @@ def with_panels(sql: str) -> str:
         return sql
     ctes = ", ".join(f"{n} AS MATERIALIZED ({PANELS[n]})" for n in wanted)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"

@@ -1,16 +1,19 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from panelyard.functions import ranks
+from panelyard.operators.features import full_mad_winsor
 
+SIZES = [1_000_000, 7]
 
-@pytest.fixture()
-def always_split(spark):
-    spark.conf.set("panelyard.ranks.plainLimit", "0")
-    yield
-    spark.conf.unset("panelyard.ranks.plainLimit")
+
+@pytest.fixture(params=SIZES)
+def piece(request, monkeypatch):
+    """Whole groups, and groups cut into many pieces: the results must not differ."""
+    f = ranks.running_weight
+    monkeypatch.setattr(ranks, "running_weight", lambda *a, **k: f(*a, **{"rows_per_piece": request.param} | k))
+    return request.param
 
 
 def frame(seed=1, n=400):
@@ -20,16 +23,22 @@ def frame(seed=1, n=400):
     return pdf
 
 
-def test_split_positions_are_exact_for_any_cuts(spark, always_split):
+def null_rows(spark):
+    """A NULL group, a group of NULL values only, a NaN and ties."""
+    rows = [(None, "a", 1.0), (None, "b", 3.0), (None, "c", None), ("n", "d", None), ("n", "e", None), ("t", "f", 2.0), ("t", "g", 2.0), ("t", "h", float("nan")), ("t", "i", -1.0)]
+    return spark.createDataFrame(rows, "g string, k string, v double")
+
+
+def test_positions_are_exact(spark, piece):
     pdf = frame()
-    d = ranks.running_weight(spark.createDataFrame(pdf), ["g"], ["v", "k"], pieces=7, one_in=3).toPandas()
+    d = ranks.positions(spark.createDataFrame(pdf), ["g"], "v", ["k"]).toPandas()
     want = pdf.sort_values(["g", "v", "k"])
     want["pos"] = want.groupby("g").cumcount() + 1
     m = d.merge(want[["k", "pos"]], on="k")
-    assert (m["_cum"] == m["pos"]).all() and len(m) == len(pdf)
+    assert (m["position"] == m["pos"]).all() and len(m) == len(pdf)
 
 
-def test_split_average_ranks_match_pandas(spark, always_split):
+def test_average_ranks_match_pandas(spark, piece):
     pdf = frame(2)
     d = ranks.average_ranks(spark.createDataFrame(pdf), ["g"], "v", distinct="nd").toPandas().set_index("k")
     want = pdf.assign(r=pdf.groupby("g")["v"].rank(method="average")).set_index("k")
@@ -37,15 +46,33 @@ def test_split_average_ranks_match_pandas(spark, always_split):
     assert d.groupby("g")["nd"].first().to_dict() == pdf.groupby("g")["v"].nunique().to_dict()
 
 
-def test_plain_and_split_quantiles_agree(spark, always_split):
+def test_quantiles_match_pandas(spark, piece):
     pdf = frame(3)
     probs = {"q1": 0.1, "q5": 0.5, "q9": 0.93}
-    split = ranks.group_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs).toPandas().set_index("g").sort_index()
+    got = ranks.group_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs).toPandas().set_index("g").sort_index()
     for n, p in probs.items():
-        assert np.allclose(split[n], pdf.groupby("g")["v"].quantile(p).sort_index())
+        assert np.allclose(got[n], pdf.groupby("g")["v"].quantile(p).sort_index())
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 1])
+def test_null_groups_and_values_stay(spark, monkeypatch, rows):
+    f = ranks.running_weight
+    monkeypatch.setattr(ranks, "running_weight", lambda *a, **k: f(*a, **{"rows_per_piece": rows} | k))
+    d = null_rows(spark)
+    r = {x.k: (x["rank"], x.group_n) for x in ranks.average_ranks(d, ["g"], "v").collect()}
+    assert r == {"a": (1.0, 2), "b": (2.0, 2), "c": (None, None), "d": (None, None), "e": (None, None), "f": (2.5, 4), "g": (2.5, 4), "h": (4.0, 4), "i": (1.0, 4)}
+    p = {x.k: (x.position, x.group_n) for x in ranks.positions(d, ["g"], "v", ["k"]).collect()}
+    assert p == {"a": (1, 2), "b": (2, 2), "i": (1, 4), "f": (2, 4), "g": (3, 4), "h": (4, 4)}
+    q = {x.g: x.m for x in ranks.group_quantiles(d, ["g"], "v", {"m": 0.5}).collect()}
+    assert q == {None: 2.0, "n": None, "t": 2.0}
+
+
+def test_winsor_keeps_every_row(spark):
+    assert full_mad_winsor(null_rows(spark), by=["g"], value="v", out="v").count() == 9
 
 
-def test_null_values_get_no_rank(spark):
-    d = spark.createDataFrame([("a", "x", 1.0), ("a", "y", None), ("a", "z", 2.0)], "g string, k string, v double")
-    r = {x["k"]: (x["rank"], x["group_n"]) for x in ranks.average_ranks(d, ["g"], "v").collect()}
-    assert r == {"x": (1.0, 2), "y": (None, None), "z": (2.0, 2)}
+def test_no_job_before_an_action(spark):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    d = ranks.average_ranks(null_rows(spark), ["g"], "v")
+    ranks.group_quantiles(d, ["g"], "v", {"m": 0.5})
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before
