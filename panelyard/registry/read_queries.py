@@ -1,5 +1,4 @@
 """Read functions, contracts and streaming replays."""
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -10,6 +9,7 @@ from ..operators import markets as M
 from ..operators import portfolio as P
 from ..plans import contracts as C
 from ..plans import reads as Q
+from ..session import checkpoint_folder
 from ..streaming import jobs as ST
 from . import base as B
 from .base import query
@@ -127,48 +127,68 @@ def event_stream(t):
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drain(df, name, mode="append"):
+LATE = "2 days"
+CLOSED = "(SELECT max(ts) - INTERVAL 2 DAY FROM events)"
+DAYS = f"WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {CLOSED}"
+
+
+def _drain(df, name):
+    """Replay into a folder of its own; windows that the watermark has not closed stay out."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="panelyard-stream-") if where is None else f"{where}/{name}"
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
-    return ST.run_to_end(df, table, f"{folder}/{table}", mode)
+    return ST.run_to_end(df, f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
 
 
-@query("ST1_document_day", """SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n_articles, sum(value) AS total, stddev_pop(value) AS dispersion FROM events GROUP BY 1,2""", "total dispersion")
+@query("ST1_document_day", f"""SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n_articles, sum(value) AS total, stddev_pop(value) AS dispersion FROM events {DAYS} GROUP BY 1,2""", "total dispersion")
 def _(t):
-    return _drain(ST.document_day(event_stream(t), "event_id", "ts", ["event_type"]), "st1", "complete")
+    return _drain(ST.document_day(event_stream(t), "event_id", "ts", ["event_type"], LATE), "st1")
 
 
-@query("ST2_window_prints", """SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, user_id, arg_min(value,ts) AS first_print, arg_max(value,ts) AS last_print, count(*) AS n FROM events GROUP BY 1,2""", "first_print last_print")
+@query("ST2_window_prints", f"""SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, user_id, arg_min(value,ts) AS first_print, arg_max(value,ts) AS last_print, count(*) AS n FROM events GROUP BY 1,2 HAVING start + INTERVAL 6 HOUR <= {CLOSED}""", "first_print last_print")
 def _(t):
-    return _drain(ST.window_prints(event_stream(t), "user_id", "ts", "value"), "st2", "complete")
+    return _drain(ST.window_prints(event_stream(t), "user_id", "ts", "value", lateness=LATE), "st2")
 
 
-@query("ST7_activity_sessions", """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS c FROM events)) GROUP BY user_id, s""")
+@query("ST7_activity_sessions", f"""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS c FROM events)) GROUP BY user_id, s HAVING max(ts) + INTERVAL 12 HOUR <= {CLOSED}""")
 def _(t):
-    return _drain(ST.activity_sessions(event_stream(t), "user_id", "ts", "12 hours"), "st7", "complete")
+    return _drain(ST.activity_sessions(event_stream(t), "user_id", "ts", "12 hours", LATE), "st7")
 
 
-def user_days(t):
+def user_events(t):
     e = event_stream(t)
-    return e.select(F.col("event_type").alias("detector"), F.col("user_id").cast("string").alias("entity"), F.to_date("ts").alias("date"), F.when(F.col("value") >= 30, F.col("value") / 30).alias("severity"), "value")
+    return e.select(F.col("event_type").alias("detector"), F.col("user_id").cast("string").alias("entity"), "ts", F.when(F.col("value") >= 30, F.col("value") / 30).alias("severity"), "value")
 
 
-@query("ST3_detector_states", """WITH s AS (SELECT event_type AS detector, user_id::VARCHAR AS entity, CAST(ts AS DATE) AS date, min(CASE WHEN value>=30 THEN value/30 END) AS sev FROM events GROUP BY 1,2,3), g AS (SELECT *, count(*) FILTER (sev IS NULL) OVER (PARTITION BY detector, entity ORDER BY date) AS grp, lag(sev) OVER (PARTITION BY detector, entity ORDER BY date) AS prev FROM s),
+@query("ST3_detector_states", f"""WITH s AS (SELECT event_type AS detector, user_id::VARCHAR AS entity, CAST(ts AS DATE) AS date, max(CASE WHEN value>=30 THEN value/30 END) AS sev FROM events {DAYS} GROUP BY 1,2,3), g AS (SELECT *, count(*) FILTER (sev IS NULL) OVER (PARTITION BY detector, entity ORDER BY date) AS grp, lag(sev) OVER (PARTITION BY detector, entity ORDER BY date) AS prev FROM s),
    r AS (SELECT *, row_number() OVER (PARTITION BY detector, entity, grp, sev IS NULL ORDER BY date) AS n, min(date) OVER (PARTITION BY detector, entity, grp, sev IS NULL) AS f FROM g), p AS (SELECT *, lag(n) OVER (PARTITION BY detector, entity ORDER BY date) AS pn, lag(f) OVER (PARTITION BY detector, entity ORDER BY date) AS pf FROM r)
    SELECT detector, entity, date, CASE WHEN sev IS NULL THEN 'resolved' WHEN prev IS NULL THEN 'new' WHEN sev>=1.2*prev THEN 'intensifying' WHEN sev<=0.8*prev THEN 'fading' ELSE 'persisting' END AS status, coalesce(sev,0.0) AS severity, CASE WHEN sev IS NULL THEN pf ELSE f END AS first_seen, CASE WHEN sev IS NULL THEN pn ELSE n END AS days_active FROM p WHERE sev IS NOT NULL OR prev IS NOT NULL""", "severity")
 def _(t):
-    return _drain(ST.detector_states(user_days(t).drop("value")), "st3")
+    return _drain(ST.detector_states(user_events(t).drop("value"), lateness=LATE, expiry=10_000), "st3")
+
+
+@query("ST4_episode_events", f"""WITH RECURSIVE d AS (SELECT event_type||'|'||user_id::VARCHAR AS episode_key, CAST(ts AS DATE) AS date, bool_or(value > 40) AS trigger, sum((value % 7 - 3)/100) AS ret FROM events {DAYS} GROUP BY 1,2),
+   n AS (SELECT *, row_number() OVER (PARTITION BY episode_key ORDER BY date) AS i FROM d),
+   e AS (SELECT episode_key, date, i, CASE WHEN trigger THEN 1 ELSE 0 END::BIGINT AS instance, CASE WHEN trigger THEN 'open' END AS event, CASE WHEN trigger THEN 0.0 END::DOUBLE AS move, CASE WHEN trigger THEN date END AS opened, 0::BIGINT AS age FROM n WHERE i=1
+     UNION ALL SELECT n.episode_key, n.date, n.i, CASE WHEN e.opened IS NULL AND n.trigger THEN e.instance+1 ELSE e.instance END,
+       CASE WHEN e.opened IS NULL THEN CASE WHEN n.trigger THEN 'open' END WHEN (1+e.move)*(1+n.ret)-1 >= 0.03 THEN 'absorbed' WHEN n.date-e.opened > 20 THEN 'expired' ELSE 'mark' END,
+       CASE WHEN e.opened IS NULL THEN CASE WHEN n.trigger THEN 0.0 END ELSE (1+e.move)*(1+n.ret)-1 END,
+       CASE WHEN e.opened IS NULL THEN CASE WHEN n.trigger THEN n.date END WHEN (1+e.move)*(1+n.ret)-1 >= 0.03 OR n.date-e.opened > 20 THEN NULL ELSE e.opened END,
+       CASE WHEN e.opened IS NULL THEN 0 ELSE n.date-e.opened END FROM e JOIN n ON n.episode_key=e.episode_key AND n.i=e.i+1)
+   SELECT episode_key, date, instance, event, move, age FROM e WHERE event IS NOT NULL""", "move", digits=5)
+def _(t):
+    d = user_events(t).select(F.concat_ws("|", "detector", "entity").alias("episode_key"), "ts", (F.col("value") > 40).alias("trigger"), ((F.col("value") % 7 - 3) / 100).alias("ret"))
+    return _drain(ST.episode_events(d, 0.03, 20, lateness=LATE), "st4")
 
 
-@query("ST4_episode_events")
+@query("ST5_latest_batch_wins", """SELECT user_id, event_type, arg_max(value, struct_pack(ts := ts, event_id := event_id)) AS value, max(ts) AS ts FROM events GROUP BY 1,2""", "value")
 def _(t):
-    d = user_days(t).select(F.concat_ws("|", "detector", "entity").alias("episode_key"), "date", (F.col("value") > 40).alias("trigger"), ((F.col("value") % 7 - 3) / 100).alias("ret"))
-    return _drain(ST.episode_events(d, 0.03, 20), "st4")
+    folder = f"{checkpoint_folder(t.spark)}/st5-{uuid.uuid4().hex}"
+    sink = ST.upsert_sink(["user_id", "event_type"], f"{folder}/out", ["ts", "event_id"])
+    q = event_stream(t).select("user_id", "event_type", "ts", "event_id", "value").writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return ST.read_upserts(t.spark, f"{folder}/out", ["user_id", "event_type"], ["ts", "event_id"]).drop("event_id")
 
 
-@query("ST6_smoothed_state", """WITH s AS (SELECT user_id::VARCHAR AS entity, CAST(ts AS DATE) AS date, min(value) AS value FROM events GROUP BY 1,2) SELECT entity, date, value, list_reduce(array_agg(value) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING), lambda a, x: a*(1-2.0/11)+x*2.0/11) AS ewm,
+@query("ST6_smoothed_state", f"""WITH s AS (SELECT user_id::VARCHAR AS entity, CAST(ts AS DATE) AS date, avg(value) AS value FROM events {DAYS} GROUP BY 1,2) SELECT entity, date, value, list_reduce(array_agg(value) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING), lambda a, x: a*(1-2.0/11)+x*2.0/11) AS ewm,
    CASE WHEN count(value) OVER w >= 5 AND stddev_pop(value) OVER w > 0 THEN (value-avg(value) OVER w)/stddev_pop(value) OVER w END AS z FROM s WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "value ewm z")
 def _(t):
-    return _drain(ST.smoothed(user_days(t).select("entity", "date", "value"), 10, 5), "st6")
+    return _drain(ST.smoothed(user_events(t).select("entity", "ts", "value"), 10, 5, lateness=LATE), "st6")

@@ -38,32 +38,50 @@ def activity_sessions(stream: DataFrame, key: str, ts: str, gap: str = "1 day",
         F.count("*").alias("n")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
+def by_day(stream: DataFrame, ts: str, keys: Sequence[str], lateness: str, **sums) -> DataFrame:
+    """One row per (keys, day), emitted once the watermark has passed the day.
+
+    All rows of a day enter its row, in whatever order they come; rows later than
+    ``lateness`` are dropped and counted in the query's progress (``late_rows``).  Days leave
+    in date order, so that what is keyed behind it sees each key's days in order.
+    """
+    d = stream.withWatermark(ts, lateness).groupBy(F.window(ts, "1 day").alias("w"), *keys).agg(*[c.alias(n) for n, c in sums.items()])
+    return d.select(*keys, F.to_date("w.start").alias("date"), *sums)
+
+
+def late_rows(query) -> int:
+    """Rows that a finished or running query has dropped as too late."""
+    return sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for o in p.get("stateOperators", []))
+
+
 DETECTOR_OUT = T.StructType([T.StructField(n, t) for n, t in (
     ("detector", T.StringType()), ("entity", T.StringType()), ("date", T.DateType()), ("status", T.StringType()), ("severity", T.DoubleType()),
     ("first_seen", T.DateType()), ("days_active", T.LongType()))])
-DETECTOR_STATE = "severity double, first_seen date, last_date date, days_active long"
 
 
 class DetectorState(StatefulProcessor):
-    """Status of each (detector, entity) over successive runs.
+    """Status of each (detector, entity) over successive days, given in date order.
 
-    Rows carry (detector, entity, date, severity); a NULL severity says the detector ran and
-    did not fire.  Runs arrive in date order per key up to the watermark; a row not newer
-    than the state's date is late and changes nothing.
+    A NULL severity says the detector ran and did not fire.  Only active detections have
+    state: it is cleared when one is resolved, or when ``expiry`` days have passed without a
+    day of the key, after which the next one is new.
     """
 
+    def __init__(self, expiry: int = 90):
+        self.expiry = expiry
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("active", DETECTOR_STATE)
+        self.state = handle.getValueState("active", "severity double, first_seen date, last_date date, days_active long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["date", "severity"], kind="stable")
+        pdf = pd.concat(list(rows)).sort_values("date", kind="stable")
         cur = self.state.get() if self.state.exists() else None
         out = []
         for r in pdf.itertuples(index=False):
-            if cur is not None and r.date <= cur[2]:
-                continue
+            if cur is not None and (r.date - cur[2]).days > self.expiry:
+                cur = None
             fired = r.severity is not None and r.severity == r.severity
-            if fired and (cur is None or cur[3] == 0):
+            if fired and cur is None:
                 cur = (float(r.severity), r.date, r.date, 1)
                 out.append((*key, r.date, "new", float(r.severity), r.date, 1))
             elif fired:
@@ -71,20 +89,24 @@ class DetectorState(StatefulProcessor):
                 status = "intensifying" if ps > 0 and ns >= 1.2 * ps else "fading" if ps > 0 and ns <= 0.8 * ps else "persisting"
                 cur = (float(r.severity), cur[1], r.date, cur[3] + 1)
                 out.append((*key, r.date, status, float(r.severity), cur[1], cur[3]))
-            elif cur is not None and cur[3] > 0:
+            elif cur is not None:
                 out.append((*key, r.date, "resolved", 0.0, cur[1], cur[3]))
-                cur = (0.0, r.date, r.date, 0)
+                cur = None
         if cur is not None:
             self.state.update(cur)
+        elif self.state.exists():
+            self.state.clear()
         yield pd.DataFrame(out, columns=DETECTOR_OUT.names)
 
     def close(self) -> None:
         pass
 
 
-def detector_states(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("detector", "entity").transformWithStateInPandas(
-        statefulProcessor=DetectorState(), outputStructType=DETECTOR_OUT, outputMode="Append", timeMode="None")
+def detector_states(stream: DataFrame, ts: str = "ts", lateness: str = "2 days", expiry: int = 90) -> DataFrame:
+    """stream (detector, entity, ts, severity) -> statuses; the strongest firing of a day counts."""
+    days = by_day(stream, ts, ["detector", "entity"], lateness, severity=F.max("severity"))
+    return days.groupBy("detector", "entity").transformWithStateInPandas(
+        statefulProcessor=DetectorState(expiry), outputStructType=DETECTOR_OUT, outputMode="Append", timeMode="None")
 
 
 EPISODE_OUT = T.StructType([T.StructField(n, t) for n, t in (
@@ -92,23 +114,20 @@ EPISODE_OUT = T.StructType([T.StructField(n, t) for n, t in (
 
 
 class EpisodeState(StatefulProcessor):
-    """One open episode per key: open on a trigger, mark with each move, close when absorbed or
-    too old; the instance number counts re-openings."""
+    """One open episode per key: open on a trigger, mark with each day's move, close when
+    absorbed or too old; the instance number counts re-openings."""
 
     def __init__(self, absorbed: float = 0.03, max_age: int = 63):
         self.absorbed, self.max_age = absorbed, max_age
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("episode", "instance long, opened date, last_date date, cum double")
+        self.state = handle.getValueState("episode", "instance long, opened date, cum double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["date", "trigger", "ret"], kind="stable")
-        inst, opened, last, cum = self.state.get() if self.state.exists() else (0, None, None, 0.0)
+        pdf = pd.concat(list(rows)).sort_values("date", kind="stable")
+        inst, opened, cum = self.state.get() if self.state.exists() else (0, None, 0.0)
         out = []
         for r in pdf.itertuples(index=False):
-            if last is not None and r.date <= last:
-                continue
-            last = r.date
             if opened is None:
                 if r.trigger:
                     inst, opened, cum = inst + 1, r.date, 0.0
@@ -120,16 +139,18 @@ class EpisodeState(StatefulProcessor):
             out.append((key[0], r.date, inst, event, cum, age))
             if event != "mark":
                 opened = None
-        self.state.update((inst, opened, last, cum))
+        self.state.update((inst, opened, cum))
         yield pd.DataFrame(out, columns=EPISODE_OUT.names)
 
     def close(self) -> None:
         pass
 
 
-def episode_events(stream: DataFrame, absorbed: float = 0.03, max_age: int = 63) -> DataFrame:
-    """stream (episode_key, date, trigger, ret) -> open / mark / absorbed / expired events."""
-    return stream.groupBy("episode_key").transformWithStateInPandas(
+def episode_events(stream: DataFrame, absorbed: float = 0.03, max_age: int = 63, ts: str = "ts", lateness: str = "2 days") -> DataFrame:
+    """stream (episode_key, ts, trigger, ret) -> open / mark / absorbed / expired events; a day
+    triggers if any of its rows does, and its returns add up."""
+    days = by_day(stream, ts, ["episode_key"], lateness, trigger=F.bool_or("trigger"), ret=F.sum("ret"))
+    return days.groupBy("episode_key").transformWithStateInPandas(
         statefulProcessor=EpisodeState(absorbed, max_age), outputStructType=EPISODE_OUT, outputMode="Append", timeMode="None")
 
 
@@ -143,16 +164,16 @@ class SmoothState(StatefulProcessor):
         self.alpha, self.minimum = 2 / (span + 1), minimum
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("moments", "n long, mean double, m2 double, ewm double, last_date date")
+        self.state = handle.getValueState("moments", "n long, mean double, m2 double, ewm double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["date", "value"], kind="stable")
-        n, mean, m2, ewm, last = self.state.get() if self.state.exists() else (0, 0.0, 0.0, None, None)
+        pdf = pd.concat(list(rows)).sort_values("date", kind="stable")
+        n, mean, m2, ewm = self.state.get() if self.state.exists() else (0, 0.0, 0.0, None)
         out = []
         for r in pdf.itertuples(index=False):
-            if last is not None and r.date <= last:
+            if r.value is None or r.value != r.value:
                 continue
-            x, last = float(r.value), r.date
+            x = float(r.value)
             sd = (m2 / n) ** 0.5 if n else 0.0
             z = (x - mean) / sd if n >= self.minimum and sd > 0 else None
             ewm = x if ewm is None else (1 - self.alpha) * ewm + self.alpha * x
@@ -161,42 +182,63 @@ class SmoothState(StatefulProcessor):
             mean += d / n
             m2 += d * (x - mean)
             out.append((key[0], r.date, x, ewm, z))
-        self.state.update((n, mean, m2, ewm, last))
+        self.state.update((n, mean, m2, ewm))
         yield pd.DataFrame(out, columns=SMOOTH_OUT.names)
 
     def close(self) -> None:
         pass
 
 
-def smoothed(stream: DataFrame, span: int = 10, minimum: int = 5) -> DataFrame:
-    return stream.groupBy("entity").transformWithStateInPandas(
+def smoothed(stream: DataFrame, span: int = 10, minimum: int = 5, ts: str = "ts", lateness: str = "2 days") -> DataFrame:
+    """stream (entity, ts, value) -> smoothed daily means."""
+    days = by_day(stream, ts, ["entity"], lateness, value=F.avg("value"))
+    return days.groupBy("entity").transformWithStateInPandas(
         statefulProcessor=SmoothState(span, minimum), outputStructType=SMOOTH_OUT, outputMode="Append", timeMode="None")
 
 
-def upsert_sink(keys: Sequence[str], path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: the latest batch wins per key.
+def upsert_sink(keys: Sequence[str], path: str, order: Sequence[str] = (), every: int = 20) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink: the latest batch wins per key, inside a batch the last by ``order``.
 
-    Every batch is one immutable folder; readers fold the folders by key (``read_upserts``),
-    so a batch replayed after a failure overwrites only itself.
+    Every batch is one immutable folder, so a batch replayed after a failure overwrites only
+    itself.  Every ``every`` batches the folder holds the whole folded table instead, and
+    readers start from the last such one.
     """
 
     def write(df: DataFrame, epoch: int) -> None:
-        df.withColumn("batch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        d = df.withColumn("batch", F.lit(epoch).cast("long"))
+        full = epoch > 0 and epoch % every == 0
+        if full:
+            before = df.sparkSession.read.parquet(path).filter(F.col("epoch") < epoch)
+            d = _folded(_since_full(before).unionByName(d.withColumn("full", F.lit(True))), keys, order)
+        d.drop("full", "epoch").withColumn("full", F.lit(full)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
 
 
-def read_upserts(spark, path: str, keys: Sequence[str]) -> DataFrame:
-    from ..sources.merge import upsert_batches
+def _since_full(stored: DataFrame) -> DataFrame:
+    start = stored.filter("full").agg(F.coalesce(F.max("epoch"), F.lit(-1))).first()[0]
+    return stored.filter(F.col("epoch") >= start).drop("epoch")
+
+
+def _folded(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("batch", *order)).alias("_r"))
+    return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
-    return upsert_batches(spark.read.parquet(path).drop("epoch"), keys)
 
+def read_upserts(spark, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    return _folded(_since_full(spark.read.parquet(path)), keys, order).drop("batch", "full")
 
-def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drain the available input into an in-memory table (tests and small replays)."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def run_to_end(df: DataFrame, folder: str) -> DataFrame:
+    """Drain the available input in append mode into ``folder`` and read the result back.
+
+    The sink and the state live in ``folder``, which driver and executors share; what the
+    watermark has not closed stays in the state for the next run.
+    """
+    q = df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")

@@ -113,29 +113,51 @@ def test_late_and_duplicate_documents_drop(spark, tmp_path):
     assert second == {dt.date(2024, 1, 1): 2, dt.date(2024, 1, 10): 1}
 
 
+def at(day, hour=12):
+    return dt.datetime(2024, 1, 1, hour) + dt.timedelta(days=day - 1)
+
+
 def test_detector_state_across_batches(spark, tmp_path):
-    schema = "detector string, entity string, date date, severity double"
-    d = lambda n: dt.date(2024, 1, n)
+    schema = "detector string, entity string, ts timestamp, severity double"
     src = tmp_path / "det"
-    job = lambda: drain(spark, ST.detector_states(spark.readStream.schema(schema).parquet(str(src))), tmp_path)
-    write_batches(spark, src, [[("D1", "E", d(1), 2.0), ("D1", "E", d(2), 3.0)]], schema)
+    job = lambda: drain(spark, ST.detector_states(spark.readStream.schema(schema).parquet(str(src)), lateness="1 day"), tmp_path)
+    write_batches(spark, src, [[("D1", "E", at(1), 2.0), ("D1", "E", at(2), 2.5), ("X", "E", at(3), None)]], schema)
     job()
-    write_batches(spark, src, [[("D1", "E", d(2), 9.0), ("D1", "E", d(3), None), ("D1", "E", d(4), 1.0)]], schema)
-    b = [(r["status"], r["days_active"]) for r in job().orderBy("date").collect()]
-    assert b == [("new", 1), ("intensifying", 2), ("resolved", 2), ("new", 1)]
+    # the second row of day 2 is in time; day 1 is closed by then and its late row drops
+    write_batches(spark, src, [[("D1", "E", at(2, 9), 3.0), ("D1", "E", at(4), None)], [("D1", "E", at(1, 3), 99.0), ("D1", "E", at(5), 1.0), ("X", "E", at(9), None)]], schema)
+    b = [(r["status"], r["days_active"], r["severity"]) for r in job().orderBy("date").collect()]
+    assert b == [("new", 1, 2.0), ("intensifying", 2, 3.0), ("resolved", 2, 0.0), ("new", 1, 1.0)]
+
+
+def test_arrival_order_does_not_matter(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [("D", f"e{k}", at(d, h), float(rng.normal(2, 1)) if rng.random() < 0.7 else None) for k in range(3) for d in range(1, 15) for h in (1, 9, 20)] + [("Z", "z", at(60), None)]
+    schema = "detector string, entity string, ts timestamp, severity double"
+    out = []
+    for n, order in enumerate(([*range(len(rows))], rng.permutation(len(rows)))):
+        src, files = tmp_path / f"in{n}", 1 if n == 0 else 5
+        write_batches(spark, src, [[rows[i] for i in order[f::files]] for f in range(files)], schema)
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+        out.append(sorted(map(str, ST.run_to_end(ST.detector_states(s, lateness="70 days"), str(tmp_path / f"run{n}")).collect())))
+    assert out[0] == out[1]
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in1"))
+    got = ST.run_to_end(ST.detector_states(s.withColumn("ts", F.col("ts")), lateness="59 days"), str(tmp_path / "wide"))
+    one = spark.readStream.schema(schema).parquet(str(tmp_path / "in0"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, ST.run_to_end(ST.detector_states(one, lateness="59 days"), str(tmp_path / "one")).collect()))
 
 
 def test_episode_stream_matches_a_loop(spark, tmp_path):
     rng = np.random.default_rng(3)
-    rows = [(f"k{k}", dt.date(2024, 1, 1) + dt.timedelta(days=i), bool(rng.random() < 0.2), float(rng.normal(0.004, 0.02))) for k in range(5) for i in range(60)]
-    schema = "episode_key string, date date, trigger boolean, ret double"
+    rows = [(f"k{k}", at(i + 1), bool(rng.random() < 0.2), float(rng.normal(0.004, 0.02))) for k in range(5) for i in range(60)]
+    schema = "episode_key string, ts timestamp, trigger boolean, ret double"
     src = tmp_path / "ep"
-    write_batches(spark, src, [rows], schema)
-    got = ST.run_to_end(ST.episode_events(spark.readStream.schema(schema).parquet(str(src)), 0.03, 20), "ep_out", str(tmp_path / "cp")).toPandas()
+    write_batches(spark, src, [rows + [("end", at(99), False, 0.0)]], schema)
+    got = ST.run_to_end(ST.episode_events(spark.readStream.schema(schema).parquet(str(src)), 0.03, 20, lateness="1 day"), str(tmp_path / "cp")).toPandas()
     want = []
     for k in sorted({r[0] for r in rows}):
         inst, opened, cum = 0, None, 0.0
-        for _, day, trig, ret in [r for r in rows if r[0] == k]:
+        for _, ts, trig, ret in [r for r in rows if r[0] == k]:
+            day = ts.date()
             if opened is None:
                 if trig:
                     inst, opened, cum = inst + 1, day, 0.0
@@ -148,6 +170,14 @@ def test_episode_stream_matches_a_loop(spark, tmp_path):
     assert sorted(map(tuple, got[["episode_key", "date", "instance", "event"]].values.tolist())) == sorted(want)
 
 
+def test_upserts_fold_across_compaction(spark, tmp_path):
+    sink, path = ST.upsert_sink(["k"], str(tmp_path / "u"), ["s"], every=2), str(tmp_path / "u")
+    for epoch in range(5):
+        sink(spark.createDataFrame([("a", epoch, float(epoch)), ("a", epoch - 1, -1.0), (f"k{epoch}", 0, float(epoch))], "k string, s int, v double"), epoch)
+    got = {r["k"]: r["v"] for r in ST.read_upserts(spark, path, ["k"], ["s"]).collect()}
+    assert got == {"a": 4.0, **{f"k{e}": float(e) for e in range(5)}}
+
+
 def test_day_status(spark):
     exp = spark.createDataFrame([(dt.date(2024, 1, i), 4) for i in (1, 2, 3)], "date date, n_files int")
     seen = spark.createDataFrame([(dt.date(2024, 1, 1), 4), (dt.date(2024, 1, 2), 1)], "date date, n_seen int")
