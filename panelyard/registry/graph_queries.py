@@ -87,7 +87,7 @@ DAILY_FEATURES = f"""WITH {NORM}, cal AS (SELECT date, row_number() OVER (ORDER
    p AS (SELECT raw.*, i, lead(i) OVER (PARTITION BY entity ORDER BY i) AS nx FROM raw JOIN cal USING (date)),
    m AS MATERIALIZED (SELECT cal.date, entity, ret21, ret63, dd, (dd <= -0.10)::INT::DOUBLE AS deep FROM p JOIN cal ON cal.i BETWEEN p.i AND p.i+5 AND (nx IS NULL OR cal.i < nx)),
    h AS (SELECT a.src, b.dst, sum(a.weight*b.weight) AS weight FROM w a JOIN w b ON a.dst=b.src WHERE a.src<>b.dst GROUP BY 1,2),
-   bank AS (SELECT src, dst, weight FROM {{trade}} WHERE year=1998 AND src<>dst), hold AS (SELECT dst AS src, src AS dst, weight FROM trade WHERE year=1997 AND src<>dst),
+   bank AS (SELECT src, dst, sum(ln(1+weight)) AS weight FROM {{trade}} WHERE src<>dst GROUP BY 1,2), hold AS (SELECT dst AS src, src AS dst, sum(weight) AS weight FROM trade WHERE src<>dst GROUP BY 1,2),
    g1 AS (SELECT src AS entity, m.date, sum(weight*ret21) FILTER (ret21 IS NOT NULL)/sum(weight) FILTER (ret21 IS NOT NULL) AS a, sum(weight*ret63) FILTER (ret63 IS NOT NULL)/sum(weight) FILTER (ret63 IS NOT NULL) AS b, sum(weight*deep)/sum(weight) AS d FROM e JOIN m ON m.entity=e.dst GROUP BY 1,2),
    g2 AS (SELECT src AS entity, m.date, sum(weight*ret21) FILTER (ret21 IS NOT NULL)/sum(weight) FILTER (ret21 IS NOT NULL) AS a, sum(weight*ret63) FILTER (ret63 IS NOT NULL)/sum(weight) FILTER (ret63 IS NOT NULL) AS b FROM bank JOIN m ON m.entity=bank.dst GROUP BY 1,2),
    g3 AS (SELECT src AS entity, m.date, sum(weight*dd)/sum(weight) AS a FROM hold JOIN m ON m.entity=hold.dst GROUP BY 1,2),
@@ -101,8 +101,8 @@ DAILY_FEATURES = f"""WITH {NORM}, cal AS (SELECT date, row_number() OVER (ORDER
 @query("G2_network_features", DAILY_FEATURES, "mean_value")
 def _(t):
     flows = settle(B.trade(t))  # three edge sets come from it
-    bank = flows.filter("year = 1998").drop("year")
-    holder = flows.filter("year = 1997").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    bank = flows.groupBy("src", "dst").agg(F.sum(F.log1p("weight")).alias("weight"))
+    holder = flows.groupBy(F.col("dst").alias("src"), F.col("src").alias("dst")).agg(F.sum("weight").alias("weight"))
     f = G.network_features(G.metrics_from_returns(B.dret(t)), edges(t, flows), bank, holder)
     return f.groupBy("variable", F.trunc("date", "month").alias("month")).agg(F.count("value").alias("n"), F.avg("value").alias("mean_value"))
 
@@ -155,7 +155,7 @@ def _(t):
 @query("G13_state_embedding")
 def _(t):
     d = X.month_end_levels(B.monthly(t), ["entity", "variable"]).withColumn("variable", F.concat_ws("_", "variable", F.date_format("month", "yyyyMM")))
-    return S.state_embedding(d.filter("month >= date'2001-01-01'"), 4)
+    return S.state_embedding(d, 4)
 
 
 DOT = "list_reduce(list_transform(range(1,65), lambda i: a.v[i]*b.v[i]), lambda x, y: x+y)"

@@ -335,10 +335,10 @@ def _(t):
     return t.documents.select("doc_id", K.listable(F.col("text")).alias("listable"))
 
 
-@query("J2_broadcast_globals", """WITH g AS (SELECT date, variable, max(value) AS value FROM {monthly} WHERE variable='A' AND entity IN ('NATION_0','NATION_1') GROUP BY 1,2)
-   SELECT g.date, n_name AS entity, g.value, g.variable, 'x' AS source FROM g, nation WHERE NOT EXISTS (SELECT 1 FROM monthly e WHERE e.entity=n_name AND e.date=g.date AND e.variable=g.variable AND e.entity IN ('NATION_0','NATION_1'))""", "value", digits=4)
+@query("J2_broadcast_globals", """WITH g AS (SELECT date, variable, max(value) AS value FROM {monthly} WHERE variable='A' AND entity<>'NATION_3' GROUP BY 1,2)
+   SELECT g.date, n_name AS entity, g.value, g.variable, 'x' AS source FROM g, nation WHERE NOT EXISTS (SELECT 1 FROM monthly e WHERE e.entity=n_name AND e.date=g.date AND e.variable=g.variable AND e.entity<>'NATION_3')""", "value", digits=4)
 def _(t):
-    p = tidy(B.monthly(t).filter(F.col("entity").isin("NATION_0", "NATION_1")), "x")
+    p = tidy(B.monthly(t).filter("entity <> 'NATION_3'"), "x")  # one entity lacks the variable
     return J.broadcast_globals(p, ["A"], t.nation.select(F.col("n_name").alias("entity")))
 
 
@@ -387,8 +387,9 @@ def _(t):
     return J.month_offset_returns(B.monthly(t), B.mret(t), 1, 3)
 
 
-@query("J8_day_offset_join", """WITH c AS (SELECT entity, date, row_number() OVER w AS i, sum(ln(1+ret)) OVER w AS cum FROM {dret} WINDOW w AS (PARTITION BY entity ORDER BY date))
-   SELECT d.date, d.entity, d.value, exp(y.cum-x.cum)-1 AS fwd_return FROM {daily} d JOIN c ON c.entity=d.entity AND c.date=d.date JOIN c x ON x.entity=c.entity AND x.i=c.i+1 JOIN c y ON y.entity=c.entity AND y.i=c.i+6""", "value fwd_return", digits=4)
+@query("J8_day_offset_join", """WITH c AS (SELECT entity, date, sum(ln(1+ret)) OVER (PARTITION BY entity ORDER BY date) AS cum FROM {dret}),
+   l AS (SELECT entity, date, lead(cum, 1) OVER w AS x, lead(cum, 6) OVER w AS y FROM c WINDOW w AS (PARTITION BY entity ORDER BY date))
+   SELECT d.date, d.entity, d.value, exp(y-x)-1 AS fwd_return FROM {daily} d JOIN l ON l.entity=d.entity AND l.date=d.date WHERE y IS NOT NULL""", "value fwd_return", digits=4)
 def _(t):
     return J.day_offset_returns(B.daily(t).drop("variable"), B.dret(t), 1, 5)
 
@@ -581,9 +582,9 @@ def _(t):
 
 
 @query("A30_entity_profile", """SELECT 'value' AS kind, variable AS name, NULL AS other, arg_max(value,date) AS value FROM {monthly} WHERE entity='NATION_4' GROUP BY 2 UNION ALL
-   SELECT 'out', 'trade', dst, weight FROM {trade} WHERE src='NATION_4' AND year=1999 UNION ALL SELECT 'in', 'trade', src, weight FROM trade WHERE dst='NATION_4' AND year=1999""", "value", digits=4)
+   SELECT 'out', 'trade', dst, sum(weight) FROM {trade} WHERE src='NATION_4' GROUP BY dst UNION ALL SELECT 'in', 'trade', src, sum(weight) FROM trade WHERE dst='NATION_4' GROUP BY src""", "value", digits=4)
 def _(t):
-    e = B.trade(t).filter("year = 1999").withColumn("edge_type", F.lit("trade"))
+    e = B.trade(t).groupBy("src", "dst").agg(F.sum("weight").alias("weight")).withColumn("edge_type", F.lit("trade"))
     return A.entity_profile(A.state_vector(B.monthly(t)), e, "NATION_4")
 
 

@@ -17,8 +17,9 @@ from .study_queries import RG, macro
 
 
 def documents(t):
-    """Documents with a tone record, a location list and themes derived from their length."""
-    n = F.col("n_chars")
+    """Documents with a tone record, a location list and themes derived from their text: its
+    length and the number of its e's."""
+    n = F.length("text") + 7 * (F.length("text") - F.length(F.replace(F.col("text"), F.lit("e"), F.lit("")))).cast("long")
     c = lambda k: F.concat(F.lit("C"), (n % k).cast("string"))
     loc = F.concat(F.lit("1#X#"), c(7), F.lit("#a#b#1#2#f;1#Y#"), c(5), F.lit("#a#b#1#2#f;bad#item;1#Z#"), c(7), F.lit("#a#b#1#2#f"))
     tone = F.concat_ws(",", ((n % 200 - 100) / 10).cast("string"), (n % 9).cast("string"), (n % 8).cast("string"), (n % 17).cast("string"), F.lit("0"), F.lit("0"), F.when(n % 6 == 0, "").otherwise((n % 900).cast("string")))
@@ -29,7 +30,7 @@ def documents(t):
         W.tone_fields(tone).alias("tone"), F.when(s % 8 != 7, F.concat(F.lit("C"), (s % 8).cast("string"))).alias("source_code"), W.theme_names(th).alias("themes"))
 
 
-DOCS = """raw AS (SELECT sha1(text) AS k, n_chars::BIGINT AS n, substr(source,4)::INT AS s FROM documents), d AS MATERIALIZED (SELECT k, DATE '2024-01-01'+(n%30)::INT AS date, n, min(CASE WHEN s%8<>7 THEN 'C'||(s%8)::VARCHAR END) AS sc, bool_or(s%8=7) AS anynull FROM raw GROUP BY k, n),
+DOCS = """raw AS (SELECT sha1(text) AS k, length(text)+7*(length(text)-length(replace(text,'e','')))::BIGINT AS n, substr(source,4)::INT AS s FROM documents), d AS MATERIALIZED (SELECT k, DATE '2024-01-01'+(n%30)::INT AS date, n, min(CASE WHEN s%8<>7 THEN 'C'||(s%8)::VARCHAR END) AS sc, bool_or(s%8=7) AS anynull FROM raw GROUP BY k, n),
   d2 AS (SELECT k, date, n, CASE WHEN anynull THEN NULL ELSE sc END AS sc, (n%200-100)/10.0 AS tone, n%9 AS pos, n%8 AS neg, n%17 AS pol, CASE WHEN n%6=0 THEN 0 ELSE n%900 END AS w FROM d),
   mn AS (SELECT *, 'C'||(n%7)::VARCHAR AS code, CASE WHEN n%7=n%5 THEN 3 ELSE 2 END AS m FROM d2 UNION ALL SELECT *, 'C'||(n%5)::VARCHAR, 1 FROM d2 WHERE n%5<>n%7),
   ed AS MATERIALIZED (SELECT date, code, count(*) AS n_articles, sum(m)::BIGINT AS mentions, sum(w)::DOUBLE AS total_words, avg(tone) AS tone_mean, CASE WHEN sum(w)>0 THEN sum(tone*w)/sum(w) ELSE avg(tone) END AS tone_weighted, avg(pos) AS positive_mean, avg(neg) AS negative_mean, avg(pol) AS polarity_mean, stddev_pop(tone) AS tone_dispersion,

@@ -75,10 +75,10 @@ def _(t):
     return q.select("factor", "entity", "normalization", "horizon", "mode", "direction", "confidence", "priority")
 
 
-@query("R4_prior_history", f"""WITH {REC}, rp AS MATERIALIZED (SELECT *, year(date)*12+month(date) AS m FROM rc WHERE thresholds='pit' AND normalization='raw' AND mode='absolute')
-   SELECT a.factor,a.entity,a.normalization,a.horizon,a.mode,a.thresholds,a.date,a.bucket,count(*) AS n, avg(b.fwd) AS avg_fwd, avg((b.fwd>0)::INT) AS hit FROM rp a JOIN rp b ON a.factor=b.factor AND a.entity=b.entity AND a.horizon=b.horizon AND a.bucket=b.bucket AND b.m+b.horizon <= a.m+1 GROUP BY 1,2,3,4,5,6,7,8""", "avg_fwd hit")
+@query("R4_prior_history", f"""WITH {REC}, rp AS MATERIALIZED (SELECT *, year(date)*12+month(date) AS m FROM rc)
+   SELECT a.factor,a.entity,a.normalization,a.horizon,a.mode,a.thresholds,a.date,a.bucket,count(*) AS n, avg(b.fwd) AS avg_fwd, avg((b.fwd>0)::INT) AS hit FROM rp a JOIN rp b ON a.factor=b.factor AND a.entity=b.entity AND a.normalization=b.normalization AND a.mode=b.mode AND a.thresholds=b.thresholds AND a.horizon=b.horizon AND a.bucket=b.bucket AND b.m+b.horizon <= a.m+1 GROUP BY 1,2,3,4,5,6,7,8""", "avg_fwd hit")
 def _(t):
-    return R.prior_history(records(t).filter("thresholds = 'pit' AND normalization = 'raw' AND mode = 'absolute'"))
+    return R.prior_history(records(t))
 
 
 def drops(t):
