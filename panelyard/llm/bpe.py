@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks and words, each, that a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
+#: Token pairs whose compatibility a worker remembers.
+PAIRS = 500_000
 #: Texts longer than this are encoded and hashed in several steps.
 STEP_TOKENS = 1 << 20
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -153,7 +155,7 @@ class Encoder:
             else:
                 last, b = rb + 1, self.parts[b][0]
         if below is None:
-            if len(self.fits) > 4_000_000:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             self.fits[key] = good
         return good
@@ -253,7 +255,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: bool = True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            rows = [e.encode(t or "") for t in b.column(len(keep)).to_pylist()]
+            rows = [e.encode(t.as_py() or "") for t in b.column(len(keep))]
             cols = [pa.array(rows, pa.list_(pa.int32()))] if ids else []
             cols += [pa.array([len(r) for r in rows], pa.int64()), pa.array([digest(r, *e.digits) for r in rows], pa.string()), pa.array([digest(r, *e.texts) for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[*keep, *names])

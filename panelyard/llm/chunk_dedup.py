@@ -75,7 +75,8 @@ def chunk_table(docs: DataFrame, id: str = "doc_id", text: str = "text", full: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, t in zip(b.column(0), b.column(1).to_pylist()):
+            for i, t in zip(b.column(0), b.column(1)):
+                t = t.as_py()
                 if not t:
                     continue
                 at = cuts(t)
@@ -155,7 +156,7 @@ def with_key(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [None if t is None else xxhash.xxh3_64_intdigest(t) for t in b.column(len(names)).to_pylist()]
+            keys = [None if t.as_py() is None else xxhash.xxh3_64_intdigest(t.as_py()) for t in b.column(len(names))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array([None if k is None else k - (1 << 64) if k >> 63 else k for k in keys], pa.int64())], names=[*names, "_k"])
 
     return d.mapInArrow(run, d.drop("_t").withColumn("_k", F.lit(None).cast("long")).schema)

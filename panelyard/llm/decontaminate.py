@@ -139,7 +139,7 @@ def find_items(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str
         def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             s = Searcher(block, chars_per_edit)
             for b in batches:
-                rows = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for hit in s.search(t)]
+                rows = [(i.as_py(), *hit) for i, t in zip(b.column(0), b.column(1)) for hit in s.search(t.as_py() or "")]
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], item_type), *(pa.array(c, pa.int32()) for c in cols[2:])], names=[id, item_id, "distance", "start", "end"])
 
@@ -158,7 +158,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", tex
         def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             s = Searcher(block, chars_per_edit)
             for b in batches:
-                yield b.filter(pa.array([not (t and s.search(t)) for t in b.column(at).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not s.search(t.as_py() or "") for t in b.column(at)], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
     return out

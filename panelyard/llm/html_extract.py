@@ -282,8 +282,8 @@ def parse_pages(df: DataFrame, markup: str = "html") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shapes, keys, blocks = [], [], []
-            for source in b.column(len(keep)).to_pylist():
-                page = Page(source or "")
+            for source in b.column(len(keep)):
+                page = Page(source.as_py() or "")
                 found = page.candidates()
                 shapes.append(page.shape())
                 keys.append(xxhash.xxh64_intdigest(max((t for _, t in found), key=len, default="")) - (1 << 63))

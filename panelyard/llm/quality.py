@@ -65,7 +65,7 @@ def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [statistics(t or "") for t in b.column(len(keep)).to_pylist()]
+            rows = [statistics(t.as_py() or "") for t in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(rows, pa.list_(pa.float64()))], names=[*keep, out])
 
     return d.mapInArrow(run, d.drop("_text").withColumn(out, F.array().cast("array<double>")).schema)
@@ -202,7 +202,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text
 
 def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """The rows of ``docs`` that are not predicted to be bad, all columns kept."""
-    stats = with_statistics(docs.select(F.col(id), F.col(text).alias("_body")), "_body")
-    model = learn(stats, labels, id, label)
-    marked = docs.select("*", F.col(text).alias("_body"))
-    return with_scores(with_statistics(marked, "_body", "stats_"), model, "stats_").filter("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = learn(with_statistics(docs.select(F.col(id), F.col(text).alias("_body")), "_body"), labels, id, label)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([statistics(t.as_py() or "") for t in b.column(at)]).reshape(-1, len(STATISTICS))
+            yield b.filter(pa.array(model.scores(x) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -60,7 +60,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", words: int = 3, out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t or b"", words) for t in b.column(len(keep)).to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t.as_py() or b"", words) for t in b.column(len(keep))], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(fps.view(np.int64))], names=[*keep, out])
 
     schema = d.drop("_text").withColumn(out, F.lit(0).cast("long")).schema
