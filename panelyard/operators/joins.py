@@ -58,7 +58,7 @@ def asof(
 ) -> DataFrame:
     """Attach the latest right row at or before (``strict``: before) each left row.
 
-    A very long key is cut by time: each side is bucketed by month, the last right row of
+    Of right rows with equal keys and dates the largest payload counts.  A very long key is cut by time: each side is bucketed by month, the last right row of
     every bucket is carried forward over buckets, and only rows of one (key, month) are
     ordered together.
     """
@@ -70,7 +70,7 @@ def asof(
     r = r.withColumn("_m", month_start("_t"))
     l = l.withColumn("_m", month_start("_t"))
     # carry-in: the last right row before each month of the key
-    last = r.groupBy(*by, "_m").agg(F.max_by("_p", "_t").alias("_lastp"))
+    last = r.groupBy(*by, "_m").agg(F.max_by("_p", F.struct("_t", "_p")).alias("_lastp"))
     months = l.select(*by, "_m").distinct().unionByName(r.select(*by, "_m").distinct()).distinct()
     w = Window.partitionBy(*by).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
@@ -79,7 +79,7 @@ def asof(
         .select(*by, "_m", "_carry")
     )
     u = l.unionByName(r, allowMissingColumns=True)
-    inside = Window.partitionBy(*by, "_m").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_m").orderBy("_t", "_side", "_p").rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumn("_hit", F.last("_p", ignorenulls=True).over(inside))
     u = u.filter(F.col("_side") == (0 if strict else 1)).drop("_p")
     return u.join(carry, [*by, "_m"], "left").withColumn("_hit", F.coalesce("_hit", "_carry")).select(
@@ -88,10 +88,10 @@ def asof(
 
 
 def latest_as_of(df: DataFrame, as_of: str | Column, keys: Sequence[str], order: str = "date") -> DataFrame:
-    """The last row at or before a date per key."""
+    """The last row at or before a date per key; the largest of equal dates."""
     d = df.filter(F.col(order) <= (F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of))
     rest = [c for c in df.columns if c not in keys]
-    return d.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(
+    return d.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *rest)).alias("_r")).select(
         *keys, *[F.col(f"_r.{c}").alias(c) for c in rest]
     )
 

@@ -151,9 +151,9 @@ def lead_lag_edges(
     cal = returns.select("date").distinct().withColumn("_t", F.row_number().over(Window.orderBy("date")))
     ends = cal.groupBy(F.trunc("date", "month").alias("month")).agg(F.max("_t").alias("_end")).filter(F.col("_end") >= window)
     d = returns.filter(F.col(ret).isNotNull()).join(cal, "date").select("entity", "_t", F.col(ret).alias("_r"))
-    # each row belongs to the month-end windows that cover it: at most window rows ahead
-    reach = F.expr(f"sequence(_t, _t + {window - 1})")
-    d = d.withColumn("_end", F.explode(reach)).join(ends, "_end")
+    # the few month-end windows that cover a date, by date: calendar-sized, not data-sized
+    cover = ends.withColumn("_t", F.explode(F.expr(f"sequence(_end - {window - 1}, _end)")))
+    d = d.join(cover, "_t")
     vec = d.groupBy("month", "entity").agg(F.collect_list(F.struct((F.col("_t") - F.col("_end") + window - 1).alias("i"), F.col("_r").alias("x"))).alias("_p"))
     vec = vec.select("month", "entity", F.col("_p.i").alias("_i2"), F.col("_p.x").alias("_x"))
 

@@ -371,8 +371,9 @@ def interaction_test(ranked: DataFrame, regimes: DataFrame, replicates: int = 19
 
 # --- hidden states ------------------------------------------------------------------------
 
-def _gaussian_hmm(x: np.ndarray, k: int, iterations: int = 100, tol: float = 1e-4):
-    """Diagonal Gaussian hidden Markov model by EM, started from ordered quantile blocks."""
+def _gaussian_hmm(x: np.ndarray, k: int, iterations: int = 200, tol: float = 1e-4):
+    """Diagonal Gaussian hidden Markov model by EM, started from ordered quantile blocks:
+    state probabilities, BIC and whether the likelihood settled."""
     n, d = x.shape
     order = np.argsort(x[:, 0], kind="stable")
     r = np.zeros((n, k))
@@ -382,7 +383,7 @@ def _gaussian_hmm(x: np.ndarray, k: int, iterations: int = 100, tol: float = 1e-
     np.fill_diagonal(trans, 0.9)
     mean = (r.T @ x) / r.sum(0)[:, None]
     var = np.maximum((r.T @ x**2) / r.sum(0)[:, None] - mean**2, 1e-4)
-    last = -np.inf
+    last, settled = -np.inf, False
     for _ in range(iterations):
         logp = -0.5 * (((x[:, None, :] - mean) ** 2 / var).sum(2) + np.log(2 * np.pi * var).sum(1))
         top = logp.max(1, keepdims=True)
@@ -403,6 +404,7 @@ def _gaussian_hmm(x: np.ndarray, k: int, iterations: int = 100, tol: float = 1e-
         xi = np.einsum("ti,ij,tj->ij", a[:-1], trans, (b[1:] * be[1:]) / c[1:, None])
         ll = float(np.log(c).sum() + top.sum())
         if ll - last < tol:
+            settled = True
             break
         last = ll
         start, trans = post[0], xi / xi.sum(1, keepdims=True)
@@ -410,7 +412,7 @@ def _gaussian_hmm(x: np.ndarray, k: int, iterations: int = 100, tol: float = 1e-
         mean = (post.T @ x) / w
         var = np.maximum((post.T @ x**2) / w - mean**2, 1e-4)
     params = (k - 1) + k * (k - 1) + 2 * k * d
-    return post, -2 * ll + params * math.log(n)
+    return post, -2 * ll + params * math.log(n), settled
 
 
 def hidden_states(features: DataFrame, returns: DataFrame, columns: Sequence[str], min_train: int = 60, refit_month: int = 1, states: Sequence[int] = (2, 3)) -> DataFrame:
@@ -432,10 +434,12 @@ def hidden_states(features: DataFrame, returns: DataFrame, columns: Sequence[str
         year = int(pdf["_y"].iloc[0])
         y = pd.to_datetime(pdf["date"]).dt.year.to_numpy()
         train = y < year
-        out = {"entity": [], "date": [], "n_states": [], "p_adverse": []}
-        if train.sum() >= min_train:
+        out = {"entity": [], "date": [], "n_states": [], "p_adverse": [], "converged": []}
+        # a model needs more rows than parameters
+        fits = [k for k in states if train.sum() > (k - 1) + k * (k - 1) + 2 * k * len(columns)]
+        if train.sum() >= min_train and fits:
             x = pdf[list(columns)].to_numpy(float)
-            post, bic, k = min(((*_gaussian_hmm(x[train], k), k) for k in states), key=lambda r: r[1])
+            post, bic, settled, k = min(((*_gaussian_hmm(x[train], k), k) for k in fits), key=lambda r: r[1])
             lab = post.argmax(1)
             rets = pdf["_r"].to_numpy(float)[train][:-1]  # the last label's return is not known yet
             means = [np.nanmean(rets[lab[:-1] == s]) if np.isfinite(rets[lab[:-1] == s]).any() else np.inf for s in range(k)]
@@ -452,9 +456,10 @@ def hidden_states(features: DataFrame, returns: DataFrame, columns: Sequence[str
                 belief = b / b.sum()
                 out["entity"].append(pdf["entity"].iloc[i]); out["date"].append(pdf["date"].iloc[i])
                 out["n_states"].append(k); out["p_adverse"].append(float(belief[bad]))
+                out["converged"].append(settled)
         return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
 
-    return grid.groupBy("entity", "_y").applyInPandas(fit, f"entity {kind}, date date, n_states long, p_adverse double")
+    return grid.groupBy("entity", "_y").applyInPandas(fit, f"entity {kind}, date date, n_states long, p_adverse double, converged boolean")
 
 
 def warning_gates(states: DataFrame, returns: DataFrame, replicates: int = 200, lead: int = 3) -> DataFrame:
@@ -628,9 +633,10 @@ def next_night(df: DataFrame, y: str = "r_gap", by: str = "market_id", order: st
 
 
 def threshold_pnl(pairs: DataFrame, thetas: Sequence[float], costs: Sequence[float]) -> DataFrame:
-    """Weighted ticker signal per night, traded beyond each threshold, per leg and cost."""
+    """Weighted ticker signal per night, traded beyond each threshold, per leg and cost; the
+    ticker's own gap is read from its market with the largest id."""
     w = F.greatest(F.coalesce("volume", F.lit(0.0)), F.lit(1.0))
-    a = pairs.groupBy("ticker", "d_next").agg((F.sum(F.col("delta_p") * w) / F.sum(w)).alias("delta_p"), F.first("r_gap").alias("gap"), F.first("r_cont").alias("continuation"))
+    a = pairs.groupBy("ticker", "d_next").agg((F.sum(F.col("delta_p") * w) / F.sum(w)).alias("delta_p"), F.max_by("r_gap", "market_id").alias("gap"), F.max_by("r_cont", "market_id").alias("continuation"))
     t = F.explode(F.array(*[F.lit(float(x)) for x in thetas])).alias("theta")
     s = a.select("*", t).filter(F.abs("delta_p") >= F.col("theta"))
     legs = F.explode(F.array(F.struct(F.lit("gap").alias("leg"), (F.signum("delta_p") * F.col("gap")).alias("pnl")), F.struct(F.lit("continuation").alias("leg"), (F.signum("delta_p") * F.col("continuation")).alias("pnl"))))
@@ -643,10 +649,11 @@ def threshold_pnl(pairs: DataFrame, thetas: Sequence[float], costs: Sequence[flo
 
 # --- design diagnostics and probes --------------------------------------------------------
 
-def gram(df: DataFrame, columns: Sequence[str], target: str) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """X'X, X'y, y'y and n of a design as sums; only d x d numbers reach the driver."""
+def gram(df: DataFrame, columns: Sequence[str], target: str, widest: int = 200) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """X'X, X'y, y'y and n of a design as sums; only d x d numbers reach the driver, whose
+    eigen-decomposition is refused beyond ``widest`` columns, before any work."""
     d = len(columns)
-    if d > 200:
+    if d > widest:
         raise ValueError("the design is wider than the driver-side eigen-decomposition is meant for")
     aggs = [F.sum(F.col(columns[i]) * F.col(columns[j])) for i in range(d) for j in range(i, d)]
     row = df.select(*columns, target).na.drop().agg(*aggs, *[F.sum(F.col(c) * F.col(target)) for c in columns], F.sum(F.col(target) ** 2), F.count("*")).first()

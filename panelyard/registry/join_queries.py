@@ -145,6 +145,31 @@ def _(t):
     return G.fold(G.check_events(ev, ["open", "update"]), "conv_id", "open", ["text", "role"], {"update": ["text", "role"]}, order="turn")
 
 
+LEDGER = """e AS (SELECT conv_id, turn, role, text, CASE WHEN turn=0 THEN 'open' WHEN turn%3=0 THEN 'status' WHEN turn%3=1 THEN 'verdict' ELSE 'mark' END AS event, CASE (length(text)+turn)%4 WHEN 0 THEN 'retired' WHEN 1 THEN 'rejected' WHEN 2 THEN 'void' ELSE 'hit' END AS status FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn=0))"""
+
+
+def ledger(t):
+    turn = F.col("turn")
+    ev = t.conversations.select(
+        "conv_id", "turn", F.when(turn == 0, "open").when(turn % 3 == 0, "status").when(turn % 3 == 1, "verdict").otherwise("mark").alias("event"),
+        F.element_at(F.array(*[F.lit(x) for x in ("retired", "rejected", "void", "hit")]), ((F.length("text") + turn) % 4 + 1).cast("int")).alias("status"),
+        F.substring("text", 1, 20).alias("verdict"), F.when(F.length("text") % 2 == 0, F.col("role")).alias("model_id"), F.length("text").cast("long").alias("cum_return"))
+    return G.fold(G.check_events(ev, ["open", "status", "verdict", "mark"]), "conv_id", "open", ["model_id"], {"status": ["status"], "verdict": ["verdict"]}, order="turn", lists={"marks": ("mark", ["cum_return"])})
+
+
+@query("Q14_effective_hypotheses", f"""WITH {LEDGER} SELECT conv_id, coalesce(max(CASE WHEN event='open' AND length(text)%2=0 THEN role END), 'unknown') AS model_id, arg_max(status, turn) FILTER (event='status') AS status, arg_max(substr(text,1,20), turn) FILTER (event='verdict') AS verdict,
+   CASE WHEN coalesce(arg_max(status, turn) FILTER (event='status'), '') NOT IN ('retired','rejected') THEN arg_max(substr(text,1,20), turn) FILTER (event='verdict') END AS effective_verdict FROM e GROUP BY 1""")
+def _(t):
+    return G.effective_view(ledger(t), defaults={"model_id": "unknown"}).select("conv_id", "model_id", "status", "verdict", "effective_verdict")
+
+
+@query("Q14_thesis_marks", f"""WITH {LEDGER}, m AS (SELECT conv_id, turn, length(text)::BIGINT AS cum_return, row_number() OVER (PARTITION BY conv_id ORDER BY turn)-1 AS position FROM e WHERE event='mark'), s AS (SELECT conv_id, arg_max(status, turn) FILTER (event='status') AS st FROM e GROUP BY 1)
+   SELECT m.*, CASE WHEN st='void' THEN 'void' ELSE st END AS outcome_label FROM m JOIN s USING (conv_id)""")
+def _(t):
+    f = ledger(t)
+    return G.ledger_marks(f, "conv_id").withColumn("position", F.col("position").cast("long")).join(f.select("conv_id", G.outcome_label(F.col("status")).alias("outcome_label")), "conv_id")
+
+
 @query("S18_vintage_manifest")
 def _(t):
     return M.vintage_manifest(B.monthly(t), "2001-11")

@@ -71,3 +71,25 @@ def family_trials(hypotheses: DataFrame, family: str = "family", verdict: str =
         F.greatest(F.lit(1), F.rint(F.sum(trial_charge(F.col(verdict)))).cast("int")).cast("long").alias("n_trials"),
         F.count("*").alias("n_hypotheses"),
     )
+
+
+# Statuses that end a hypothesis, and closes that count as void.
+TERMINAL = ("retired", "rejected")
+VOID = ("killed_review", "void")
+
+
+def effective_view(folded: DataFrame, status: str = "status", verdict: str = "verdict", defaults: dict[str, str] | None = None) -> DataFrame:
+    """Folded hypotheses as readers should see them: missing stamps get their defaults, and the
+    verdict of a hypothesis that has ended is withheld from ``effective_verdict``."""
+    d = folded.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in (defaults or {}).items()})
+    return d.withColumn("effective_verdict", F.when(~F.coalesce(F.col(status).isin(*TERMINAL), F.lit(False)), F.col(verdict)))
+
+
+def outcome_label(status: Column) -> Column:
+    """Label of a closed thesis: reviews that kill it and void closes are void."""
+    return F.when(status.isin(*VOID), "void").otherwise(status)
+
+
+def ledger_marks(folded: DataFrame, key: str, marks: str = "marks") -> DataFrame:
+    """The marks of every thesis as rows, in the order of their events."""
+    return folded.select(key, F.posexplode(marks).alias("position", "_m")).select(key, "position", "_m.*")

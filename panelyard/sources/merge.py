@@ -19,9 +19,10 @@ def upsert(existing: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def upsert_batches(batches: DataFrame, keys: Sequence[str], batch: str = "batch") -> DataFrame:
-    """Latest batch wins per key in a table that keeps its batches."""
+    """Latest batch wins per key in a table that keeps its batches; of several rows of one
+    key and batch the largest wins."""
     rest = [c for c in batches.columns if c not in keys]
-    latest = batches.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(batch)).alias("_r"))
+    latest = batches.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(batch), *rest)).alias("_r"))
     return latest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
@@ -40,9 +41,12 @@ def drop_older_than(df: DataFrame, as_of: str, days: int, column: str = "pull_da
 
 
 def write_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
-    """Overwrite exactly the partitions present in ``df`` (dynamic partition overwrite)."""
+    """Overwrite exactly the partitions present in ``df`` (dynamic partition overwrite).
+
+    Rows are gathered by partition, and AQE splits the large ones over several tasks.
+    """
     (
-        df.repartition(*partitions)
+        df.hint("rebalance", *partitions)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)
