@@ -6,6 +6,7 @@ import random
 import pytest
 
 from panelyard.llm import bpe
+from tests_llm_data import odd, rows  # noqa: F401  (fixtures)
 
 PATH = "/opt/tokenizers/word_bpe_49k.json"
 pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="vocabulary file not present")

@@ -8,7 +8,7 @@ import pandas as pd
 
 from check_oracle import compare
 from panelyard.llm import line_rules, pii, sql, url_filters
-from tests_llm_data import ODD_URLS
+from tests_llm_data import ODD_URLS, odd, rows  # noqa: F401  (fixtures)
 
 
 def judged(spark, urls, **kw):

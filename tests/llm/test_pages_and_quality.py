@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelyard.llm import html_extract as H
 from panelyard.llm import quality
+from tests_llm_data import odd, rows  # noqa: F401  (fixtures)
 
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1></header>
 <nav><ul><li><a href=x>a</a></ul></nav><div class="cookie-notice">We use</div><main><article><header class="entry-header"><h1>Tit &amp; le</h1></header>

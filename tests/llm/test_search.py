@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from panelyard.llm import chunk_dedup, decontaminate
+from tests_llm_data import odd, rows  # noqa: F401  (fixtures)
 
 
 def edit_rows(p, t):

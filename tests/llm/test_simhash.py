@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelyard.llm import simhash
 from panelyard.llm.common import components
+from tests_llm_data import odd, rows  # noqa: F401  (fixtures)
 
 
 def slow_fingerprint(text):
