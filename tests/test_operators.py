@@ -256,3 +256,64 @@ def test_f_tail_known_values():
 
     assert np.isclose(f_tail(4.0, 1, 1e9), 0.04550026, atol=1e-6)
     assert np.isclose(t_two_sided(2.228139, 10), 0.05, atol=1e-6)
+
+
+def test_local_outliers_match_weighted_moments(spark):
+    from panelyard.operators.features import local_outlier_replace
+
+    rng = np.random.default_rng(0)
+    rows = []
+    for e in range(2):
+        x = rng.normal(0, 1, 60)
+        x[rng.integers(0, 60, 4)] = 12
+        x[rng.integers(0, 60, 4)] = np.nan
+        rows += [(d.date(), str(e), "A", None if v != v else float(v)) for d, v in zip(pd.date_range("2000-01-01", periods=60), x)]
+    got = local_outlier_replace(spark.createDataFrame(rows, "date date, entity string, variable string, value double")).toPandas().sort_values(["entity", "date"])
+    replaced = 0
+    for _, p in got.groupby("entity"):
+        x = p["value"].to_numpy(float)
+        for i, out in enumerate(p["value_clean"].to_numpy(float)):
+            near = np.r_[x[max(0, i - 20): i], x[i + 1: i + 21]]
+            w = (19 / 21) ** np.arange(len(near) - 1, -1, -1.0)
+            w, v = w[~np.isnan(near)], near[~np.isnan(near)]
+            m = (w * v).sum() / w.sum()
+            s = np.sqrt((w * (v - m) ** 2).sum() / w.sum() * w.sum() ** 2 / (w.sum() ** 2 - (w**2).sum()))
+            want = m if abs(x[i] - m) > 4 * s else x[i]
+            replaced += want != x[i] and want == want and x[i] == x[i]
+            assert (np.isnan(want) and np.isnan(out)) or abs(want - out) < 1e-9
+    assert replaced > 3
+
+
+def test_equal_vectors_give_k_rows_each(spark):
+    from panelyard.operators.similarity import top_k_cosine
+
+    d = spark.range(300).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    got = top_k_cosine(d, "id", "v", 5, block_rows=64)
+    assert got.count() == 1500
+    assert {r.neighbor for r in got.filter("focal = 7").collect()} == {0, 1, 2, 3, 4}
+
+
+def test_pruning_in_rounds_equals_the_loop(spark):
+    from panelyard.operators.similarity import greedy_prune
+
+    rng = np.random.default_rng(2)
+    names = [f"n{i:02d}" for i in range(40)]
+    pairs = {(a, b) for a in names for b in names if a < b and rng.random() < 0.15}
+    kept = []
+    for n in names:
+        if not any((min(n, k), max(n, k)) in pairs for k in kept):
+            kept.append(n)
+    order = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, position long")
+    clash = spark.createDataFrame(sorted(pairs), "a string, b string")
+    assert sorted(r.name for r in greedy_prune(order, clash).collect()) == kept
+    assert [r.name for r in greedy_prune(order, clash, 3).orderBy("position").collect()] == kept[:3]
+
+
+def test_pagerank_raises_if_not_settled(spark):
+    from panelyard.operators.graph import pagerank
+
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("c", "b", 1.0)], "src string, dst string, weight double")
+    r = {x.node: x["rank"] for x in pagerank(e, tolerance=1e-9).collect()}
+    assert abs(sum(r.values()) - 1) < 1e-9 and r["b"] > r["a"]
+    with pytest.raises(RuntimeError):
+        pagerank(e, tolerance=1e-15, most=3)
