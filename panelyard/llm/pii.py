@@ -161,20 +161,32 @@ def ssn(m: Column, key: str) -> Column:
 
 
 def phone(m: Column, key: str) -> Column:
-    """National numbers by their numbering plan, others behind their first two digits."""
+    """National numbers by their numbering plan, others behind their first two digits.
+
+    Area and exchange start with 2 to 9 under the plan; numbers written like one that break
+    it are permuted among those that break it the same way.
+    """
     d = digits_of(m)
     ten = F.substring(d, -10, 10)
     north = (~m.startswith("+")) | m.startswith("+1")
     area, rest = F.substring(ten, 1, 3).cast("long"), F.substring(ten, 4, 7).cast("long")
-    good = (F.length(d).isin(10, 11)) & (area >= 200) & (rest >= 2_000_000)
-    moved = feistel(area - 200, 800, rest - 2_000_000, 8_000_000, key, F.lit("phone"))
 
-    def shown(s: Column) -> Column:
-        local = F.concat((s["a"] + 200).cast("string"), (s["b"] + 2_000_000).cast("string"))
-        return refilled(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), local), "0-9")
+    def moved(first_area: int, areas: int, first_rest: int, rests: int) -> Column:
+        pair = feistel(area - first_area, areas, rest - first_rest, rests, key, F.lit("phone"), F.lit(first_area), F.lit(first_rest))
 
+        def shown(s: Column) -> Column:
+            local = F.concat(F.lpad((s["a"] + first_area).cast("string"), 3, "0"), F.lpad((s["b"] + first_rest).cast("string"), 7, "0"))
+            return refilled(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), local), "0-9")
+
+        return F.transform(F.array(pair), shown)[0]
+
+    plan = (
+        F.when(area < 200, moved(0, 200, 0, 10_000_000))
+        .when(rest < 2_000_000, moved(200, 800, 0, 2_000_000))
+        .otherwise(moved(200, 800, 2_000_000, 8_000_000))
+    )
     far = F.concat(F.substring(d, 1, 2), permuted(d.substr(F.lit(3), F.length(d)), key, "phone"))
-    return F.when(north, F.when(good, F.transform(F.array(moved), shown)[0])).when(
+    return F.when(north, F.when(F.length(d).isin(10, 11), plan)).when(
         F.length(d).between(8, 15), F.transform(F.array(far), lambda w: refilled(m, w, "0-9"))[0]
     )
 
