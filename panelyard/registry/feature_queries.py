@@ -129,7 +129,14 @@ def _(t):
     return X.sheet_cleaned(B.monthly(t))
 
 
-@query("P23_sheet_cleaned_two_sided")
+@query("P23_sheet_cleaned_two_sided", """WITH f AS (SELECT date, entity, variable, last_value(value IGNORE NULLS) OVER (PARTITION BY entity, variable ORDER BY date ROWS UNBOUNDED PRECEDING) AS value FROM {monthly}),
+   m AS (SELECT entity, variable, quantile_cont(value,0.5) AS med FROM f GROUP BY 1,2), d AS (SELECT entity, variable, quantile_cont(abs(value-med),0.5)*5*1.4826 AS r FROM f JOIN m USING (entity, variable) GROUP BY 1,2),
+   c AS (SELECT date, entity, variable, greatest(least(value, med+r), med-r) AS value FROM f JOIN m USING (entity, variable) JOIN d USING (entity, variable)),
+   n AS (SELECT *, list_concat(coalesce(array_agg(value) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), []), coalesce(array_agg(value) OVER (w ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING), [])) AS near FROM c WINDOW w AS (PARTITION BY entity, variable ORDER BY date)),
+   g AS (SELECT *, list_transform(range(len(near)), lambda i: pow(19.0/21, len(near)-1-i)) AS w FROM n),
+   h AS (SELECT *, list_sum(w) AS w1, list_sum(list_transform(w, lambda x: x*x)) AS w2, list_sum(list_transform(list_zip(w, near), lambda z: z[1]*z[2]))/list_sum(w) AS mu FROM g),
+   k AS (SELECT *, sqrt(list_sum(list_transform(list_zip(w, near), lambda z: z[1]*pow(z[2]-mu, 2)))/(w1-w2/w1)) AS sd FROM h)
+   SELECT date, entity, variable, value, CASE WHEN len(near) >= 10 AND sd > 2.3e-16 AND abs(value-mu) > 4*sd THEN mu ELSE value END AS value_clean FROM k""", "value value_clean", digits=5)
 def _(t):
     return X.sheet_cleaned(B.monthly(t), trailing=False)
 
