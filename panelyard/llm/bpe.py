@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks and words, each, that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 160_000
 #: Token pairs whose compatibility a worker remembers.
-PAIRS = 500_000
+PAIRS = 250_000
 #: Texts longer than this are encoded and hashed in several steps.
 STEP_TOKENS = 1 << 20
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
