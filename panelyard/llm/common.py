@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
@@ -69,3 +69,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         raise RuntimeError(f"components: not settled after {most_rounds} rounds")
     roots = e.select(F.col("v").alias("u"), "v").distinct()
     return e.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def text_key(text: str) -> Column:
+    """128 bits that stand for a text; NULL counts as empty."""
+    return F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
+
+
+def first_of_each(df: DataFrame, labels: DataFrame, id: str, text: str) -> DataFrame:
+    """One row of ``df`` for each component of its texts; all columns are kept.
+
+    labels has one row (_key, component_id) for each ``text_key``.  The row with the smallest
+    (id, key) stays, rows without an id behind all others; of rows that agree in both, one.
+    """
+    keyed = df.select(F.col(f"`{id}`").alias("_id"), text_key(text).alias("_key")).distinct()
+    low = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key")).alias("_low")
+    lows = keyed.join(labels, "_key").groupBy("component_id").agg(low)
+
+    def row(i: str, key: Column) -> Column:
+        return F.concat(key, F.when(F.col(i).isNull(), "").otherwise(F.concat(F.lit("="), F.col(i).cast("string"))))
+
+    stay = written(lows.select(row("_low._id", F.col("_low._key")).alias("_row")), "first-rows")
+    # The join and the choice among equal rows share one distribution of the rows.
+    return df.withColumn("_row", row(f"`{id}`", text_key(text))).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
