@@ -46,6 +46,10 @@ class Query:
         return f"SELECT * REPLACE ({fixes}) FROM ({body})"
 
 
+def registered(name: str) -> Query:
+    return _REGISTRY[name]
+
+
 def query(name: str, sql: str | None = None, floats: str = "", digits: int = DIGITS):
     """Register ``fn(tables) -> DataFrame``; ``floats`` are rounded on both sides."""
 

@@ -12,7 +12,7 @@ from ..plans import reads as Q
 from ..session import checkpoint_folder
 from ..streaming import jobs as ST
 from . import base as B
-from .base import query
+from .base import query, registered
 from .join_queries import SHOCKS, shocks, tidy
 from .market_queries import OUTC, SPL, flagged, spill_payload
 from .panel_queries import CONTRIB_SQL, _signal
@@ -154,8 +154,7 @@ def _(t):
 
 
 def user_events(t):
-    e = event_stream(t)
-    return e.select(F.col("event_type").alias("detector"), F.col("user_id").cast("string").alias("entity"), "ts", F.when(F.col("value") >= 30, F.col("value") / 30).alias("severity"), "value")
+    return as_users(event_stream(t))
 
 
 @query("ST3_detector_states", f"""WITH s AS (SELECT event_type AS detector, user_id::VARCHAR AS entity, CAST(ts AS DATE) AS date, max(CASE WHEN value>=30 THEN value/30 END) AS sev FROM events {DAYS} GROUP BY 1,2,3), g AS (SELECT *, count(*) FILTER (sev IS NULL) OVER (PARTITION BY detector, entity ORDER BY date) AS grp, lag(sev) OVER (PARTITION BY detector, entity ORDER BY date) AS prev FROM s),
@@ -192,3 +191,42 @@ def _(t):
    CASE WHEN count(value) OVER w >= 5 AND stddev_pop(value) OVER w > 0 THEN (value-avg(value) OVER w)/stddev_pop(value) OVER w END AS z FROM s WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "value ewm z")
 def _(t):
     return _drain(ST.smoothed(user_events(t).select("entity", "ts", "value"), 10, 5, lateness=LATE), "st6")
+
+
+# --- the same replays to their very end: all rows of events ----------------------------------
+
+def _close(t, job, name):
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return ST.replay_to_end(event_stream(t), "ts", job, f"{checkpoint_folder(t.spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def as_users(e):
+    return e.select(F.col("event_type").alias("detector"), F.col("user_id").cast("string").alias("entity"), "ts", F.when(F.col("value") >= 30, F.col("value") / 30).alias("severity"), "value")
+
+
+def as_episodes(e):
+    return as_users(e).select(F.concat_ws("|", "detector", "entity").alias("episode_key"), "ts", (F.col("value") > 40).alias("trigger"), ((F.col("value") % 7 - 3) / 100).alias("ret"))
+
+
+WHOLE = {
+    "ST1_document_day": lambda e: ST.document_day(e, "event_id", "ts", ["event_type"], LATE),
+    "ST2_window_prints": lambda e: ST.window_prints(e, "user_id", "ts", "value", lateness=LATE),
+    "ST3_detector_states": lambda e: ST.detector_states(as_users(e).drop("value"), lateness=LATE, expiry=10_000),
+    "ST4_episode_events": lambda e: ST.episode_events(as_episodes(e), 0.03, 20, lateness=LATE),
+    "ST6_smoothed_state": lambda e: ST.smoothed(as_users(e).select("entity", "ts", "value"), 10, 5, lateness=LATE),
+    "ST7_activity_sessions": lambda e: ST.activity_sessions(e, "user_id", "ts", "12 hours", LATE),
+}
+CUTS = (f" {DAYS}", f" HAVING start + INTERVAL 6 HOUR <= {CLOSED}", f" HAVING max(ts) + INTERVAL 12 HOUR <= {CLOSED}")
+
+
+def _whole(name, job):
+    """Register ``name``_all: its SQL is that of ``name`` without the condition on the watermark."""
+    q = registered(name)
+    sql = q.sql
+    for cut in CUTS:
+        sql = sql.replace(cut, "")
+    query(f"{name}_all", sql, " ".join(q.floats), q.digits)(lambda t: _close(t, job, name[:3].lower()))
+
+
+for _name, _job in WHOLE.items():
+    _whole(_name, _job)

@@ -242,3 +242,24 @@ def run_to_end(df: DataFrame, folder: str) -> DataFrame:
     finally:
         q.stop()
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+#: Event time of the row that closes a bounded replay; later than any data.
+END = "9999-12-01 00:00:00"
+
+
+def replay_to_end(stream: DataFrame, ts: str, job: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Run ``job`` over a bounded stream into ``folder``, close every open window, read all back.
+
+    After the input is drained, a second run over the same state reads one more row with event
+    time ``END``, which moves the watermark past all data.  The windows of that row itself end
+    after the watermark, so that it enters no result.  Rows that come to ``folder`` afterwards
+    are late: an unbounded feed goes through ``run_to_end``.
+    """
+    spark, end = stream.sparkSession, f"{folder}/end"
+    last = spark.range(1).select(*[F.lit(END if f.name == ts else None).cast(f.dataType).alias(f.name) for f in stream.schema])
+    last.limit(0).write.parquet(end)
+    df = job(stream.unionByName(spark.readStream.schema(last.schema).parquet(end)))
+    run_to_end(df, folder)
+    last.write.mode("append").parquet(end)
+    return run_to_end(df, folder)

@@ -170,6 +170,17 @@ def test_episode_stream_matches_a_loop(spark, tmp_path):
     assert sorted(map(tuple, got[["episode_key", "date", "instance", "event"]].values.tolist())) == sorted(want)
 
 
+def test_bounded_replay_closes_what_the_watermark_leaves_open(spark, tmp_path):
+    schema = "detector string, entity string, ts timestamp, severity double"
+    src = tmp_path / "in"
+    write_batches(spark, src, [[("D", "e", at(d), 2.0)] for d in (3, 1, 2)], schema)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    got = ST.replay_to_end(s, "ts", lambda e: ST.detector_states(e, lateness="5 days"), str(tmp_path / "all"))
+    assert [(r["date"].day, r["status"]) for r in got.orderBy("date").collect()] == [(1, "new"), (2, "persisting"), (3, "persisting")]
+    sessions = ST.replay_to_end(s, "ts", lambda e: ST.activity_sessions(e, "entity", "ts", "12 hours"), str(tmp_path / "sessions"))
+    assert [(r["entity"], r["n"]) for r in sessions.collect()] == [("e", 1)] * 3
+
+
 def test_upserts_fold_across_compaction(spark, tmp_path):
     sink, path = ST.upsert_sink(["k"], str(tmp_path / "u"), ["s"], every=2), str(tmp_path / "u")
     for epoch in range(5):
