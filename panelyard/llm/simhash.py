@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, first_of_each, text_key, written
 
 SEED = 42
 BITS = 64
@@ -158,19 +158,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
 
 
 def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their component; all columns are kept.
-
-    Of rows that share the smallest id one stays.  Rows without an id are dropped if their
-    component holds an id; of all others without id one stays.
-    """
-    found = near_duplicates(df, id, text, **how)
-
-    def name(c: str) -> Column:
-        return F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
-
-    stay = found.filter(F.col(id).eqNullSafe(F.col("component_id"))).select(name(id).alias("_row")).distinct()
-    # The join and the choice among equal ids share one distribution of the rows.
-    return df.withColumn("_row", name(id)).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    """One row of each component, with all its columns: see ``common.first_of_each``."""
+    texts = df.select(text_key(text).alias("_key"), F.col(f"`{text}`").alias("_text"))
+    labels = near_duplicates(texts, "_key", "_text", **how).select("_key", "component_id").distinct()
+    return first_of_each(df, labels, id, text)
 
 
 def as_hex(fp: Column) -> Column:

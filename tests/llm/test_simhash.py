@@ -87,6 +87,12 @@ def test_rows_and_components(rows, odd):
     assert sorted(str(r.doc_id) for r in alone.collect()) == ["5", "None"]
 
 
+def test_one_row_of_each_component_under_repeated_and_missing_ids(rows):
+    a, b = " ".join(f"word{i}" for i in range(300)), " ".join(f"other{i}" for i in range(40))
+    got = simhash.keep_first(rows([(3, a), (5, a), (5, b), (None, a), (None, "one lonely text"), (None, "another text alone")]))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(3, a), (5, b), (None, "one lonely text"), (None, "another text alone")]))
+
+
 def test_components_of_long_paths_and_hubs(spark):
     rng = random.Random(1)
     ids = list(range(120))
