@@ -688,11 +688,11 @@ def dominance(df: DataFrame, key: str, value: str, limit: float = 0.5) -> DataFr
     return c.join(t).select(key, "contribution", ratio(F.abs("contribution"), "_t").alias("share"), (ratio(F.abs("contribution"), "_t") > limit).alias("dominates"))
 
 
-def leave_one_window_out(ic: DataFrame, windows: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Mean IC without each named window, and its ratio to the full mean."""
+def leave_one_window_out(ic: DataFrame, windows: Sequence[tuple[str, str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """Mean IC without each named window, and its ratio to the full mean, for each group ``by``."""
     rows = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b")) for n, a, b in windows])
     d = ic.withColumn("_w", F.explode(rows)).withColumn("_in", F.col("date").between(F.col("_w.a"), F.col("_w.b")))
-    g = d.groupBy(F.col("_w.n").alias("window")).agg(F.avg("ic").alias("full_ic"), F.avg(F.when(~F.col("_in"), F.col("ic"))).alias("without"))
+    g = d.groupBy(*by, F.col("_w.n").alias("window")).agg(F.avg("ic").alias("full_ic"), F.avg(F.when(~F.col("_in"), F.col("ic"))).alias("without"))
     return g.withColumn("residual", ratio("without", "full_ic")).withColumn("status", F.when(F.col("residual") < 0.5, "warning").otherwise("pass"))
 
 

@@ -348,6 +348,11 @@ def _(t):
     return R.leave_one_window_out(ic, [("w1", "1997-01-01", "1998-12-31"), ("w2", "2000-01-01", "2000-06-30")])
 
 
+@query("R21_leave_one_window_out_all", f"""WITH {IC}, w AS (SELECT * FROM (VALUES ('w1',DATE '1997-01-01',DATE '1998-12-31'),('w2',DATE '2000-01-01',DATE '2000-06-30')) v(n,a,b)) SELECT signal||'|'||horizon::VARCHAR AS factor, n AS "window", avg(ic) AS full_ic, avg(ic) FILTER (NOT date BETWEEN a AND b) AS without, avg(ic) FILTER (NOT date BETWEEN a AND b)/avg(ic) AS residual, CASE WHEN avg(ic) FILTER (NOT date BETWEEN a AND b)/avg(ic) < 0.5 THEN 'warning' ELSE 'pass' END AS status FROM ic, w GROUP BY signal, horizon, n""", "full_ic without residual", digits=5)
+def _(t):
+    return R.leave_one_window_out(factor_ic(t), [("w1", "1997-01-01", "1998-12-31"), ("w2", "2000-01-01", "2000-06-30")], by=["factor"])
+
+
 @query("R21_detectable_band", """WITH a AS (SELECT count(DISTINCT date) AS o, count(DISTINCT entity) AS k FROM {mret}), b AS (SELECT *, floor(o/3) AS bl FROM a) SELECT o AS n_obs, k AS n_entities, round(greatest(1,bl*k/(1+(k-1)*0.55))) AS effective_n_lo, round(greatest(1,bl*k/(1+(k-1)*0.25))) AS effective_n_hi, round(2.8/sqrt(greatest(1,bl*k/(1+(k-1)*0.25))),3) AS detectable_ic_lo, round(2.8/sqrt(greatest(1,bl*k/(1+(k-1)*0.55))),3) AS detectable_ic_hi FROM b""", "effective_n_lo effective_n_hi detectable_ic_lo detectable_ic_hi")
 def _(t):
     return R.detectable_band(B.mret(t), 3)

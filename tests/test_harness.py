@@ -117,3 +117,11 @@ def test_expected_max_and_verdict_gates(spark):
     assert spark.range(1).select(H.verdict(*row)).first()[0] == "WEAK"
     row[0] = F.lit(True)
     assert spark.range(1).select(H.verdict(*row)).first()[0] == "INSUFFICIENT_COVERAGE"
+
+
+def test_leave_one_window_out_for_each_factor(spark):
+    from panelyard.plans.studies import leave_one_window_out
+
+    d = spark.createDataFrame([(f, f"2000-0{m}-01", v * m) for f, v in (("A|1", 1.0), ("N|3", -1.0)) for m in (1, 2, 3)], "factor string, date string, ic double").withColumn("date", F.to_date("date"))
+    got = {r["factor"]: (r["full_ic"], r["without"]) for r in leave_one_window_out(d, [("w", "2000-03-01", "2000-03-31")], by=["factor"]).collect()}
+    assert got == {"A|1": (2.0, 1.5), "N|3": (-2.0, -1.5)}
