@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, decontaminate, html_extract, line_rules, pii, quality, simhash, sql, url_filters, warc
+from . import bpe, chunk_dedup, decontaminate, filter_audit, html_extract, line_rules, pii, quality, sharding, simhash, sql, url_filters, warc
 from .common import table
 
 #: Key of the registered query; a real run passes a secret one.
@@ -84,5 +84,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
 
+@query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return sharding.place(docs.withColumn("text_crc32", crc)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ORACLES["op1_url_filters"] = sql.url_filters()
 ORACLES["op4_quality_rules"] = sql.quality_rules()
+ORACLES["op11_sharding"] = sql.sharding()
+ORACLES["op13_filter_audit"] = sql.filter_audit()

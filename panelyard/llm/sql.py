@@ -55,3 +55,63 @@ def quality_rules(lim: Limits = Limits()) -> str:
            NOT (n_words < {lim.min_words} OR 100 * n_repeat_words > {lim.repeat_percent} * n_words)
                AND 1 - left_chars / greatest(word_chars, 1) <= {lim.lost_share} AS kept
     FROM m"""
+
+
+def sharding(shards: int = 8, per: int = 1000) -> str:
+    """Boundaries from running sums over all texts and rows; tolerance one part in ``per``."""
+    def edges(rows: str, by: str) -> str:
+        """The row of ``rows`` that each boundary k falls into; ends a and b, sought point k * total / shards."""
+        return f"""SELECT k, {by}, b - size AS a, b, total, shards * (2 * b - size) >= 2 * k * total AS first,
+                   least(k * total - shards * (b - size), shards * b - k * total) AS miss
+            FROM {rows} WHERE shards * (b - size) <= k * total AND k * total < shards * b"""
+
+    # CRC-32 by its table of 256 entries, one byte at a time.
+    crc = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(text), '..'), lambda y: CAST('0x' || y AS BIGINT))),
+                 lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])), 4294967295)"""
+    tab = """SELECT list(list_reduce(list_prepend(i, CAST(range(8) AS BIGINT[])), lambda c, y: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+             FROM range(256) u(i)"""
+    return f"""
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, tab FROM documents, ({tab})),
+    d AS (SELECT doc_id, strlen(text) + 1 AS size, {crc} AS crc, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS h,
+                 CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(text)), 1, 15) AS BIGINT) AS s FROM docs),
+    c AS (SELECT k, {shards} AS shards, (SELECT CAST(sum(size) AS HUGEINT) FROM d) AS total FROM range(1, {shards}) t(k)),
+    texts AS (SELECT h, size, rows, sum(size) OVER (ORDER BY h) AS b FROM (SELECT h, CAST(sum(size) AS HUGEINT) AS size, count(DISTINCT s) AS rows FROM d GROUP BY h)),
+    t AS ({edges('texts, c', 'h, rows')}),
+    rows AS (SELECT h, s, size, sum(size) OVER (ORDER BY h, s) AS b FROM (SELECT h, s, CAST(sum(size) AS HUGEINT) AS size FROM d GROUP BY h, s)),
+    r AS ({edges('rows, c', 'h, s')}),
+    cuts AS (SELECT k, CASE WHEN t.miss * {per} <= t.total OR t.rows = 1 THEN h + if(t.first, 0, 1) ELSE h END AS ch,
+                    CASE WHEN t.miss * {per} <= t.total OR t.rows = 1 THEN 0 ELSE r.s + if(r.first, 0, 1) END AS cs FROM t JOIN r USING (k, h)),
+    p AS (SELECT d.*, (SELECT count(*) FROM cuts WHERE ch < d.h OR (ch = d.h AND cs <= d.s)) AS shard FROM d)
+    SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+           row_number() OVER (PARTITION BY shard ORDER BY s, h) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p"""
+
+
+def filter_audit() -> str:
+    """All orders by joins of the letters; every count straight from the documents' masks."""
+    letters = "ABCDE"
+    order = " || ".join(f"l{i}.f" for i in range(5))
+    joins = " JOIN ".join([f"letters l{i}" + (" ON " + " AND ".join(f"l{i}.f <> l{j}.f" for j in range(i)) if i else "") for i in range(5)])
+    values = ", ".join(f"('{c}', {1 << i})" for i, c in enumerate(letters))
+    return f"""
+    WITH letters(f, bit) AS (VALUES {values}),
+    t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS low FROM t),
+    m AS (SELECT part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                 + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END
+                 + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > low THEN 16 ELSE 0 END AS mask,
+                 doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic FROM w),
+    cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+    orders AS (SELECT {order} AS filter_order FROM {joins}),
+    steps AS (SELECT filter_order, step, f, bit, (SELECT coalesce(sum(e.bit), 0) FROM letters e WHERE instr(filter_order, e.f) < step) AS before
+              FROM orders, range(1, 6) s(step) JOIN letters ON f = substr(filter_order, step, 1)),
+    counted AS (SELECT part, filter_order, step, f,
+               sum(CASE WHEN mask & CAST(before + bit AS INTEGER) = 0 THEN n ELSE 0 END) AS kept,
+               sum(CASE WHEN mask & bit <> 0 AND mask & CAST(before AS INTEGER) = 0 THEN n ELSE 0 END) AS removed,
+               sum(CASE WHEN mask & bit <> 0 AND mask & CAST(before AS INTEGER) <> 0 THEN n ELSE 0 END) AS redundant,
+               sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+               sum(CASE WHEN mask & bit <> 0 AND mask & CAST(before AS INTEGER) = 0 THEN good ELSE 0 END) AS good_lost,
+               sum(CASE WHEN mask & bit <> 0 AND mask & CAST(before AS INTEGER) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+               FROM steps, cells GROUP BY part, filter_order, step, f)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM counted"""
