@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, decontaminate, filter_audit, html_extract, line_rules, pii, quality, sharding, simhash, sql, url_filters, warc
+from . import bpe, chunk_dedup, decontaminate, filter_audit, html_extract, lexical_search, line_rules, pii, quality, sharding, simhash, sql, url_filters, warc
 from .common import table
 
 #: Key of the registered query; a real run passes a secret one.
@@ -93,6 +93,11 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -101,4 +106,5 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op1_url_filters"] = sql.url_filters()
 ORACLES["op4_quality_rules"] = sql.quality_rules()
 ORACLES["op11_sharding"] = sql.sharding()
+ORACLES["op12_ranked_search"] = sql.ranked_search()
 ORACLES["op13_filter_audit"] = sql.filter_audit()

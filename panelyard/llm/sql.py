@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries that SQL can express; plain formulations without any index."""
 from __future__ import annotations
 
+from .common import LOWER, UPPER
 from .line_rules import BOILERPLATE, NAVIGATION, Limits
 from .url_filters import LISTED, general_rules, listed_rule
 
@@ -86,6 +87,21 @@ def sharding(shards: int = 8, per: int = 1000) -> str:
            row_number() OVER (PARTITION BY shard ORDER BY s, h) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p"""
 
 
+def ranked_search(k: int = 10) -> str:
+    """Every term of every item against every document."""
+    terms = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS u, doc_id, {terms} AS w FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT count(*) AS n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+    q AS (SELECT DISTINCT i, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS i, item_id, {terms} AS w FROM benchmark)),
+    p AS (SELECT u, any_value(doc_id) AS doc_id, any_value(len(w)) AS len, term, count(*) AS tf FROM (SELECT u, doc_id, w, unnest(w) AS term FROM d) GROUP BY u, term),
+    f AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, n),
+    scored AS (SELECT i, item_id, u, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len * n) // CAST(l AS BIGINT))))) AS BIGINT) AS score
+               FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY i, item_id, u, doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, u) AS rank FROM scored WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= {k}"""
+
+
 def filter_audit() -> str:
     """All orders by joins of the letters; every count straight from the documents' masks."""
     letters = "ABCDE"
