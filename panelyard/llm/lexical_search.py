@@ -2,8 +2,8 @@
 
 A term is a maximal run of ASCII letters and digits and of all characters beyond ASCII; only
 A-Z are lower-cased.  The documents of one length normaliser m are a stratum.  The strata are
-laid end to end and cut into buckets of ``BUCKET`` documents, so that a bucket is a run of
-small strata or a part of a large one.  The index has one row per bucket, m, term and tf with
+laid end to end and cut into buckets of about ``BUCKET`` postings, so that a bucket is a run
+of small strata or a part of a large one.  The index has one row per bucket, m, term and tf with
 the documents of that posting list, so an impact is computed once per m and tf, not per
 document.  The impacts of the largest tf of each term bound what a bucket can give to an item.
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Documents of a bucket; bounds the work of one task, not the result.
-BUCKET = 8_192
+#: Postings of a bucket; bounds the work of one task, not the result.
+BUCKET = 1 << 17
 #: Buckets that an item visits for its threshold.
 FIRST = 2
 #: Scores that a task holds at once.
@@ -97,6 +97,24 @@ def item_terms(items: DataFrame, id: str = "item_id", text: str = "text") -> Dat
     return written(_counted(numbered, ["item", "item_id"]).filter("term <> X''").select("item", "item_id", "term"), "search-items")
 
 
+def _lists(bucket: pa.Table) -> pa.Table:
+    """Posting lists (bucket, m, term, tf, docs) of the postings of one bucket."""
+    b = bucket.combine_chunks()
+    words = b.column("term").chunk(0).dictionary_encode()
+    keys = [b.column("m").to_numpy(), words.indices.to_numpy(), b.column("tf").to_numpy()]
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= np.diff(k[order]) != 0
+    starts = np.flatnonzero(new)
+    rows = pa.array(order)
+    docs = pa.StructArray.from_arrays([b.column(c).chunk(0).take(rows) for c in ("id", "uid")], names=["id", "uid"])
+    docs = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), docs)
+    heads = b.select(["bucket", "m", "term", "tf"]).take(pa.array(order[starts]))
+    return heads.append_column("docs", docs)
+
+
 def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", wanted: DataFrame | None = None, bucket: int = BUCKET) -> Index:
     """The index of all rows of ``docs``; ``wanted`` (rows with a column term) limits its terms.
 
@@ -115,13 +133,16 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", wanted:
     if wanted is not None:
         pairs = pairs.join(wanted.select("term").distinct(), "term", "left_semi")
     m = F.expr(f"10L + ((90L * n * {n}L) div {max(total, 1)}L)")
-    strata = lengths.groupBy(m.alias("m")).agg(F.count("*").alias("rows"))
     # One row per stratum: their number is bounded by that of different text lengths.
+    strata = pairs.groupBy(m.alias("m")).agg(F.count("*").alias("rows"))
     before = F.coalesce(F.sum("rows").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     strata = written(strata.select("m", "rows", before.alias("before")), "search-strata")
+    # All postings of a document go to one place of its stratum.
     at = F.floor((F.col("before") + F.pmod(F.xxhash64("uid"), "rows")) / bucket).cast("long")
-    placed = pairs.withColumn("m", m).join(strata, "m").select(at.alias("bucket"), "m", "term", "tf", F.struct("id", "uid").alias("doc"))
-    postings = written(placed.groupBy("bucket", "m", "term", "tf").agg(F.collect_list("doc").alias("docs")), "search-index")
+    placed = pairs.withColumn("m", m).join(strata, "m").select(at.alias("bucket"), "m", "term", "tf", "id", "uid")
+    id_type = placed.schema["id"].dataType.simpleString()
+    lists = placed.groupBy("bucket").applyInArrow(_lists, f"bucket long, m long, term binary, tf long, docs array<struct<id:{id_type},uid:long>>")
+    postings = written(lists, "search-index")
     terms = postings.groupBy("term").agg(F.sum(F.size("docs").cast("long")).alias("df"))
     return Index(postings, written(terms, "search-terms"), n, total)
 

@@ -49,7 +49,7 @@ def corpus(seed, n=300):
     return docs, [(j, text()) for j in range(12)] + [(50, hot), (51, "no such thing"), (52, ""), (53, None), (50, hot + " w4")]
 
 
-@pytest.mark.parametrize("bucket, first", [(8192, 2), (16, 1), (1, 3)])
+@pytest.mark.parametrize("bucket, first", [(1 << 17, 2), (200, 1), (1, 3)])
 def test_all_scores_by_the_formula(rows, bucket, first):
     docs, items = corpus(4)
     d = rows(docs).repartition(5)
@@ -60,7 +60,7 @@ def test_bounds_leave_buckets_out_and_lose_nothing(rows):
     docs = [(i, "common " + ("rare " * 3 if i < 12 else f"other{i} " * (1 + i % 40))) for i in range(400)]
     items = [(1, "rare common")]
     asked = ls.item_terms(rows(items, "item_id long, text string"))
-    index = ls.build_index(rows(docs), wanted=asked, bucket=20)
+    index = ls.build_index(rows(docs), wanted=asked, bucket=40)
     buckets = index.postings.select("bucket").distinct().count()
     visited = []
     whole = ls._score
@@ -80,11 +80,14 @@ def test_bounds_leave_buckets_out_and_lose_nothing(rows):
 
 def test_index_of_all_terms_holds_every_posting(rows):
     docs, _ = corpus(9, 120)
-    index = ls.build_index(rows(docs), bucket=10)
+    index = ls.build_index(rows(docs), bucket=100)
     got = {(d["uid"], r.term.decode()): r.tf for r in index.postings.collect() for d in r.docs}
     assert sorted((t, c) for (_, t), c in got.items()) == sorted((t, c) for _, x in docs for t, c in Counter(slow_terms(x)).items())
     assert index.documents == 120 and index.length == sum(len(slow_terms(x)) for _, x in docs)
-    assert max(len({d["uid"] for r in g for d in r.docs}) for g in [[r for r in index.postings.collect() if r.bucket == b] for b in range(12)]) <= 30
+    sizes = Counter()
+    for r in index.postings.collect():
+        sizes[r.bucket] += len(r.docs)
+    assert max(sizes.values()) < 300 and len({(r.bucket, r.m, r.term, r.tf) for r in index.postings.collect()}) == index.postings.count()
 
 
 def test_odd_tables(rows, odd):
