@@ -1,27 +1,25 @@
 """Exact ranks and quantiles of groups of any size, in one way for every size.
 
-A window over a whole cross-section would put it into one task.  Here a group is cut into
-value ranges, each range is ordered by a task of its own, and the sizes of the ranges before
-it are added.  One grouped aggregate counts each group and takes the cut points from a
-mergeable quantile sketch; a group gets one range for every ``ROWS_PER_PIECE`` rows, so that
-small groups stay whole.  The sketch only decides where a group is cut: every row is ranked,
-and the ranks are exact for any cuts.  Equal values are counted before they are ordered, but
-for positions, whose ties are told apart by key.
-
-Everything is lazy.  The input of the two aggregates is persisted to disk, so that its own
-plan runs once.  Group keys are compared null-safe: NULL is a group like any other.
+A window over a whole cross-section would put it into one task.  Here all groups together are
+laid out by one range exchange, ordered by group and value, so that a large group spreads over
+many tasks and a task holds many small groups.  The layout is settled once in the shared
+folder; a piece is what one task holds of one group.  Every piece adds up its own rows, and
+the sizes of the pieces before it in the same group, one row each, are added.  Where the range
+exchange cuts only decides the pieces: the ranks are exact for any cuts.  Equal values are
+counted before they are laid out, but for positions, whose ties are told apart by key.
+
+A call runs jobs: it settles its layout, so the plan of its result holds neither the plan of
+its input nor that of earlier calls, and nothing stays cached.  Group keys are compared
+null-safe: NULL is a group like any other.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_PIECE = 1_000_000
-MOST_PIECES = 128
-ACCURACY = 2_000
+from ..session import settle
 
 
 def join_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -41,37 +39,35 @@ def running_weight(
     weight: Column | None = None,
     cum: str = "_cum",
     total: str = "_total",
-    rows_per_piece: int = ROWS_PER_PIECE,
-    pieces: int = MOST_PIECES,
+    values: str | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Add the inclusive running weight in ``order`` and the weight of the whole group.
 
-    ``order`` must be unique within a group, and its first column is a number.  With weight
-    1 the running weight is the position.
+    ``order`` must be unique within a group.  With weight 1 the running weight is the
+    position.  ``values`` names a column for the rows of the group whose first column of
+    ``order`` is not NULL.  ``pieces`` fixes the number of ranges; by default it is that of the
+    session's shuffle partitions, of which small ones are put together.
     """
     by, order = list(by), list(order)
-    d = df.withColumn("_rw_w", (F.lit(1) if weight is None else weight).cast("long")).persist(StorageLevel.DISK_ONLY)
-    probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    groups = d.groupBy(*by).agg(
-        F.count("*").alias("_rw_n"), F.sum("_rw_w").alias(total), F.percentile_approx(F.col(order[0]).cast("double"), probs, F.lit(ACCURACY)).alias("_rw_p")
-    )
-    k = F.least(F.ceil(F.col("_rw_n") / rows_per_piece), F.lit(pieces)).cast("int")
-    cuts = F.when(k > 1, F.transform(F.sequence(F.lit(1), k - 1), lambda i: F.get("_rw_p", (i * pieces / k).cast("int") - 1)))
-    groups = groups.withColumn("_rw_p", cuts).drop("_rw_n")
-    first = F.col(order[0]).cast("double")
-    at = F.coalesce(F.size(F.filter("_rw_p", lambda c: c < first)), F.lit(0))
-    d = join_safe(d, groups, by).withColumn("_rw_b", F.when(F.col("_rw_p").isNull(), 0).otherwise(at)).withColumn("_rw_cut", F.col("_rw_p").isNotNull()).drop("_rw_p")
-
-    sizes = d.filter("_rw_cut").groupBy(*by, "_rw_b").agg(F.sum("_rw_w").alias("_rw_bw"))
-    run = Window.partitionBy(*by).orderBy("_rw_b").rowsBetween(Window.unboundedPreceding, 0)
-    before = sizes.select(*by, "_rw_b", (F.sum("_rw_bw").over(run) - F.col("_rw_bw")).alias("_rw_off"))
-    local = Window.partitionBy(*by, "_rw_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.repartition(*[F.col(c) for c in by], F.col("_rw_b")).withColumn("_rw_local", F.sum("_rw_w").over(local))
-    return (
-        join_safe(d, before, [*by, "_rw_b"], "left")
-        .withColumn(cum, F.col("_rw_local") + F.coalesce("_rw_off", F.lit(0)))
-        .drop("_rw_local", "_rw_off", "_rw_b", "_rw_w", "_rw_cut")
-    )
+    keys = [F.col(c) for c in (*by, *order)]
+    laid = df.withColumn("_rw_w", (F.lit(1) if weight is None else weight).cast("long"))
+    laid = laid.repartitionByRange(*([pieces] if pieces else []), *keys)
+    # A struct is compared field by field, NULL being equal to NULL.
+    piece = F.struct(*[F.col(c) for c in by], F.spark_partition_id().alias("_rw_at"))
+    d = settle(laid.withColumn("_rw_p", piece))
+
+    sizes = d.groupBy("_rw_p").agg(F.sum("_rw_w").alias("_rw_sum"), F.count(order[0]).alias("_rw_n"))
+    group = [F.col(f"_rw_p.{c}") for c in by]
+    before = Window.partitionBy(*group).orderBy("_rw_p._rw_at").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
+    sizes = sizes.select(
+        F.col("_rw_p").alias("_rw_q"), F.coalesce(F.sum("_rw_sum").over(before), F.lit(0)).alias("_rw_off"), F.sum("_rw_sum").over(whole).alias(total),
+        *([F.sum("_rw_n").over(whole).alias(values)] if values else []))
+    local = Window.partitionBy("_rw_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_rw_local", F.sum("_rw_w").over(local))
+    joined = d.join(sizes, d["_rw_p"] == sizes["_rw_q"])
+    return joined.withColumn(cum, F.col("_rw_local") + F.col("_rw_off")).drop("_rw_local", "_rw_off", "_rw_w", "_rw_p", "_rw_q")
 
 
 def positions(
@@ -112,14 +108,11 @@ def average_ranks(
     """
     by = list(by)
     hist = histogram(df, by, value)
-    r = running_weight(hist, by, [value], weight=F.col("_times"), total=total)
+    r = running_weight(hist, by, [value], weight=F.col("_times"), total=total, values=distinct)
     has = F.col(value).isNotNull()
     r = r.withColumn(out, F.when(has, F.col("_cum") - (F.col("_times") - 1) / 2)).withColumn(total, F.when(has, F.col(total)))
-    r = join_safe(df, r.select(*by, value, out, total), [*by, value])
-    if distinct:
-        n = df.groupBy(*by).agg(F.countDistinct(value).alias(distinct))
-        r = join_safe(r, n, by)
-    return r
+    more = [distinct] if distinct else []
+    return join_safe(df, r.select(*by, value, out, total, *more), [*by, value])
 
 
 def group_quantiles(

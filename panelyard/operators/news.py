@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import series
-from ..functions.ranks import group_quantiles
 from ..session import settle
 from .features import ewm_mean
 from .normalise import rolling_z
@@ -60,9 +59,8 @@ def entity_day(docs: DataFrame, top_themes: int = 0, key: str = "doc_id") -> Dat
     per (date, code).
 
     Duplicate documents count once (the first by order key is kept); a document mentioning a
-    code several times is one article with several mentions.  Sums combine map-side; the tone
-    quantiles come from exact positions and the spread from running moments, so no
-    entity-day's articles are held in one place.
+    code several times is one article with several mentions.  Sums and the counts behind the exact
+    tone quantiles combine map-side: an entity-day costs one row per different tone.
     """
     d = docs.groupBy("date", key).agg(F.min(F.struct("mentions", "tone", "source_code", "themes")).alias("_d")).select("date", key, "_d.*")
     d = d.filter((F.size("mentions") > 0) & F.col("tone.tone").isNotNull() & F.col("tone.positive").isNotNull() & F.col("tone.negative").isNotNull() & F.col("tone.polarity").isNotNull())
@@ -81,13 +79,15 @@ def entity_day(docs: DataFrame, top_themes: int = 0, key: str = "doc_id") -> Dat
         F.count("*").alias("n_articles"), F.sum("m").alias("mentions"), F.sum(w).alias("total_words"), F.avg(t).alias("tone_mean"), weighted(every).alias("tone_weighted"),
         F.avg("tone.positive").alias("positive_mean"), F.avg("tone.negative").alias("negative_mean"), F.avg("tone.polarity").alias("polarity_mean"),
         F.stddev_pop(t).alias("tone_dispersion"), weighted(local).alias("local_tone"), weighted(foreign).alias("foreign_tone"),
+        F.percentile(t, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_tones"),
         F.count(F.when(local, 1)).alias("local_articles"), F.count(F.when(foreign, 1)).alias("foreign_articles"), F.count(F.when(F.col("source_code").isNull(), 1)).alias("unknown_articles"))
-    q = group_quantiles(a.select("date", "code", t.alias("tone")), ["date", "code"], "tone", {"tone_p10": 0.1, "tone_p50": 0.5, "tone_p90": 0.9})
     src = d.filter(F.col("source_code").isNotNull()).groupBy("date", F.col("source_code").alias("code")).agg(F.count("*").alias("source_total"))
-    g = g.join(q, ["date", "code"]).join(src, ["date", "code"], "left").withColumns({
+    g = g.join(src, ["date", "code"], "left").withColumns({
+        **{name: F.get("_tones", F.lit(i)) for i, name in enumerate(("tone_p10", "tone_p50", "tone_p90"))},
         "source_total": F.coalesce("source_total", F.lit(0)),
         "resolution_rate": (F.col("local_articles") + F.col("foreign_articles")) / F.col("n_articles"),
     }).withColumn("attention_share", F.when(F.col("source_total") > 0, F.col("local_articles") / F.col("source_total")))
+    g = g.drop("_tones")
     if top_themes:
         th = d.select("date", F.explode(F.array_distinct("mentions")).alias("code"), "themes").withColumn("theme", F.explode("themes"))
         g = g.join(theme_shares(th, top_themes), ["date", "code"], "left")

@@ -5,14 +5,14 @@ import pytest
 from panelyard.functions import ranks
 from panelyard.operators.features import full_mad_winsor
 
-SIZES = [1_000_000, 7]
+PIECES = [None, 1, 40]
 
 
-@pytest.fixture(params=SIZES)
+@pytest.fixture(params=PIECES)
 def piece(request, monkeypatch):
-    """Whole groups, and groups cut into many pieces: the results must not differ."""
+    """As the session cuts, in one piece and in many: the results must not differ."""
     f = ranks.running_weight
-    monkeypatch.setattr(ranks, "running_weight", lambda *a, **k: f(*a, **{"rows_per_piece": request.param} | k))
+    monkeypatch.setattr(ranks, "running_weight", lambda *a, **k: f(*a, **{"pieces": request.param} | k))
     return request.param
 
 
@@ -54,10 +54,10 @@ def test_quantiles_match_pandas(spark, piece):
         assert np.allclose(got[n], pdf.groupby("g")["v"].quantile(p).sort_index())
 
 
-@pytest.mark.parametrize("rows", [1_000_000, 1])
+@pytest.mark.parametrize("rows", [1, 30])
 def test_null_groups_and_values_stay(spark, monkeypatch, rows):
     f = ranks.running_weight
-    monkeypatch.setattr(ranks, "running_weight", lambda *a, **k: f(*a, **{"rows_per_piece": rows} | k))
+    monkeypatch.setattr(ranks, "running_weight", lambda *a, **k: f(*a, **{"pieces": rows} | k))
     d = null_rows(spark)
     r = {x.k: (x["rank"], x.group_n) for x in ranks.average_ranks(d, ["g"], "v").collect()}
     assert r == {"a": (1.0, 2), "b": (2.0, 2), "c": (None, None), "d": (None, None), "e": (None, None), "f": (2.5, 4), "g": (2.5, 4), "h": (4.0, 4), "i": (1.0, 4)}
@@ -71,8 +71,12 @@ def test_winsor_keeps_every_row(spark):
     assert full_mad_winsor(null_rows(spark), by=["g"], value="v", out="v").count() == 9
 
 
-def test_no_job_before_an_action(spark):
-    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
-    d = ranks.average_ranks(null_rows(spark), ["g"], "v")
-    ranks.group_quantiles(d, ["g"], "v", {"m": 0.5})
-    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before
+def test_plan_does_not_grow_with_nested_calls(spark):
+    d, sizes = null_rows(spark), []
+    for i in range(3):
+        d = ranks.average_ranks(d, ["g"], "v", out=f"r{i}", total=f"n{i}")
+        sizes.append(len(d._jdf.queryExecution().toString()))
+    # A call adds its joins, no copy of the plan before it.
+    assert sizes[2] - sizes[1] < 1.6 * (sizes[1] - sizes[0]) and sizes[2] < 60_000
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()
+    assert {r.k: r.r2 for r in d.collect()}["f"] == 2.5
