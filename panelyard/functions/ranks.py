@@ -14,7 +14,7 @@ null-safe: NULL is a group like any other.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +32,26 @@ def join_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
     return left.join(r, same, how).drop(*names.values())
 
 
+def laid_out(df: DataFrame, by: Sequence[str], order: Sequence[str], pieces: int | None = None) -> DataFrame:
+    """``df`` in ranges of (by, order), settled, with the piece of each row as ``_rw_p``.
+
+    ``pieces`` fixes the number of ranges; by default it is that of the session's shuffle
+    partitions, of which small ones are put together.
+    """
+    keys = [F.col(c) for c in (*by, *order)]
+    laid = df.repartitionByRange(*([pieces] if pieces else []), *keys)
+    # A struct is compared field by field, NULL being equal to NULL.
+    return settle(laid.withColumn("_rw_p", F.struct(*[F.col(c) for c in by], F.spark_partition_id().alias("_rw_at"))))
+
+
+def _around(by: Sequence[str]):
+    """Windows over one row per piece: the pieces before, the pieces after, the whole group."""
+    group = [F.col(f"_rw_p.{c}") for c in by]
+    whole = Window.partitionBy(*group)
+    o = whole.orderBy("_rw_p._rw_at")
+    return o.rowsBetween(Window.unboundedPreceding, -1), o.rowsBetween(1, Window.unboundedFollowing), whole
+
+
 def running_weight(
     df: DataFrame,
     by: Sequence[str],
@@ -46,21 +66,12 @@ def running_weight(
 
     ``order`` must be unique within a group.  With weight 1 the running weight is the
     position.  ``values`` names a column for the rows of the group whose first column of
-    ``order`` is not NULL.  ``pieces`` fixes the number of ranges; by default it is that of the
-    session's shuffle partitions, of which small ones are put together.
+    ``order`` is not NULL.
     """
     by, order = list(by), list(order)
-    keys = [F.col(c) for c in (*by, *order)]
-    laid = df.withColumn("_rw_w", (F.lit(1) if weight is None else weight).cast("long"))
-    laid = laid.repartitionByRange(*([pieces] if pieces else []), *keys)
-    # A struct is compared field by field, NULL being equal to NULL.
-    piece = F.struct(*[F.col(c) for c in by], F.spark_partition_id().alias("_rw_at"))
-    d = settle(laid.withColumn("_rw_p", piece))
-
+    d = laid_out(df.withColumn("_rw_w", (F.lit(1) if weight is None else weight).cast("long")), by, order, pieces)
     sizes = d.groupBy("_rw_p").agg(F.sum("_rw_w").alias("_rw_sum"), F.count(order[0]).alias("_rw_n"))
-    group = [F.col(f"_rw_p.{c}") for c in by]
-    before = Window.partitionBy(*group).orderBy("_rw_p._rw_at").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
+    before, _, whole = _around(by)
     sizes = sizes.select(
         F.col("_rw_p").alias("_rw_q"), F.coalesce(F.sum("_rw_sum").over(before), F.lit(0)).alias("_rw_off"), F.sum("_rw_sum").over(whole).alias(total),
         *([F.sum("_rw_n").over(whole).alias(values)] if values else []))
@@ -70,6 +81,29 @@ def running_weight(
     return joined.withColumn(cum, F.col("_rw_local") + F.col("_rw_off")).drop("_rw_local", "_rw_off", "_rw_w", "_rw_p", "_rw_q")
 
 
+def least_from_here(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: Callable[[Column, Column], Column], out: str, pieces: int | None = None
+) -> DataFrame:
+    """Minimum of ``value(position, group size)`` over a row and all rows behind it.
+
+    Two levels: every piece takes its own minima from each row on, and of the pieces behind
+    it one number each.  ``order`` must be unique within a group.
+    """
+    by, order = list(by), list(order)
+    d = laid_out(df, by, order, pieces)
+    before, after, whole = _around(by)
+    sizes = d.groupBy("_rw_p").agg(F.count("*").alias("_rw_n"))
+    sizes = sizes.select(F.col("_rw_p").alias("_rw_q"), F.coalesce(F.sum("_rw_n").over(before), F.lit(0)).alias("_rw_off"), F.sum("_rw_n").over(whole).alias("_rw_all"))
+    o = Window.partitionBy("_rw_p").orderBy(*order)
+    d = d.withColumn("_rw_local", F.row_number().over(o)).join(sizes, d["_rw_p"] == sizes["_rw_q"])
+    d = d.withColumn("_rw_v", value(F.col("_rw_local") + F.col("_rw_off"), F.col("_rw_all")))
+    d = d.withColumn("_rw_least", F.min("_rw_v").over(o.rowsBetween(0, Window.unboundedFollowing)))
+    heads = d.filter("_rw_local = 1").select("_rw_p", "_rw_least")
+    heads = heads.select(F.col("_rw_p").alias("_rw_h"), F.min("_rw_least").over(after).alias("_rw_behind"))
+    d = d.join(heads, d["_rw_p"] == heads["_rw_h"])
+    return d.withColumn(out, F.least("_rw_least", "_rw_behind")).drop("_rw_p", "_rw_q", "_rw_h", "_rw_off", "_rw_all", "_rw_local", "_rw_v", "_rw_least", "_rw_behind")
+
+
 def positions(
     df: DataFrame,
     by: Sequence[str],

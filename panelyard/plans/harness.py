@@ -65,7 +65,8 @@ def align_daily(signals: DataFrame, returns: DataFrame, horizons: Sequence[int],
 def rank_ic(aligned: DataFrame, by: Sequence[str] = ("signal", "horizon"), minimum: int = 10, distinct: int = 3) -> DataFrame:
     """Spearman rank IC (average ties) per date; thin or flat cross-sections are dropped."""
     g = [*by, "date"]
-    d = average_ranks(aligned, g, "value", out="_rx", total="_n", distinct="_d")
+    d = settle(aligned.select(*g, "value", "fwd_return"))
+    d = average_ranks(d, g, "value", out="_rx", total="_n", distinct="_d")
     d = average_ranks(d, g, "fwd_return", out="_ry", total="_n2")
     return (
         d.groupBy(*g)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import before, guarded, last_rows, month_number, prior_rows, ratio, series, so_far
-from ..functions.ranks import average_ranks, group_quantiles
+from ..functions.ranks import average_ranks, group_quantiles, least_from_here
 from ..operators.features import (
     drawdown, expanding_percentile, full_sample_buckets, persistence, pit_buckets, rolling_abs_correlation,
 )
@@ -269,12 +269,13 @@ def one_way_f(df: DataFrame, by: Sequence[str], group: str, value: str, minimum:
 
 
 def bh_adjust(df: DataFrame, p: str = "p_value", alpha: float = 0.20, key: str = "factor") -> DataFrame:
-    """Benjamini-Hochberg adjusted p-values (one row per tested factor)."""
-    w = Window.orderBy(F.col(p), key)
-    d = df.filter(F.col(p).isNotNull()).withColumns({"_r": F.row_number().over(w), "_m": F.count("*").over(Window.partitionBy())})
-    d = d.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r"))
-    d = d.withColumn("p_adj", F.least(F.lit(1.0), F.min("_q").over(w.rowsBetween(0, Window.unboundedFollowing))))
-    return d.withColumn("significant", F.col("p_adj") <= alpha).drop("_r", "_m", "_q")
+    """Benjamini-Hochberg adjusted p-values (one row per tested factor).
+
+    The running minimum from the largest p-value down is a two-level scan over ranges of p.
+    """
+    d = least_from_here(df.filter(F.col(p).isNotNull()), [], [p, key], lambda r, m: F.col(p) * m / r, "p_adj")
+    d = d.withColumn("p_adj", F.least(F.lit(1.0), F.col("p_adj")))
+    return d.withColumn("significant", F.col("p_adj") <= alpha)
 
 
 def conditional_ic(ic: DataFrame, regimes: DataFrame, alpha: float = 0.20) -> DataFrame:
@@ -299,7 +300,7 @@ def expanding_regime(df: DataFrame, warmup_months: int = 60, low: float = 0.3, h
 def standardised_ranks(panel: DataFrame, minimum: int = 10) -> DataFrame:
     """Per (factor, date): average ranks of signal and return, standardised (sample)."""
     by = ["factor", "date"]
-    d = panel.filter(F.col("signal").isNotNull() & F.col("ret").isNotNull())
+    d = settle(panel.filter(F.col("signal").isNotNull() & F.col("ret").isNotNull()))
     r = average_ranks(average_ranks(d, by, "signal", "_a", "_n"), by, "ret", "_b", "_n2").filter(F.col("_n") >= minimum)
     z = cross_z(cross_z(r, by, "_a", 1, out="rank_signal"), by, "_b", 1, out="rank_ret")
     return z.filter(F.col("rank_signal").isNotNull() & F.col("rank_ret").isNotNull()).select(*by, "entity", "rank_signal", "rank_ret")

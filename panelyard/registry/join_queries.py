@@ -412,8 +412,8 @@ def _(t):
     return J.month_offset_returns(B.monthly(t), B.mret(t), 1, 3)
 
 
-@query("J8_day_offset_join", """WITH c AS (SELECT entity, date, sum(ln(1+ret)) OVER (PARTITION BY entity ORDER BY date) AS cum FROM {dret}),
-   l AS (SELECT entity, date, lead(cum, 1) OVER w AS x, lead(cum, 6) OVER w AS y FROM c WINDOW w AS (PARTITION BY entity ORDER BY date))
+@query("J8_day_offset_join", """WITH c AS MATERIALIZED (SELECT entity, date, sum(ln(1+ret)) OVER (PARTITION BY entity ORDER BY date) AS cum FROM {dret}),
+   l AS MATERIALIZED (SELECT entity, date, lead(cum, 1) OVER w AS x, lead(cum, 6) OVER w AS y FROM c WINDOW w AS (PARTITION BY entity ORDER BY date))
    SELECT d.date, d.entity, d.value, exp(y-x)-1 AS fwd_return FROM {daily} d JOIN l ON l.entity=d.entity AND l.date=d.date WHERE y IS NOT NULL""", "value fwd_return", digits=4)
 def _(t):
     return J.day_offset_returns(B.daily(t).drop("variable"), B.dret(t), 1, 5)

@@ -10,6 +10,7 @@ from ..operators import news as W
 from ..operators import normalise as N
 from ..operators import portfolio as P
 from ..plans import studies as R
+from ..session import settle
 from . import base as B
 from .base import query
 from .harness_queries import IC, SIG, signals
@@ -262,7 +263,7 @@ REGW = f"""WITH {IC}, {RG}, m AS (SELECT regime, signal AS variable, avg(ic) AS
 
 def regime_weights(t):
     from ..plans import harness as H
-    ic = H.rank_ic(H.align_monthly(signals(t), B.mret(t), [1])).join(R.tag_regimes(macro(t)).select("date", "regime"), "date")
+    ic = settle(H.rank_ic(H.align_monthly(signals(t), B.mret(t), [1]))).join(R.tag_regimes(macro(t)).select("date", "regime"), "date")
     return P.walk_forward_weights(ic.withColumnRenamed("signal", "variable"), 0.3)
 
 

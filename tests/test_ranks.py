@@ -80,3 +80,15 @@ def test_plan_does_not_grow_with_nested_calls(spark):
     assert sizes[2] - sizes[1] < 1.6 * (sizes[1] - sizes[0]) and sizes[2] < 60_000
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()
     assert {r.k: r.r2 for r in d.collect()}["f"] == 2.5
+
+
+@pytest.mark.parametrize("pieces", [1, 7, 60])
+def test_least_from_here_by_definition(spark, pieces):
+    pdf = frame(5, 120)
+    d = ranks.least_from_here(spark.createDataFrame(pdf), ["g"], ["v", "k"], lambda r, n: ranks.F.col("v") * n / r, "low", pieces=pieces).toPandas()
+    assert list(d.columns) == ["g", "k", "v", "low"] and len(d) == len(pdf)
+    want = pdf.sort_values(["g", "v", "k"])
+    pos, n = want.groupby("g").cumcount() + 1, want.groupby("g")["v"].transform("size")
+    want["want"] = (want["v"] * n / pos)[::-1].groupby(want["g"][::-1]).cummin()[::-1]
+    m = d.merge(want[["k", "want"]], on="k")
+    assert np.allclose(m["low"], m["want"])
