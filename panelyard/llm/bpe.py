@@ -27,7 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks and words, each, that a worker remembers.
+from .common import apart
+
+#: Chunks and words, each, that a worker remembers: about 500 bytes for one of both.
 REMEMBERED = 160_000
 #: Token pairs whose compatibility a worker remembers.
 PAIRS = 250_000
@@ -66,10 +68,13 @@ class Memory(dict):
 class Encoder:
     """Encoder and decoder of one word-level BPE vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if model.get("type") != "BPE" or "Lowercase" not in steps or "NFC" not in steps:
+            raise ValueError(f"{path} is no vocabulary of lower-cased NFC words")
         self.ids: dict[str, int] = model["vocab"]
         self.mark = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -81,8 +86,8 @@ class Encoder:
         self._pairs(model["merges"])
         self._automaton()
         self._tables()
-        self.words = Memory(self.word_of, REMEMBERED)
-        self.memory = Memory(lambda c: np.array(self.chunk_ids(c), np.int32).tobytes(), REMEMBERED)
+        self.words = Memory(self.word_of, remembered)
+        self.memory = Memory(lambda c: np.array(self.chunk_ids(c), np.int32).tobytes(), remembered)
 
     def _symbols(self, token: str) -> str:
         """A token as one character per base symbol; marked ones are moved out of the way."""
@@ -236,24 +241,26 @@ def digest(ids: np.ndarray, text: np.ndarray, at: np.ndarray) -> str:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    return Encoder(path, remembered)
 
 
-def encode_texts(df: DataFrame, path: str, text: str = "text", ids: bool = True) -> DataFrame:
+@apart("text")
+def encode_texts(df: DataFrame, path: str, text: str = "text", ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """Add token_ids (if ``ids``), n_tokens, ids_sha256 and decoded_sha256 to every row.
 
     ``path`` is the vocabulary file, at the same place on every machine.  The text column is
     replaced by these; other columns pass through, but for input columns named like an
     output.  NULL counts as the empty text, which has no tokens.  Rows stay where they are:
-    there is no shuffle, and a batch holds few texts when they are long.
+    there is no shuffle, and a batch holds few texts when they are long.  ``remembered``
+    trades memory of a worker for time.
     """
     names = ["token_ids"] * ids + ["n_tokens", "ids_sha256", "decoded_sha256"]
     keep = [c for c in df.columns if c != text and c.lower() not in names]
     d = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path, remembered)
         for b in batches:
             rows = [e.encode(t.as_py() or "") for t in b.column(len(keep))]
             cols = [pa.array(rows, pa.list_(pa.int32()))] if ids else []

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import apart, written
 
 #: A chunk ends at one place in so many, on average.
 ONE_IN = 32
@@ -134,6 +134,7 @@ def passages_by_document(docs: DataFrame, id: str = "doc_id", text: str = "text"
     )
 
 
+@apart("id", "text")
 def without_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with the repeated passages cut out of the text where every chunk of the run
     has an earlier occurrence; other rows and columns are unchanged."""

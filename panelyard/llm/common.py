@@ -1,7 +1,10 @@
 """Reading tables, written intermediate tables and connected components."""
 from __future__ import annotations
 
+import functools
+import inspect
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,34 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def apart(*named: str) -> Callable:
+    """Decorator: the caller's columns bear neutral names while the operator runs.
+
+    ``named`` are the parameters that hold names of columns of the first argument.  So no
+    column of the caller can meet one of the operator's own, whatever its name; columns
+    named (in any case) like an output give way to it.
+    """
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        signature = inspect.signature(f)
+
+        @functools.wraps(f)
+        def run(df: DataFrame, *args, **kw) -> DataFrame:
+            neutral = {c: f"__{i}" for i, c in enumerate(df.columns)}
+            bound = signature.bind(df.toDF(*neutral.values()), *args, **kw)
+            bound.apply_defaults()
+            for n in named:
+                bound.arguments[n] = neutral[bound.arguments[n]]
+            out = f(*bound.args, **bound.kwargs)
+            back = {n: c for c, n in neutral.items()}
+            made = {c.lower() for c in out.columns if c not in back}
+            return out.select(*[F.col(c).alias(back.get(c, c)) for c in out.columns if c not in back or back[c].lower() not in made])
+
+        return run
+
+    return wrap
+
+
 def work_folder(spark: SparkSession, kind: str) -> str:
     """A new folder below the checkpoint folder, which driver and executors share.
 

@@ -5,27 +5,33 @@ repeated node, and the text blocks that may be content.  The skeleton that most
 host share is the host's reference; every other one is aligned with it by simple tree
 matching, so that a block has the same slot on every page.  A slot's text that most
 different pages of the host repeat is template; the varying texts are content.  Elements
-that HTML itself or their class names declare as furniture are no candidates, and where a
-page marks its article, only blocks inside it are.
+that HTML itself or whole class names declare as furniture are no candidates; a furniture
+word inside another class name is a hint, under which blocks of links go and others are left
+to induction.  Where a page marks its article, only blocks inside it are candidates; an
+article inside furniture is a teaser and marks nothing.
 """
 from __future__ import annotations
 
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import apart, written
 from .url_filters import host_and_path
 
 #: A slot's text is template if this share of the host's different pages repeats it, and
 #: at least so many of them.
 TEMPLATE_SHARE = 0.7
 TEMPLATE_PAGES = 4
+#: Outside article and main, a list entry, a run of links or a block under a weak hint is
+#: navigation if this share of its text is linked.
+LINKED = 0.8
 #: Places among like siblings that a skeleton tells apart.
 PLACES = 32
 
@@ -38,7 +44,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object select canvas video audio".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg object select canvas video audio".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -59,6 +65,38 @@ FURNITURE = TALK | frozenset(
     "breadcrumbs crumbs pagination pager masthead topbar toolbar header footer share sharing social login search copyright legal hidden".split()
 )
 OF_ARTICLE = frozenset("article entry post story content page".split())
+#: Words that beside a furniture word leave a class name one of furniture.
+NEUTRAL = OF_ARTICLE | frozenset(
+    "site main the js is blog area list item box wrap wrapper container block section inner outer top bottom left right primary secondary "
+    "global bar column module panel group holder text link links icon icons button buttons row region slot unit title heading".split()
+)
+
+
+@lru_cache(maxsize=1 << 14)
+def hint(names: str) -> str:
+    """What class names or an id say of an element: "", "weak", "class", "talk" or "header".
+
+    A name counts as furniture if all its words are furniture or neutral and one is
+    furniture: ``sidebar``, ``cookie-notice``, ``post-comments``.  A furniture word among
+    others (``with-sidebar``, ``comments-open``), or beside a name that is wholly of the
+    article, is a weak hint only.
+    """
+    weak, strong, own = False, set(), False
+    for name in names.split():
+        words = WORD.findall(name)
+        hit = FURNITURE.intersection(words)
+        if hit and all(w in FURNITURE or w in NEUTRAL for w in words):
+            strong |= {"header*"} if hit == {"header"} and OF_ARTICLE.intersection(words) else hit
+        elif hit:
+            weak = True
+        elif words and all(w in OF_ARTICLE for w in words):
+            own = True
+    if strong == {"header*"} or (strong == {"header"} and own):
+        return "header"
+    strong.discard("header*")
+    if strong and not own:
+        return "talk" if strong & TALK else "header" if strong == {"header"} else "class"
+    return "weak" if strong or weak else ""
 
 
 class Page:
@@ -70,7 +108,7 @@ class Page:
         self.children: list[dict[tuple[str, int], int]] = [{}]
         self.blocks: list[tuple[int, int, str]] = []
         self._text: list[str] = []
-        self._linked = 0
+        self._linked = self._links = 0
         self._parse(source)
 
     def shape(self) -> str:
@@ -81,20 +119,21 @@ class Page:
         top = max((level for _, level, _ in self.blocks), default=0)
         return [(n, t) for n, level, t in self.blocks if level == top]
 
-    def _flush(self, node: int, level: int, skipped: bool) -> None:
+    def _flush(self, node: int, level: int, skipped: bool, listed: bool) -> None:
         if self._text:
             raw = "".join(self._text)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
-            if text and not skipped and (level or self._linked < 0.8 * len(text)):
+            menu = not level and (listed or self._links > 1) and self._linked >= LINKED * len(text)
+            if text and not skipped and not menu:
                 self.blocks.append((node, level, text))
             self._text = []
-        self._linked = 0
+        self._linked = self._links = 0
 
     def _parse(self, source: str) -> None:
         # One entry per open element: tag, node, level of its region, why it is skipped
         # ("" if not), whether inside a link, and the counts of its children by label.
         stack: list[tuple[str, int, int, str, bool, dict[str, int]]] = [("#", 0, 0, "", False, {})]
-        block = [(0, 0, False)]  # the nearest block element of each open one
+        block = [(0, 0, False, False)]  # the nearest block element of each open one
         at, size, match = 0, len(source), TOKEN.search
         low = source.lower() if "<" in source else source
         while at < size:
@@ -140,15 +179,16 @@ class Page:
 
     def _start(self, tag: str, rest: str, stack: list, block: list) -> None:
         _, parent, level, why, link, seen = stack[-1]
-        words: set[str] = set()
-        role, label = "", tag
+        told = role = ""
+        label = tag
         if rest and not rest.isspace() and rest != "/":
             for name, a, b, c in ATTRIBUTE.findall(rest):
                 value = a or b or c
                 name = name.lower()
                 if name in ("class", "id"):
-                    found = WORD.findall(value.lower())
-                    words.update(found)
+                    value = value.lower()
+                    found = WORD.findall(value)
+                    told += " " + value
                     label += "." + "-".join(found) if found else ""
                 elif name == "role":
                     role = value.lower()
@@ -165,10 +205,12 @@ class Page:
             self.parents.append(parent)
             self.children.append({})
         region = 2 if tag == "article" or "articlebody" in rest.lower() else 1 if tag == "main" or role == "main" else 0
+        told = hint(told) if told else ""
+        weak = told == "weak"
         if tag in RAW:
             why = why or "raw"
-        elif region and not words & TALK:
-            why = "" if why in ("class", "form") else why
+        elif region and told != "talk" and why in ("", "form"):
+            why = ""
             level = max(level, region)
         elif not why and tag not in ("html", "body"):
             if tag in FURNITURE_TAGS:
@@ -177,11 +219,15 @@ class Page:
                 why = "tag"
             elif role in FURNITURE_ROLES:
                 why = "tag"
-            elif hit := words & FURNITURE:
-                if not (hit == {"header"} and (words & OF_ARTICLE or level)):
-                    why = "talk" if hit & TALK else "class"
+            elif told == "header":
+                why = "" if level or OF_ARTICLE.intersection(WORD.findall(label)) else "class"
+            elif told and not weak:
+                why = told
+        if tag == "a":
+            self._links += 1
         stack.append((tag, node, level, why, link or tag == "a", {}))
-        block.append((node, level, bool(why)) if tag in BLOCK else block[-1])
+        listed = weak or block[-1][3] or tag in ("li", "td", "dd", "dt")
+        block.append((node, level, bool(why), listed) if tag in BLOCK else block[-1])
 
     def _end(self, tag: str, stack: list, block: list) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -223,22 +269,25 @@ def tree_match(a: str, b: str) -> list[int]:
     """
     la, ca = tree(a)
     lb, cb = tree(b)
+    # Pairs of like nodes that may meet, parents before children: the reverse order is
+    # bottom-up, so that the depth of a page costs no stack.
+    meet = [(0, 0)]
+    for x, y in meet:
+        meet += [(i, j) for i in ca[x] for j in cb[y] if la[i] == lb[j]]
     memo: dict[tuple[int, int], tuple[int, list]] = {}
 
     def size(x: int, y: int) -> int:
-        if la[x] != lb[y]:
-            return 0
-        if (x, y) not in memo:
-            p, q = ca[x], cb[y]
-            m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-            for i in range(len(p)):
-                for j in range(len(q)):
-                    m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + size(p[i], q[j]))
-            memo[x, y] = (m[-1][-1] + 1, m)
-        return memo[x, y][0]
+        return memo[x, y][0] if (x, y) in memo else 0
+
+    for x, y in reversed(meet):
+        p, q = ca[x], cb[y]
+        m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i in range(len(p)):
+            for j in range(len(q)):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + size(p[i], q[j]))
+        memo[x, y] = (m[-1][-1] + 1, m)
 
     out = [-1] * len(la)
-    size(0, 0)
     todo = [(0, 0)]
     while todo:
         x, y = todo.pop()
@@ -307,6 +356,7 @@ def align(shapes: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "_h string, _sid long, _slots array<long>")
 
 
+@apart("url", "markup")
 def extract_text(df: DataFrame, url: str = "url", markup: str = "html", share: float = TEMPLATE_SHARE, pages: int = TEMPLATE_PAGES) -> DataFrame:
     """Add text and n_chars (code points) to every page; the markup is replaced.
 
@@ -316,7 +366,9 @@ def extract_text(df: DataFrame, url: str = "url", markup: str = "html", share: f
     text; pages without host form one host; repeated rows stay repeated; other columns pass
     through, input columns named like an output are replaced.  The markup is parsed once;
     only counts of blocks and one row per (host, skeleton) are shuffled, besides the pages
-    themselves where the table of skeletons is too large to broadcast.
+    themselves where the table of skeletons is too large to broadcast.  A host's template
+    texts are one row: each is on ``share`` of its pages, so they number at most the mean
+    blocks of a page by ``share``.
     """
     keep = [c for c in df.columns if c != markup and c.lower() not in ("text", "n_chars")]
     host, _ = host_and_path(F.col(f"`{url}`"))

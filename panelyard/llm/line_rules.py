@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import apart
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 #: Phrases of legal, consent and sharing lines, matched without regard to case.
@@ -58,6 +60,7 @@ def line_fails(line: Column, lim: Limits) -> Column:
     ) & (n > 0)
 
 
+@apart("text")
 def quality_rules(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     cleaned_text, lost_share and kept to every row.

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import apart
+
 ROUNDS = 8
 #: Symbols that one permutation takes together; longer values are cut into such chunks.
 CHUNK = 18
@@ -239,6 +241,7 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
+@apart("text")
 def pseudonymise(df: DataFrame, key: str, text: str = "text", count: str | None = "n_replaced") -> DataFrame:
     """Replace personal data in a text column; adds the number of replaced places.
 
@@ -249,7 +252,7 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", count: str | None
     length and the number of matches.
     """
     t = F.col(f"`{text}`")
-    other = [c for c in df.columns if c not in ("_m", "_r") and c != count]
+    other = df.columns
     d = df.select(*[F.col(f"`{c}`") for c in other], F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).alias("_m"))
     d = d.withColumn("_r", F.when(F.size("_m") > 0, F.transform("_m", lambda m: pseudonym(m, key))))
     parts = F.zip_with(F.split(t, ANY), F.zip_with("_r", "_m", lambda r, m: F.coalesce(r, m)), lambda p, x: F.concat(p, F.coalesce(x, F.lit(""))))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, first_of_each, text_key, written
+from .common import apart, components, first_of_each, text_key, written
 
 SEED = 42
 BITS = 64
@@ -157,6 +157,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
     return marked.join(labels, "fp").select(F.col("_id").alias(id), "fp", "component_id")
 
 
+@apart("id", "text")
 def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of each component, with all its columns: see ``common.first_of_each``."""
     texts = df.select(text_key(text).alias("_key"), F.col(f"`{text}`").alias("_text"))

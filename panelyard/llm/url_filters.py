@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, apart
 
 RULE_SCHEMA = "rule string, action string, pattern string, tokens array<string>, listed int, weight int"
 #: Token of rules without a literal of their own; every URL holds it.
@@ -74,6 +74,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+@apart("url")
 def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """Add host, path, rule, pattern and verdict to every row.
 

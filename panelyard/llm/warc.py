@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -68,6 +69,11 @@ def _record(kind: str, key: str, url: str, block: bytes, payload_digest: str, ex
     return z.compress(text.encode()) + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
 
 
+DIGESTS = {"md5": hashlib.md5, "sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha512": hashlib.sha512}
+#: Bytes in which the header of a record must end.
+MOST_HEADER = 1 << 20
+
+
 @dataclass
 class Record:
     headers: dict[str, str]
@@ -81,7 +87,9 @@ def read_records(pull: Callable[[int], bytes]) -> Iterator[Record]:
     """Records of one archive; ``pull(n)`` returns up to n compressed bytes, none at the end.
 
     A damaged or cut member ends with a record whose ``problem`` says so; without its
-    length nothing behind it can be found, so reading ends there.
+    length nothing behind it can be found, so reading ends there.  A whole member without a
+    header or with a bad length is a record with a problem, and reading goes on behind it.
+    Digests are verified by the kind they name, in base32 or hex; an unknown kind is a problem.
     """
     raw, at, total = b"", 0, 0
     while True:
@@ -106,7 +114,15 @@ def read_records(pull: Callable[[int], bytes]) -> Iterator[Record]:
             done = z.eof
             if head is None and (at := out.find(b"\r\n\r\n")) >= 0:
                 head = _fields(bytes(out[:at]))
-                need = at + 4 + int(head.get("content-length", "0"))
+                length = _length(head)
+                if length is None:
+                    problem = "bad Content-Length"
+                else:
+                    need = at + 4 + length
+            if head is None and len(out) > MOST_HEADER:
+                head, problem = {}, "no header"
+            if problem is not None and need is None:  # the rest of the member is read past
+                out.clear()
             if need is not None and len(out) > need + 4:
                 problem = "block longer than Content-Length"
                 del out[need + 4 :]
@@ -114,8 +130,8 @@ def read_records(pull: Callable[[int], bytes]) -> Iterator[Record]:
             if out or z.unconsumed_tail:
                 yield Record(head or {}, offset=start, problem="cut member")
             return
-        if head is None:
-            yield Record({}, offset=start, problem="no header")
+        if head is None or need is None:
+            yield Record(head or {}, offset=start, problem=problem or "no header")
             continue
         block = bytes(out[at + 4 : need])
         if problem is None and (len(out) != need + 4 or out[need:] != b"\r\n\r\n"):
@@ -126,17 +142,35 @@ def read_records(pull: Callable[[int], bytes]) -> Iterator[Record]:
             r.http, r.payload = _fields(block[: max(cut, 0)]), block[cut + 4 :] if cut >= 0 else b""
         else:
             r.payload = block
-        want = head.get("warc-block-digest", "")
-        if r.problem is None and want.startswith("sha1:") and want[5:] != base32(hashlib.sha1(block).digest()):
-            r.problem = "block digest differs"
-        want = head.get("warc-payload-digest", "")
-        if r.problem is None and head.get("warc-type") == "response" and want.startswith("sha1:") and want[5:] != base32(hashlib.sha1(r.payload).digest()):
-            r.problem = "payload digest differs"
+        r.problem = r.problem or _differs("block", head.get("warc-block-digest"), block)
+        if head.get("warc-type") == "response":
+            r.problem = r.problem or _differs("payload", head.get("warc-payload-digest"), r.payload)
         yield r
 
 
+def _length(head: dict[str, str]) -> int | None:
+    """Content-Length; none counts as 0, and anything but digits is not one."""
+    text = head.get("content-length", "0")
+    return int(text) if text.isascii() and text.isdigit() and len(text) < 19 else None
+
+
+def _differs(what: str, stated: str | None, data: bytes) -> str | None:
+    """What is wrong with a digest such as ``sha1:BASE32`` or ``SHA-256:hex``; None if nothing."""
+    if not stated:
+        return None
+    kind, _, value = stated.partition(":")
+    make = DIGESTS.get(kind.strip().lower().replace("-", ""))
+    if make is None:
+        return f"{what} digest of unknown kind"
+    digest = make(data).digest()
+    shown = value.strip().rstrip("=")
+    return None if shown.upper() == base32(digest).rstrip("=") or shown.lower() == digest.hex() else f"{what} digest differs"
+
+
 def _fields(block: bytes) -> dict[str, str]:
-    lines = block.decode("utf-8", "replace").split("\r\n")[1:]
+    """Header fields by lower-case name; a line that starts with white space goes on with the one before."""
+    text = re.sub("\r\n[ \t]+", " ", block.decode("utf-8", "replace"))
+    lines = text.split("\r\n")[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
@@ -214,8 +248,10 @@ def read_archives(paths: DataFrame, path: str = "path", payloads: bool = True) -
                     for r in read_records(f.read):
                         h, kind = r.headers, r.headers.get("warc-type")
                         revisit = kind == "revisit"
-                        size = int(r.http.get("content-length", "0")) if revisit else len(r.payload)
-                        digest = h.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else base32(hashlib.sha1(r.payload).digest())
+                        size = _length(r.http) if revisit else len(r.payload)
+                        if size is None:
+                            r.problem = r.problem or "bad Content-Length"
+                        digest = h.get("warc-payload-digest", "").partition(":")[2] if revisit else base32(hashlib.sha1(r.payload).digest())
                         rows.append((p, r.offset, kind, h.get("warc-record-key"), h.get("warc-target-uri"), digest, size, h.get("warc-refers-to-key"), r.payload if payloads else None, r.problem))
                         held += len(r.payload) if payloads else 100
                         if held > 8 << 20 or len(rows) >= 10_000:

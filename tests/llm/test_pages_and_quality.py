@@ -24,6 +24,37 @@ def test_broken_markup_does_not_crash(source):
     H.Page(source).candidates()
 
 
+BODY = "<p>The first long paragraph of the body.</p><p>And after it <a href=x>one linked title</a>.</p>"
+
+
+@pytest.mark.parametrize("around", [
+    "<div class='content with-sidebar'>{}</div>", "<article class='post comments-open'>{}</article>", "<div class='post has-comments'>{}</div>",
+    "<div class='hidden-gems'>{}</div>", "<div class='copyright-law-article'>{}</div>", "<div class='Entry-Content'>{}</div>",
+    "<div class=widget><article><p>A teaser.</p></article></div><div>{}</div>", "<div id=header-image-story>{}</div>", "<form id=aspnet><main>{}</main></form>",
+])
+def test_words_inside_class_names_are_hints(around):
+    page = f"<body><div class=site-footer><p>f</p></div><div class='post-comments'><p>c</p></div><div class=cookie-notice>n</div>{around.format(BODY)}<div class=sidebar>s</div></body>"
+    assert [t for _, t in H.Page(page).candidates()] == ["The first long paragraph of the body.", "And after it one linked title."]
+
+
+def test_links_outside_articles():
+    def texts(body):
+        return [t for _, t in H.Page(f"<body><p>Some text of the page.</p>{body}").candidates()][1:]
+
+    assert texts("<p><a href=x>One linked title</a></p>") == ["One linked title"]
+    assert texts("<p><a href=x>One</a> <a href=y>Two</a></p>") == [] and texts("<ul><li><a href=x>One</a><li><a>Two</a></ul>") == []
+    assert texts("<div class=my-menu-links-here><p><a href=x>One</a></p><p>words of a text</p></div>") == ["words of a text"]
+    assert texts("<p>a <math><mi>x</mi></math> b</p>") == ["a x b"]
+
+
+def test_deep_pages_align(spark):
+    deep = [(i, "http://deep.org/", "<div>" * (1500 + i % 2) + f"<p>text {i}</p>") for i in range(4)]
+    shape = ["\n".join(["-1 #"] + [f"{i} div" for i in range(n)]) for n in (1500, 1501)]
+    assert H.tree_match(*shape) == list(range(1501))
+    got = H.extract_text(spark.createDataFrame(deep, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"text {i}" for i in range(4)}
+
+
 def slow_match(la, ca, lb, cb, x, y):
     if la[x] != lb[y]:
         return 0

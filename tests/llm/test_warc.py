@@ -59,3 +59,38 @@ def test_smaller_payloads_are_all_responses_and_empty_table(spark):
     got = warc.read_archives(warc.write_archives(d, "page_id", "url", "html", min_revisit=3), payloads=False).collect()
     assert {(r.record_key, r.record_type) for r in got} == {("1", "response"), ("2", "response"), ("3", "revisit"), ("4", "response")}
     assert warc.read_archives(warc.write_archives(d.limit(0), "page_id", "url", "html")).count() == 0
+
+
+def member(head, block=b"abc", tail=b"\r\n\r\n"):
+    import zlib
+
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(b"WARC/1.1\r\n" + head + b"\r\n\r\n" + block + tail) + z.flush()
+
+
+def test_odd_headers_are_problems_and_reading_goes_on():
+    import os
+
+    good = warc.response_record("1", "u", b"hello")
+    for length in (b"abc", b"-3", b"1e3", b"", "٣".encode(), b"9" * 30):
+        got = read(member(b"WARC-Type: resource\r\nContent-Length: " + length) + good)
+        assert [r.problem for r in got] == ["bad Content-Length", None]
+    got = read(member(b"Content-Type: text/plain;\r\n charset=x\r\nContent-Length:\r\n\t3") + good)
+    assert got[0].headers["content-type"] == "text/plain; charset=x" and [r.problem for r in got] == [None, None] and got[0].payload == b"abc"
+    assert [r.problem for r in read(member(b"X: " + os.urandom(3 << 20).hex().encode()) + good)] == ["no header", None]
+
+
+def test_digests_by_their_kind():
+    for kind, make in (("SHA1", hashlib.sha1), ("sha256", hashlib.sha256), ("SHA-512", hashlib.sha512), ("md5", hashlib.md5)):
+        for show in (lambda d: base64.b32encode(d).decode(), lambda d: d.hex(), lambda d: d.hex().upper()):
+            def one(data):
+                return read(member(f"Content-Length: 3\r\nWARC-Block-Digest: {kind}:{show(make(data).digest())}".encode()))[0].problem
+
+            assert one(b"abc") is None and one(b"abd") == "block digest differs"
+    assert read(member(b"Content-Length: 3\r\nWARC-Block-Digest: crc:abc"))[0].problem == "block digest of unknown kind"
+
+
+def test_bad_length_of_a_revisit_is_a_problem(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(member(b"WARC-Type: revisit\r\nContent-Type: application/http\r\nContent-Length: 42", b"HTTP/1.1 200 OK\r\nContent-Length: many\r\n\r\n"[:42].ljust(42)))
+    got = warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")).collect()
+    assert len(got) == 1 and got[0].problem == "bad Content-Length" and got[0].payload_bytes is None
