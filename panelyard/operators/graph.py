@@ -66,26 +66,82 @@ def two_hop_mean(metric: DataFrame, edges: DataFrame, value: str = "value", out:
     at the end.  The work grows with edges x dates even where a hub joins everybody.
     """
     w = row_normalised(edges)
+    base = _presence(metric, value)
+    return _off_diagonal(_propagated(_propagated(base, w), w), two_walks(w), base, out)
 
-    def step(d: DataFrame) -> DataFrame:
-        return (
-            d.withColumnRenamed("entity", "dst").join(w, "dst")
-            .groupBy(F.col("src").alias("entity"), "date")
-            .agg(F.sum(F.col("weight") * F.col("_x")).alias("_x"), F.sum(F.col("weight") * F.col("_n")).alias("_n"))
-        )
 
-    base = metric.filter(F.col(value).isNotNull()).select("entity", "date", F.col(value).alias("_x"), F.lit(1.0).alias("_n"))
-    two = step(step(base))
-    back = w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("weight").alias("_b"))
-    loops = w.join(back, ["src", "dst"]).groupBy(F.col("src").alias("entity")).agg(F.sum(F.col("weight") * F.col("_b")).alias("_l"))
+def _presence(metric: DataFrame, value: str) -> DataFrame:
+    return metric.filter(F.col(value).isNotNull()).select("entity", "date", F.col(value).alias("_x"), F.lit(1.0).alias("_n"))
+
+
+def _propagated(d: DataFrame, w: DataFrame) -> DataFrame:
+    """One application of the weights to values and presence; the sums combine map-side."""
+    return (
+        d.withColumnRenamed("entity", "dst").join(w, "dst")
+        .groupBy(F.col("src").alias("entity"), "date")
+        .agg(F.sum(F.col("weight") * F.col("_x")).alias("_x"), F.sum(F.col("weight") * F.col("_n")).alias("_n"))
+    )
+
+
+def _off_diagonal(sums: DataFrame, loops: DataFrame, base: DataFrame, out: str) -> DataFrame:
+    """Weighted mean from sums that hold the entity itself with the weight ``_l`` of loops."""
     own = base.select("entity", "date", F.col("_x").alias("_o"))
-    j = two.join(loops, "entity", "left").join(own, ["entity", "date"], "left")
+    j = sums.join(loops, "entity", "left").join(own, ["entity", "date"], "left")
     # the entity's own value entered only where it has one that date
     l = F.when(F.col("_o").isNotNull(), F.coalesce("_l", F.lit(0.0))).otherwise(0.0)
     num, den = F.col("_x") - l * F.coalesce("_o", F.lit(0.0)), F.col("_n") - l
     return j.filter(den > 1e-12).select("entity", "date", (num / den).alias(out))
 
 
+def two_walks(w: DataFrame) -> DataFrame:
+    """Per entity the weight of its walks of two steps back to itself: reciprocal edges."""
+    back = w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("weight").alias("_b"))
+    return w.join(back, ["src", "dst"]).groupBy(F.col("src").alias("entity")).agg(F.sum(F.col("weight") * F.col("_b")).alias("_l"))
+
+
+def three_walks(w: DataFrame) -> DataFrame:
+    """Per entity the weight of its walks of three steps back to itself: directed triangles.
+
+    A triangle is put together at its corner of the smallest (degree, name), from an edge in
+    and an edge out whose other ends are larger, and closed by an equi join on the third
+    edge.  So a hub pairs only with larger hubs, and the wedges number at most edges ** 1.5.
+    """
+    ends = w.select(F.col("src").alias("node")).unionByName(w.select(F.col("dst").alias("node")))
+    degree = settle(ends.groupBy("node").count())
+    order = [degree.select(F.col("node").alias(c), F.struct("count", "node").alias(f"_{c}")) for c in ("src", "dst")]
+    e = settle(w.join(order[0], "src").join(order[1], "dst"))
+    into = e.filter("_dst < _src").select(F.col("dst").alias("v"), F.col("src").alias("u"), F.col("weight").alias("_a"))
+    away = e.filter("_src < _dst").select(F.col("src").alias("v"), F.col("dst").alias("x"), F.col("weight").alias("_b"))
+    wedges = into.join(away, "v").filter("u <> x")
+    close = w.select(F.col("src").alias("x"), F.col("dst").alias("u"), F.col("weight").alias("_c"))
+    cycles = wedges.join(close, ["x", "u"]).select(F.explode(F.array("u", "v", "x")).alias("entity"), (F.col("_a") * F.col("_b") * F.col("_c")).alias("_l"))
+    return cycles.groupBy("entity").agg(F.sum("_l").alias("_l"))
+
+
+def katz_mean(metric: DataFrame, edges: DataFrame, alpha: float = 0.5, hops: int = 3, value: str = "value", out: str = "nbr") -> DataFrame:
+    """Mean over the weights of ``katz_edges`` without forming them; ``hops`` is 1, 2 or 3.
+
+    The truncated series is applied as ``hops`` propagation steps, to the values and to their
+    presence, so the work grows with edges x dates and no matrix power fills up.  Its
+    diagonal is the weight of the walks that return after two and three steps.
+    """
+    if hops not in (1, 2, 3):
+        raise ValueError("katz_mean: hops must be 1, 2 or 3")
+    w = settle(row_normalised(edges))
+    base = settle(_presence(metric, value))
+    step = w.withColumn("weight", F.col("weight") * alpha)
+    power, total = base, None
+    for _ in range(hops):
+        power = settle(_propagated(power, step))
+        total = power if total is None else total.unionByName(power)
+    sums = total.groupBy("entity", "date").agg(F.sum("_x").alias("_x"), F.sum("_n").alias("_n"))
+    walks = [f(step) for f in (two_walks, three_walks)[: hops - 1]]
+    loops = walks[0] if walks else two_walks(step).limit(0)
+    for more in walks[1:]:
+        loops = loops.unionByName(more)
+    return _off_diagonal(sums, loops.groupBy("entity").agg(F.sum("_l").alias("_l")), base, out)
+
+
 def katz_edges(edges: DataFrame, alpha: float = 0.5, hops: int = 3) -> DataFrame:
     """Sum over k = 1..hops of (alpha W)^k, diagonal removed; ``hops`` is a small constant."""
     w = row_normalised(edges).withColumn("weight", F.col("weight") * alpha)

@@ -40,13 +40,21 @@ def _(t):
     return G.two_hop_mean(metric(t), edges(t))
 
 
-@query("G4_katz_edges", f"""WITH {NORM}, k1 AS (SELECT src, dst, weight*0.5 AS weight FROM w), k2 AS (SELECT a.src, b.dst, sum(a.weight*b.weight) AS weight FROM k1 a JOIN k1 b ON a.dst=b.src GROUP BY 1,2),
-   k3 AS (SELECT a.src, b.dst, sum(a.weight*b.weight) AS weight FROM k2 a JOIN k1 b ON a.dst=b.src GROUP BY 1,2)
-   SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3) WHERE src<>dst GROUP BY 1,2""", "weight")
+KATZ = f"""WITH {NORM}, k1 AS (SELECT src, dst, weight*0.5 AS weight FROM w), k2 AS (SELECT a.src, b.dst, sum(a.weight*b.weight) AS weight FROM k1 a JOIN k1 b ON a.dst=b.src GROUP BY 1,2),
+   k3 AS (SELECT a.src, b.dst, sum(a.weight*b.weight) AS weight FROM k2 a JOIN k1 b ON a.dst=b.src GROUP BY 1,2),
+   kz AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3) WHERE src<>dst GROUP BY 1,2)"""
+
+
+@query("G4_katz_edges", f"{KATZ} SELECT * FROM kz", "weight")
 def _(t):
     return G.katz_edges(edges(t))
 
 
+@query("G4_katz_mean", f"{KATZ} SELECT kz.src AS entity, date, sum(weight*ret)/sum(weight) AS nbr FROM kz JOIN {{mret}} m ON m.entity=kz.dst GROUP BY 1,2", "nbr")
+def _(t):
+    return G.katz_mean(metric(t), edges(t))
+
+
 def _pagerank_sql(rounds):
     out = [NORM, "n AS (SELECT DISTINCT node FROM (SELECT src AS node FROM w UNION ALL SELECT dst FROM w))", "c AS (SELECT count(*) AS c FROM n)",
            "r0 AS (SELECT node, 1.0/c AS rank FROM n, c)"]

@@ -317,3 +317,27 @@ def test_pagerank_raises_if_not_settled(spark):
     assert abs(sum(r.values()) - 1) < 1e-9 and r["b"] > r["a"]
     with pytest.raises(RuntimeError):
         pagerank(e, tolerance=1e-15, most=3)
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3])
+def test_katz_mean_is_that_of_the_dense_matrix(spark, hops):
+    rng = np.random.default_rng(hops)
+    n = 30
+    a = np.where(rng.random((n, n)) < 0.15, rng.random((n, n)), 0.0)
+    a[0], a[:, 0] = rng.random(n), rng.random(n)  # a hub
+    np.fill_diagonal(a, 0.0)
+    a[5] = 0.0  # a node without edges out
+    w = a / np.where(a.sum(1, keepdims=True) > 0, a.sum(1, keepdims=True), 1)
+    acc, p = np.zeros((n, n)), np.eye(n)
+    for _ in range(hops):
+        p = p @ (0.5 * w)
+        acc += p
+    np.fill_diagonal(acc, 0.0)
+    x = np.where(rng.random((n, 2)) < 0.3, np.nan, rng.normal(size=(n, 2)))
+    e = spark.createDataFrame([(f"n{i}", f"n{j}", float(a[i, j])) for i in range(n) for j in range(n) if a[i, j] > 0], "src string, dst string, weight double")
+    m = spark.createDataFrame([(f"n{i}", d, None if np.isnan(x[i, d]) else float(x[i, d])) for i in range(n) for d in range(2)], "entity string, date int, value double")
+    got = {(r.entity, r.date): r.nbr for r in G.katz_mean(m, e, hops=hops).collect()}
+    here = ~np.isnan(x)
+    den = acc @ here
+    want = {(f"n{i}", d): (acc @ np.nan_to_num(x))[i, d] / den[i, d] for i in range(n) for d in range(2) if den[i, d] > 1e-12}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
