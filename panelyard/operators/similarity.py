@@ -1,12 +1,13 @@
 """Pairs of entities by similarity, without emitting all pairs.
 
 All-pairs quantities (cosine, lead-lag correlation) are computed block against block: rows
-are hashed into blocks of bounded size, every pair of blocks is one task doing dense matrix
-products, and only the pairs that count (top k, above a threshold) leave a task.
+are hashed into blocks of bounded size, every unordered pair of blocks is one task doing dense
+matrix products, and only the pairs that count (top k, above a threshold) leave a task.  The
+top k by cosine leaves out the blocks that angles to a few pivots rule out.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,20 +29,23 @@ def block_pairs(
     """fn(left block, right block) for every ordered pair of blocks of each ``within`` group.
 
     Only the keys are counted to size the blocks; a block holds about ``block_rows`` rows of
-    one group, so no task grows with the data.
+    one group, so no task grows with the data.  An unordered pair of blocks meets once, in
+    one task, for both directions.
     """
     sizes = df.groupBy(*within).count() if within else df.agg(F.count("*").alias("count"))
     sizes = sizes.withColumn("_nb", F.ceil(F.col("count") / block_rows).cast("long")).drop("count")
     d = df.join(sizes, list(within)) if within else df.join(sizes)
     d = d.withColumn("_b", F.pmod(F.xxhash64(key), F.greatest(F.col("_nb"), F.lit(1))))
-    others = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
-    left = d.withColumn("_o", others).withColumns({"_i": F.col("_b"), "_j": F.col("_o"), "_side": F.lit(0)})
-    right = d.withColumn("_o", others).withColumns({"_i": F.col("_o"), "_j": F.col("_b"), "_side": F.lit(1)})
-    u = left.unionByName(right).drop("_o", "_b", "_nb")
+    d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    u = d.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")}).drop("_o", "_nb")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = pdf["_side"].to_numpy()
-        return fn(pdf[side == 0].reset_index(drop=True), pdf[side == 1].reset_index(drop=True))
+        first = pdf["_b"] == pdf["_i"]
+        one = pdf[first].reset_index(drop=True)
+        if pdf["_i"].iloc[0] == pdf["_j"].iloc[0]:
+            return fn(one, one)
+        other = pdf[~first].reset_index(drop=True)
+        return pd.concat([fn(one, other), fn(other, one)])
 
     return u.groupBy(*within, "_i", "_j").applyInPandas(run, schema)
 
@@ -51,20 +55,74 @@ def top_per_focal(df: DataFrame, k: int, by: Sequence[str] = ("focal",), score:
     return df.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def top_k_cosine(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """k most similar other rows per row by cosine, positive similarities only."""
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"focal {kind}, neighbor {kind}, sim double"
-    d = df.select(key, F.col(vector).cast("array<double>").alias("_v"))
+#: Pivots of ``top_k_cosine``, whatever the number of rows: they travel with every task.
+PIVOTS = 256
 
-    def fn(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = _no_rows("focal", "neighbor", "sim")
-        if a.empty or b.empty:
-            return empty
-        x, y = _unit(np.stack(a["_v"].to_numpy())), _unit(np.stack(b["_v"].to_numpy()))
-        return _best(x @ y.T, a[key].to_numpy(), b[key].to_numpy(), k)
 
-    return top_per_focal(block_pairs(d, key, [], fn, schema, block_rows), k)
+def top_k_cosine(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+    """k most similar other rows per row by cosine, positive similarities only; exact.
+
+    Rows gather around the nearest of at most ``pivots`` rows, and blocks of such a cluster
+    know their largest angle from its pivot.  Within its own block a row finds a first k-th
+    score.  By the triangle inequality of angles a block can reach it only if the row's angle
+    to the pivot less the block's radius allows that score, and the row visits just those
+    blocks.  Visitors of a block come in chunks, so no task grows with the data.  Rows that
+    are NULL, empty or zero are similar to none; vectors must have one length.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"focal {kind}, neighbor {kind}, sim double"
+    d = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    d = settle(d.filter(F.exists("v", lambda x: x != 0)))
+    n = d.count()
+    m = max(1, min(pivots, -(-n // block_rows)))
+    heads = _unit(np.array([r.v for r in d.orderBy(F.xxhash64("key"), "key").limit(m).collect()]).reshape(m if n else 0, -1))
+    if not n:
+        return d.sparkSession.createDataFrame([], schema + ", rank long")
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            c = np.clip(_unit(np.stack(pdf["v"].to_numpy())) @ heads.T, -1, 1)
+            at = c.argmax(axis=1)
+            yield pdf.assign(c=at.astype(np.int64), a=np.arccos(c[np.arange(len(c)), at]))
+
+    near = d.mapInPandas(gather, f"key {kind}, v array<double>, c long, a double")
+    # One row per pivot: the parts of its cluster and their common radius.
+    clusters = settle(near.groupBy("c").agg(F.ceil(F.count("*") / block_rows).alias("parts"), F.max("a").alias("r")))
+    radius = np.full(m, np.inf)
+    for r in clusters.collect():
+        radius[r.c] = r.r
+    placed = settle(near.join(clusters.drop("r"), "c").withColumn("b", F.pmod(F.xxhash64("key"), "parts")).select("key", "v", "c", "b"))
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, names = _unit(np.stack(pdf["v"].to_numpy())), pdf["key"].to_numpy()
+        return _best(x @ x.T, names, names, k)
+
+    own = settle(placed.groupBy("c", "b").applyInPandas(within, schema))
+    least = own.groupBy(F.col("focal").alias("key")).agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(0.0).alias("least"))
+
+    def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            angle = np.arccos(np.clip(_unit(np.stack(pdf["v"].to_numpy())) @ heads.T, -1, 1))
+            go = np.cos(np.clip(angle - radius, 0, np.pi)) >= pdf["least"].fillna(0.0).to_numpy()[:, None] - 1e-9
+            yield pdf.assign(to=[np.flatnonzero(g).astype(np.int64) for g in go]).drop(columns="least")
+
+    asked = placed.join(least, "key", "left").mapInPandas(reached, f"key {kind}, v array<double>, c long, b long, to array<long>")
+    # Pivots without rows have no parts.
+    parts = clusters.select(F.col("c").alias("to"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    visits = asked.withColumn("to", F.explode("to")).join(parts, "to").filter("not (to = c and part = b)")
+    visits = settle(visits.select("key", "v", F.col("to").alias("c"), F.col("part").cast("long").alias("b")))
+    chunks = visits.groupBy("c", "b").agg(F.ceil(F.count("*") / block_rows).alias("chunks"))
+    guests = visits.join(chunks, ["c", "b"]).withColumn("g", F.pmod(F.xxhash64("key"), "chunks"))
+    hosts = placed.join(chunks, ["c", "b"]).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return _no_rows("focal", "neighbor", "sim")
+        x, y = _unit(np.stack(left["v"].to_numpy())), _unit(np.stack(right["v"].to_numpy()))
+        return _best(x @ y.T, left["key"].to_numpy(), right["key"].to_numpy(), k)
+
+    far = guests.groupBy("c", "b", "g").cogroup(hosts.groupBy("c", "b", "g")).applyInPandas(meet, schema)
+    return top_per_focal(own.unionByName(far), k)
 
 
 def _no_rows(*columns: str) -> pd.DataFrame:

@@ -341,3 +341,27 @@ def test_katz_mean_is_that_of_the_dense_matrix(spark, hops):
     den = acc @ here
     want = {(f"n{i}", d): (acc @ np.nan_to_num(x))[i, d] / den[i, d] for i in range(n) for d in range(2) if den[i, d] > 1e-12}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_top_k_cosine_visits_few_blocks_and_misses_nothing(spark, monkeypatch):
+    from panelyard.operators import similarity as S
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16))
+    v = centres[rng.integers(0, 12, 600)] + rng.normal(scale=0.08, size=(600, 16))
+    v[5], v[6] = 0.0, v[7]
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [])], "id long, v array<double>")
+    seen = []
+    settle = S.settle
+    monkeypatch.setattr(S, "settle", lambda df: seen.append(settle(df)) or seen[-1])
+    got = {(r.focal, r["rank"]): (r.neighbor, round(r.sim, 9)) for r in S.top_k_cosine(d, "id", "v", 4, block_rows=20).collect()}
+    u = v / np.where(np.linalg.norm(v, axis=1, keepdims=True) > 0, np.linalg.norm(v, axis=1, keepdims=True), 1)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -np.inf)
+    for i in range(600):
+        best = np.sort(sim[i])[::-1][:4]
+        want = [round(float(x), 9) for x in best if x > 0]
+        assert [got[i, r + 1][1] for r in range(len(want))] == pytest.approx(want, abs=1e-8)
+    assert not [i for i, _ in got if i in (5, 900, 901)]
+    assert seen[-1].columns == ["key", "v", "c", "b"] and seen[-1].count() < 0.4 * 600 * (600 / 20)
+    assert S.top_k_cosine(d.limit(0), "id", "v", 4).count() == 0 and S.top_k_cosine(d.filter("id = 1"), "id", "v", 4).count() == 0
