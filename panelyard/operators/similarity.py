@@ -74,10 +74,10 @@ def top_k_cosine(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: i
     d = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     d = settle(d.filter(F.exists("v", lambda x: x != 0)))
     n = d.count()
-    m = max(1, min(pivots, -(-n // block_rows)))
-    heads = _unit(np.array([r.v for r in d.orderBy(F.xxhash64("key"), "key").limit(m).collect()]).reshape(m if n else 0, -1))
     if not n:
         return d.sparkSession.createDataFrame([], schema + ", rank long")
+    m = min(pivots, -(-n // block_rows))
+    heads = _unit(np.array([r.v for r in d.orderBy(F.xxhash64("key"), "key").limit(m).collect()]))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -112,8 +112,9 @@ def top_k_cosine(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: i
     visits = asked.withColumn("to", F.explode("to")).join(parts, "to").filter("not (to = c and part = b)")
     visits = settle(visits.select("key", "v", F.col("to").alias("c"), F.col("part").cast("long").alias("b")))
     chunks = visits.groupBy("c", "b").agg(F.ceil(F.count("*") / block_rows).alias("chunks"))
-    guests = visits.join(chunks, ["c", "b"]).withColumn("g", F.pmod(F.xxhash64("key"), "chunks"))
-    hosts = placed.join(chunks, ["c", "b"]).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    guests = visits.join(chunks, ["c", "b"]).withColumn("g", F.pmod(F.xxhash64("key"), "chunks")).drop("chunks")
+    seats = chunks.select(F.col("c").alias("c"), F.col("b").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("g"))
+    hosts = placed.join(seats, ["c", "b"])
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
