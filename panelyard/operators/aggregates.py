@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,33 +78,48 @@ def running_sum_range(df: DataFrame, n: int = 252, by: Sequence[str] = ("factor"
 
 
 def mean_pair_correlation(
-    df: DataFrame, window: int = 63, name: str = "factor", value: str = "value"
+    df: DataFrame, window: int = 63, name: str = "factor", value: str = "value", series_per_task: int = 4_096
 ) -> DataFrame:
     """Mean off-diagonal correlation of all series over the last ``window`` dates before each
     date, without forming pairs.
 
     With every series standardised inside the window, the pair sum follows from the variance
     of the sum of the z's: mean corr = (sum_t (sum_i z_it)^2/(w-1) - N) / (N(N-1)).  Series
-    without a full window, or without spread in it, are left out of that date.
+    without a full window (NaN counts as missing), or without spread in it, are left out of
+    that date.
+
+    A task holds ``series_per_task`` series over a stretch of dates, and what leaves it is one
+    row of ``window`` sums per date, whatever the number of series.  A row is sent to its own
+    stretch and, if the windows of the next one reach back to it, to that one too.
     """
-    dates = df.select("date").distinct().withColumn("_t", F.row_number().over(Window.orderBy("date")))
-    d = df.filter(F.col(value).isNotNull()).join(dates, "date").select(name, "_t", value)
-    # one row per (series, window end): the moments of the window of dates before that end
-    f = Window.partitionBy(name).orderBy("_t").rangeBetween(-(window - 1), 0)
-    m = d.withColumns(
-        {"_n": F.count(value).over(f), "_mu": F.avg(value).over(f), "_sd": F.stddev_samp(value).over(f)}
-    ).filter((F.col("_n") == window) & (F.col("_sd") > 0)).select(name, F.col("_t").alias("_end"), "_mu", "_sd")
-    spread = d.withColumn("_end", F.explode(F.sequence(F.col("_t"), F.col("_t") + window - 1)))
-    z = spread.join(m, [name, "_end"]).withColumn("_z", (F.col(value) - F.col("_mu")) / F.col("_sd"))
-    per_t = z.groupBy("_end", "_t").agg(F.sum("_z").alias("_s"))
-    n = m.groupBy("_end").agg(F.count("*").alias("n_series"))
-    tot = per_t.groupBy("_end").agg(F.sum(F.col("_s") * F.col("_s")).alias("_q"))
-    out = tot.join(n, "_end").filter(F.col("n_series") > 1)
+    stretch = 4 * window
+    dates = df.select("date").distinct().withColumn("_t", F.row_number().over(Window.orderBy("date")) - 1)
+    d = df.filter(F.col(value).isNotNull()).join(dates, "date").select(F.col(name).alias("_name"), "_t", F.col(value).cast("double").alias("_x"))
+    tasks = d.agg(F.greatest(F.lit(1), F.ceil(F.countDistinct("_name") / series_per_task)).alias("_k"))
+    own, next_ = F.floor(F.col("_t") / stretch), F.floor((F.col("_t") + window - 1) / stretch)
+    cut = d.join(tasks).withColumns({"_b": F.pmod(F.xxhash64("_name"), "_k"), "_c": F.explode(F.sequence(own, next_))})
+
+    def sums(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[0]) * stretch - (window - 1)
+        at, names = pd.factorize(p["_name"])
+        x = np.full((stretch + window - 1, len(names)), np.nan)
+        x[p["_t"].to_numpy() - first, at] = p["_x"].to_numpy()
+        out = []
+        for i in range(stretch):
+            v = x[i:i + window]
+            v = v[:, np.isfinite(v).all(axis=0) & (v.max(axis=0) > v.min(axis=0))]
+            if v.shape[1]:
+                z = (v - v.mean(axis=0)) / v.std(axis=0, ddof=1)
+                out.append((first + i + window - 1, v.shape[1], z.sum(axis=1)))
+        return pd.DataFrame(out, columns=["_end", "_n", "_s"])
+
+    parts = cut.select("_c", "_b", "_name", "_t", "_x").groupBy("_c", "_b").applyInPandas(sums, "_end int, _n long, _s array<double>")
+    # the sums of the tasks add up place by place
+    per_t = parts.select("_end", "_n", F.posexplode("_s").alias("_at", "_z")).groupBy("_end", "_at").agg(F.sum("_z").alias("_s"), F.sum("_n").alias("_n"))
+    k, q = F.max("_n"), F.sum(F.col("_s") * F.col("_s"))
+    out = per_t.groupBy("_end").agg(k.alias("n_series"), ((q / (window - 1) - k) / (k * (k - 1))).alias("mean_corr"))
     ends = dates.select((F.col("_t") - 1).alias("_end"), "date")
-    k = F.col("n_series")
-    return out.join(ends, "_end").select(
-        "date", "n_series", ((F.col("_q") / (window - 1) - k) / (k * (k - 1))).alias("mean_corr")
-    )
+    return out.filter("n_series > 1").join(ends, "_end").select("date", "n_series", "mean_corr")
 
 
 def dispersion(df: DataFrame, by: Sequence[str] = ("date", "variable"), value: str = "value") -> DataFrame:

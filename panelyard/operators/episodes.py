@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import clip, ratio, so_far
 from ..session import settle
-from .joins import nearest
+from .joins import nearest, numbered, with_boundaries_passed
 
 # Score weights, caps, gates and expected moves by class and horizon.
 WEIGHTS_PLUS = {"severity": 0.28, "novelty": 0.12, "prior": 0.10, "expression": 0.14, "catalyst": 0.08}
@@ -326,19 +326,30 @@ def mark_theses(theses: DataFrame, returns: DataFrame) -> DataFrame:
 
 def forward_track(starts: DataFrame, returns: DataFrame, horizon: int) -> DataFrame:
     """Return of each (entity, start) over its first ``horizon`` rows after start, against the
-    mean of all entities with a full window from the same start."""
+    mean of all entities with a full window from the same start.
+
+    A row is the first one after every start from the row before it on.  Rows without a start
+    in that span drop out; equal spans are summed over entities before they are spread over
+    their starts, so the comparison does not grow with entities x starts.
+    """
     w = Window.partitionBy("entity").orderBy("date")
-    r = returns.filter(F.col("ret").isNotNull()).withColumns({"_cum": F.sum(F.log1p("ret")).over(so_far(w)), "_k": F.row_number().over(w)})
+    marks = numbered(starts, "start")
+    r = with_boundaries_passed(returns.filter(F.col("ret").isNotNull()), marks, out="_hi")
+    r = r.withColumns({"_cum": F.sum(F.log1p("ret")).over(so_far(w)), "_lo": F.coalesce(F.lag("_hi").over(w), F.lit(0))})
     r = r.withColumn("_fwd", F.expm1(F.lead("_cum", horizon - 1).over(w) - (F.col("_cum") - F.log1p("ret"))))
-    # first row after each distinct start, per entity: one window over starts and rows
-    dates = starts.select("start").distinct()
-    first = r.select("entity", "date", "_fwd").withColumn("_prev", F.lag("date").over(w))
-    # a start belongs to the row with prev <= start < date; starts are few and listed per row
-    lst = dates.agg(F.array_sort(F.collect_set("start")).alias("_starts"))
-    hit = first.join(lst).withColumn("start", F.explode(F.filter("_starts", lambda s: (s < F.col("date")) & (F.col("_prev").isNull() | (s >= F.col("_prev"))))))
-    hit = hit.filter(F.col("_fwd").isNotNull()).select("entity", "start", F.col("date").alias("first_date"), F.col("_fwd").alias("cum_return"))
-    xs = hit.groupBy("start").agg(F.avg("cum_return").alias("xs_mean"), F.count("*").alias("n_entities"))
-    return starts.join(hit, ["entity", "start"]).join(xs, "start").withColumn("relative", F.col("cum_return") - F.col("xs_mean"))
+    hit = r.filter("_hi > _lo").select("entity", "date", "_fwd", "_lo", "_hi")
+    spans = hit.filter("_fwd IS NOT NULL").groupBy("_lo", "_hi").agg(F.sum("_fwd").alias("_s"), F.count("_fwd").alias("_n"))
+    spread = spans.select("_s", "_n", F.explode(F.sequence(F.col("_lo") + 1, "_hi")).alias("_i"))
+    xs = spread.groupBy("_i").agg((F.sum("_s") / F.sum("_n")).alias("xs_mean"), F.sum("_n").alias("n_entities"))
+    # the row of a start: of those whose span ends at its number or later, the earliest
+    wanted = starts.join(marks, "start").select("entity", "_i").distinct()
+    payload = F.struct(F.col("date").alias("first_date"), F.col("_fwd").alias("cum_return"))
+    u = hit.select("entity", F.col("_hi").alias("_at"), F.lit(0).alias("_side"), payload.alias("_p")).unionByName(
+        wanted.select("entity", F.col("_i").alias("_at"), F.lit(1).alias("_side")), allowMissingColumns=True)
+    later = Window.partitionBy("entity").orderBy(F.col("_at").desc(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    own = u.withColumn("_p", F.last("_p", ignorenulls=True).over(later)).filter("_side = 1 AND _p.cum_return IS NOT NULL")
+    own = own.select("entity", F.col("_at").alias("_i"), "_p.first_date", "_p.cum_return").join(xs, "_i").join(marks, "_i").drop("_i")
+    return starts.join(own, ["entity", "start"]).withColumn("relative", F.col("cum_return") - F.col("xs_mean"))
 
 
 def family_ranks(inputs: Sequence[tuple[str, DataFrame, bool]], minimum: int = 5) -> DataFrame:

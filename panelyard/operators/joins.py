@@ -96,6 +96,26 @@ def latest_as_of(df: DataFrame, as_of: str | Column, keys: Sequence[str], order:
     )
 
 
+def numbered(boundaries: DataFrame, on: str) -> DataFrame:
+    """The different boundaries with their number ``_i`` from 1."""
+    return boundaries.select(on).filter(F.col(on).isNotNull()).distinct().withColumn("_i", F.row_number().over(Window.orderBy(on)).cast("long"))
+
+
+def with_boundaries_passed(df: DataFrame, boundaries: DataFrame, on: str = "date", inclusive: bool = False, out: str = "_passed") -> DataFrame:
+    """Each row with the number of boundaries (see ``numbered``) before its date, or up to it.
+
+    A row that holds from its date until the next row of its series then meets exactly the
+    boundaries whose numbers lie between its count and that of the next row, so that an
+    interval join is an equi join on dates and a lag.  Only different dates are ordered.
+    """
+    b = boundaries.columns[0]
+    dates = df.select(F.col(on).alias("_d"), F.lit(0 if not inclusive else 1).alias("_side"), F.lit(0).alias("_one")).distinct()
+    marks = boundaries.select(F.col(b).alias("_d"), F.lit(1 if not inclusive else 0).alias("_side"), F.lit(1).alias("_one"))
+    upto = Window.orderBy("_d", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    count = dates.unionByName(marks).withColumn(out, F.sum("_one").over(upto)).filter("_one = 0").select(F.col("_d").alias(on), out)
+    return df.join(count, on)
+
+
 def validity_intervals(vintages: DataFrame, by: Sequence[str], start: str = "applies_from") -> DataFrame:
     """[applies_from, applies_to) of successive vintages (the last one is open)."""
     v = vintages.select(*by, start).distinct()

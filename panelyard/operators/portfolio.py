@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.core import before, clip, series, so_far
 from ..functions.ranks import positions
 from ..session import settle
+from .joins import numbered, with_boundaries_passed
 
 # Full weight below the first rank fraction, none above the second.
 BAND_TOP, BAND_CUTOFF = 0.15, 0.25
@@ -331,19 +332,22 @@ def month_end_portfolio(signal: DataFrame, returns: DataFrame, n_top: int, rebal
     """Top-N equal weights from signals strictly before each rebalance date, held until the
     next one; turnover is measured against the drifted weights.
 
-    signal (date, entity, value), returns (date, entity, ret), rebalances (date).
+    signal (date, entity, value), returns (date, entity, ret), rebalances (date).  A signal
+    counts until the next one of its entity.  Of signals that count for the same rebalances
+    only the first N can be chosen at any of them, so no more than these are spread over the
+    rebalances: no grid of entities x rebalances arises.
     """
-    from .joins import asof
-
-    reb = rebalances.select("date").distinct()
-    w = Window.orderBy("date")
-    reb = reb.withColumns({"_next": F.lead("date").over(w), "_k": F.row_number().over(w)})
-    # signals strictly before a rebalance: each signal date maps to the rebalance after it
-    names = signal.select("entity").distinct().join(reb.agg(F.collect_set("date").alias("_r"))).select("entity", F.explode("_r").alias("date"))
-    s = asof(names, signal.filter(F.col("value").isNotNull()).withColumnRenamed("value", "score"), ["entity"], ["score"], strict=True)
+    marks = numbered(rebalances, "date")
+    reb = marks.withColumn("_next", F.lead("date").over(Window.orderBy("date")))
+    s = with_boundaries_passed(signal.filter(F.col("value").isNotNull()), marks, inclusive=True, out="_lo")
+    s = s.join(marks.agg(F.max("_i").alias("_last")))
+    s = s.withColumn("_hi", F.coalesce(F.lead("_lo").over(Window.partitionBy("entity").orderBy("date", "value")), "_last"))
+    s = s.filter("_hi > _lo").select("entity", F.col("value").alias("score"), "_lo", "_hi")
+    s = positions(s, ["_lo", "_hi"], "score", ["entity"], descending=True, out="_p", total="_n").filter(F.col("_p") <= n_top)
+    s = s.select("entity", "score", F.explode(F.sequence(F.col("_lo") + 1, "_hi")).alias("_i")).join(marks, "_i").select("date", "entity", "score")
     top = positions(s, ["date"], "score", ["entity"], descending=True, out="_p", total="_n").filter(F.col("_p") <= n_top)
     cnt = top.groupBy("date").agg(F.count("*").alias("_c"))
-    book = top.join(cnt, "date").join(reb, "date").select(F.col("date").alias("rebalance"), "entity", (1 / F.col("_c")).alias("weight"), "_k", "_next")
+    book = top.join(cnt, "date").join(reb, "date").select(F.col("date").alias("rebalance"), "entity", (1 / F.col("_c")).alias("weight"), "_next")
     # each return date belongs to the rebalance before it: map the short list of dates
     dates = returns.select("date").distinct()
     u = dates.select("date", F.lit(1).alias("_s"), F.lit(None).cast("date").alias("_b")).unionByName(reb.select("date", F.lit(2).alias("_s"), F.col("date").alias("_b")))

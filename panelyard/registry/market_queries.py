@@ -281,7 +281,13 @@ def _(t):
     return P.quintile_spread(c, B.mret(t))
 
 
-@query("F9_month_end_portfolio")
+@query("F9_month_end_portfolio", """WITH q AS (SELECT max(date) AS r FROM {dret} GROUP BY date_trunc('quarter', date)), k AS (SELECT r, lead(r) OVER (ORDER BY r) AS nx FROM q),
+   l AS (SELECT k.r, d.entity, arg_max(d.value, d.date) AS score FROM k JOIN {daily} d ON d.date < k.r GROUP BY 1,2),
+   b AS (SELECT r, entity, 1.0/count(*) OVER (PARTITION BY r) AS w FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, entity) <= 5)),
+   g AS (SELECT b.r, k.nx, b.entity, any_value(w) * coalesce(exp(sum(ln(1+x.ret))), 1) AS v FROM b JOIN k ON k.r=b.r LEFT JOIN {dret} x ON x.entity=b.entity AND x.date > b.r AND (k.nx IS NULL OR x.date <= k.nx) GROUP BY 1,2,3),
+   t AS (SELECT r, sum(v) AS t FROM g GROUP BY 1), o AS (SELECT g.nx AS r, entity, v/t AS old FROM g JOIN t ON t.r=g.r WHERE g.nx IS NOT NULL),
+   c AS (SELECT coalesce(b.r, o.r) AS r, sum(abs(coalesce(w,0)-coalesce(old,0)))/2 AS turnover FROM b FULL JOIN o ON o.r=b.r AND o.entity=b.entity GROUP BY 1)
+   SELECT t.r AS rebalance, t-1 AS period_return, turnover FROM t JOIN c ON c.r=t.r""", "period_return turnover")
 def _(t):
     d = B.daily(t).select("date", "entity", "value")
     reb = B.dret(t).groupBy(F.trunc("date", "quarter")).agg(F.max("date").alias("date")).select("date")

@@ -92,6 +92,55 @@ def test_pair_correlation_without_pairs(spark):
         assert np.isclose(got[days[t]], c[np.triu_indices(5, 1)].mean())
 
 
+def test_pair_correlation_over_blocks_gaps_and_constant_series(spark):
+    rng = np.random.default_rng(4)
+    days, n, w = months(130), 9, 6
+    x = rng.normal(size=(130, n)) + rng.normal(size=(130, 1))
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[:, 0], x[40:60, 1], x[:, 2] = 0.1, 3.3, np.nan
+    rows = [(days[t], f"F{i}", float(x[t, i])) for t in range(130) for i in range(n)]
+    d = spark.createDataFrame(rows, "date date, factor string, value double")
+    want = {}
+    for t in range(w, 130):
+        v = x[t - w:t]
+        v = v[:, np.isfinite(v).all(axis=0)]
+        v = v[:, v.max(axis=0) > v.min(axis=0)]
+        if v.shape[1] > 1:
+            want[days[t]] = (v.shape[1], np.corrcoef(v.T)[np.triu_indices(v.shape[1], 1)].mean())
+    for size in (2, 4_096):
+        got = {r["date"]: (r["n_series"], r["mean_corr"]) for r in A.mean_pair_correlation(d, w, series_per_task=size).collect()}
+        assert got.keys() == want.keys() and len(want) > 50
+        assert all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1]) for k in want)
+    assert A.mean_pair_correlation(d.limit(0), w).count() == 0
+
+
+def test_forward_track_matches_a_loop(spark, daily_returns):
+    rng = np.random.default_rng(6)
+    r = daily_returns[rng.random(len(daily_returns)) < 0.4].copy()
+    # one series with a long gap: its next row is the first one after many starts
+    days = sorted(daily_returns.date.unique())
+    r = r[(r.entity != "C03") | (r.date < days[50]) | (r.date > days[230])]
+    picks = [days[0] - dt.timedelta(days=9), *days[5:290:15], days[-1] + dt.timedelta(days=3)]
+    starts = [(f"C{i:02d}", s) for i in (0, 3, 7) for s in picks] + [("C03", picks[4]), ("none", picks[2])]
+    got = E.forward_track(spark.createDataFrame(starts, "entity string, start date"), spark.createDataFrame(r), 6).toPandas()
+    fwd = {}
+    for e, g in r.sort_values("date").groupby("entity"):
+        at, x = list(g.date), g.ret.to_numpy()
+        for s in picks:
+            i = next((i for i, d in enumerate(at) if d > s), None)
+            if i is not None and i + 6 <= len(at):
+                fwd[e, s] = (at[i], np.prod(1 + x[i:i + 6]) - 1)
+    want = []
+    for e, s in starts:
+        if (e, s) in fwd:
+            xs = [v[1] for (_, t), v in fwd.items() if t == s]
+            want.append((e, s, fwd[e, s][0], fwd[e, s][1], np.mean(xs), len(xs)))
+    got = sorted(got[["entity", "start", "first_date", "cum_return", "xs_mean", "n_entities"]].itertuples(index=False, name=None))
+    assert len(got) == len(want) > 40
+    for g, x in zip(got, sorted(want)):
+        assert g[:3] == x[:3] and np.allclose(g[3:], x[3:])
+
+
 def test_swapped_source_breaches(spark):
     m = months(6)
     a = spark.createDataFrame([(d, e, v) for d in m for e, v in (("X", 1.0), ("Y", 5.0), ("Z", 2.0))], "date date, entity string, value double")
@@ -164,6 +213,26 @@ def test_month_end_portfolio_matches_a_loop(spark, daily_returns):
     assert np.allclose(got["period_return"], [x[0] for x in want]) and np.allclose(got["turnover"], [x[1] for x in want])
 
 
+def test_rebalances_keep_old_signals_and_spread_no_grid(spark, daily_returns):
+    rng = np.random.default_rng(8)
+    r = daily_returns
+    days = sorted(r.date.unique())
+    reb = days[20::30]
+    sig = r.assign(value=rng.normal(size=len(r)).round(1))[["date", "entity", "value"]]
+    sig = sig[(rng.random(len(sig)) < 0.03)]  # signals that stay for several rebalances, with ties
+    got = P.month_end_portfolio(spark.createDataFrame(sig), spark.createDataFrame(r), 3, spark.createDataFrame([(d,) for d in reb], "date date")).orderBy("rebalance").toPandas()
+    rp, old, want = r.pivot(index="date", columns="entity", values="ret"), pd.Series(0.0, index=sorted(r.entity.unique())), []
+    for i, d in enumerate(reb):
+        s = sig[sig.date < d].sort_values("date").groupby("entity")["value"].last().sort_index().sort_values(ascending=False, kind="stable")
+        w = pd.Series(0.0, index=old.index)
+        w[s.index[:3]] = 1 / min(3, len(s))
+        hold = rp[(rp.index > d) & ((rp.index <= reb[i + 1]) if i + 1 < len(reb) else True)]
+        v = w * (1 + hold).prod()
+        want.append((v.sum() - 1, (w - old).abs().sum() / 2))
+        old = v / v.sum()
+    assert np.allclose(got[["period_return", "turnover"]].to_numpy(), want)
+
+
 def test_ridge_matches_numpy(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame([(d, f"E{i}", v, float(rng.normal())) for d in months(48) for i in range(12) for v in ("a", "b")], columns=["date", "entity", "variable", "value"])
