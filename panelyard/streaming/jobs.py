@@ -1,13 +1,14 @@
 """Structured Streaming forms of the incremental jobs."""
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 
 def document_day(stream: DataFrame, key: str, ts: str, group: Sequence[str], lateness: str = "2 days") -> DataFrame:
@@ -43,10 +44,24 @@ def by_day(stream: DataFrame, ts: str, keys: Sequence[str], lateness: str, **sum
 
     All rows of a day enter its row, in whatever order they come; rows later than
     ``lateness`` are dropped and counted in the query's progress (``late_rows``).  Days leave
-    in date order, so that what is keyed behind it sees each key's days in order.
+    in date order, so that what is keyed behind it sees each key's days in order.  ``_at`` is
+    their event time, which carries the watermark on to the timers of what follows.
     """
     d = stream.withWatermark(ts, lateness).groupBy(F.window(ts, "1 day").alias("w"), *keys).agg(*[c.alias(n) for n, c in sums.items()])
-    return d.select(*keys, F.to_date("w.start").alias("date"), *sums)
+    return d.select(*keys, F.to_date("w.start").alias("date"), *sums, F.window_time("w").alias("_at"))
+
+
+def wake(handle: StatefulProcessorHandle, day: dt.date | None) -> None:
+    """Let the key's only timer expire once the watermark has passed the end of ``day``; NULL
+    means no timer.
+
+    A timer only frees what the rule of its processor counts as forgotten anyway, so results
+    do not depend on when it runs.
+    """
+    for t in list(handle.listTimers()):
+        handle.deleteTimer(t)
+    if day is not None:
+        handle.registerTimer((min(day, LAST_DAY) - EPOCH).days * DAY_MS + DAY_MS)
 
 
 def late_rows(query) -> int:
@@ -54,6 +69,13 @@ def late_rows(query) -> int:
     return sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for o in p.get("stateOperators", []))
 
 
+DAY_MS, EPOCH, LAST_DAY = 86_400_000, dt.date(1970, 1, 1), dt.date(9999, 1, 1)
+
+
+def days_after(day: dt.date, days: int) -> dt.date:
+    return day + dt.timedelta(days=min(days, (LAST_DAY - day).days))
+
+
 DETECTOR_OUT = T.StructType([T.StructField(n, t) for n, t in (
     ("detector", T.StringType()), ("entity", T.StringType()), ("date", T.DateType()), ("status", T.StringType()), ("severity", T.DoubleType()),
     ("first_seen", T.DateType()), ("days_active", T.LongType()))])
@@ -64,13 +86,15 @@ class DetectorState(StatefulProcessor):
 
     A NULL severity says the detector ran and did not fire.  Only active detections have
     state: it is cleared when one is resolved, or when ``expiry`` days have passed without a
-    day of the key, after which the next one is new.
+    day of the key, after which the next one is new; an event-time timer frees keys that stay
+    silent.
     """
 
     def __init__(self, expiry: int = 90):
         self.expiry = expiry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("active", "severity double, first_seen date, last_date date, days_active long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
@@ -96,8 +120,13 @@ class DetectorState(StatefulProcessor):
             self.state.update(cur)
         elif self.state.exists():
             self.state.clear()
+        wake(self.handle, cur and days_after(cur[2], self.expiry))
         yield pd.DataFrame(out, columns=DETECTOR_OUT.names)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -106,7 +135,7 @@ def detector_states(stream: DataFrame, ts: str = "ts", lateness: str = "2 days",
     """stream (detector, entity, ts, severity) -> statuses; the strongest firing of a day counts."""
     days = by_day(stream, ts, ["detector", "entity"], lateness, severity=F.max("severity"))
     return days.groupBy("detector", "entity").transformWithStateInPandas(
-        statefulProcessor=DetectorState(expiry), outputStructType=DETECTOR_OUT, outputMode="Append", timeMode="None")
+        statefulProcessor=DetectorState(expiry), outputStructType=DETECTOR_OUT, outputMode="Append", timeMode="EventTime")
 
 
 EPISODE_OUT = T.StructType([T.StructField(n, t) for n, t in (
@@ -115,22 +144,29 @@ EPISODE_OUT = T.StructType([T.StructField(n, t) for n, t in (
 
 class EpisodeState(StatefulProcessor):
     """One open episode per key: open on a trigger, mark with each day's move, close when
-    absorbed or too old; the instance number counts re-openings."""
+    absorbed or too old; the instance number counts re-openings.
+
+    A key without an episode has no state.  ``forget`` days after its last episode closed a
+    key is as new: its next episode is number 1, and an event-time timer frees its state.
+    """
 
-    def __init__(self, absorbed: float = 0.03, max_age: int = 63):
-        self.absorbed, self.max_age = absorbed, max_age
+    def __init__(self, absorbed: float = 0.03, max_age: int = 63, forget: int = 3_650):
+        self.absorbed, self.max_age, self.forget = absorbed, max_age, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("episode", "instance long, opened date, cum double")
+        self.handle = handle
+        self.state = handle.getValueState("episode", "instance long, opened date, cum double, closed date")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("date", kind="stable")
-        inst, opened, cum = self.state.get() if self.state.exists() else (0, None, 0.0)
+        inst, opened, cum, closed = self.state.get() if self.state.exists() else (0, None, 0.0, None)
         out = []
         for r in pdf.itertuples(index=False):
             if opened is None:
+                if closed is not None and (r.date - closed).days > self.forget:
+                    inst, closed = 0, None
                 if r.trigger:
-                    inst, opened, cum = inst + 1, r.date, 0.0
+                    inst, opened, cum, closed = inst + 1, r.date, 0.0, None
                     out.append((key[0], r.date, inst, "open", 0.0, 0))
                 continue
             cum = (1 + cum) * (1 + float(r.ret)) - 1
@@ -138,41 +174,57 @@ class EpisodeState(StatefulProcessor):
             event = "absorbed" if cum >= self.absorbed else "expired" if age > self.max_age else "mark"
             out.append((key[0], r.date, inst, event, cum, age))
             if event != "mark":
-                opened = None
-        self.state.update((inst, opened, cum))
+                opened, closed = None, r.date
+        if inst:
+            self.state.update((inst, opened, cum, closed))
+        elif self.state.exists():
+            self.state.clear()
+        wake(self.handle, closed and days_after(closed, self.forget))
         yield pd.DataFrame(out, columns=EPISODE_OUT.names)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def episode_events(stream: DataFrame, absorbed: float = 0.03, max_age: int = 63, ts: str = "ts", lateness: str = "2 days") -> DataFrame:
+def episode_events(stream: DataFrame, absorbed: float = 0.03, max_age: int = 63, ts: str = "ts", lateness: str = "2 days", forget: int = 3_650) -> DataFrame:
     """stream (episode_key, ts, trigger, ret) -> open / mark / absorbed / expired events; a day
     triggers if any of its rows does, and its returns add up."""
     days = by_day(stream, ts, ["episode_key"], lateness, trigger=F.bool_or("trigger"), ret=F.sum("ret"))
     return days.groupBy("episode_key").transformWithStateInPandas(
-        statefulProcessor=EpisodeState(absorbed, max_age), outputStructType=EPISODE_OUT, outputMode="Append", timeMode="None")
+        statefulProcessor=EpisodeState(absorbed, max_age, forget), outputStructType=EPISODE_OUT, outputMode="Append", timeMode="EventTime")
 
 
 SMOOTH_OUT = T.StructType([T.StructField(n, t) for n, t in (("entity", T.StringType()), ("date", T.DateType()), ("value", T.DoubleType()), ("ewm", T.DoubleType()), ("z", T.DoubleType()))])
 
 
 class SmoothState(StatefulProcessor):
-    """Running exponential mean and prior-history z (Welford) per entity."""
+    """Running exponential mean and prior-history z (Welford) per entity.
 
-    def __init__(self, span: int = 10, minimum: int = 5):
-        self.alpha, self.minimum = 2 / (span + 1), minimum
+    An entity without a value for more than ``forget`` days begins anew; an event-time timer
+    frees the state of those that stay silent.
+    """
+
+    def __init__(self, span: int = 10, minimum: int = 5, forget: int = 3_650):
+        self.alpha, self.minimum, self.forget = 2 / (span + 1), minimum, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("moments", "n long, mean double, m2 double, ewm double")
+        self.handle = handle
+        self.state = handle.getValueState("moments", "n long, mean double, m2 double, ewm double, last date")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("date", kind="stable")
-        n, mean, m2, ewm = self.state.get() if self.state.exists() else (0, 0.0, 0.0, None)
+        n, mean, m2, ewm, last = self.state.get() if self.state.exists() else (0, 0.0, 0.0, None, None)
         out = []
         for r in pdf.itertuples(index=False):
             if r.value is None or r.value != r.value:
                 continue
+            if last is not None and (r.date - last).days > self.forget:
+                n, mean, m2, ewm = 0, 0.0, 0.0, None
+            last = r.date
             x = float(r.value)
             sd = (m2 / n) ** 0.5 if n else 0.0
             z = (x - mean) / sd if n >= self.minimum and sd > 0 else None
@@ -182,18 +234,24 @@ class SmoothState(StatefulProcessor):
             mean += d / n
             m2 += d * (x - mean)
             out.append((key[0], r.date, x, ewm, z))
-        self.state.update((n, mean, m2, ewm))
+        if last is not None:
+            self.state.update((n, mean, m2, ewm, last))
+        wake(self.handle, last and days_after(last, self.forget))
         yield pd.DataFrame(out, columns=SMOOTH_OUT.names)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def smoothed(stream: DataFrame, span: int = 10, minimum: int = 5, ts: str = "ts", lateness: str = "2 days") -> DataFrame:
+def smoothed(stream: DataFrame, span: int = 10, minimum: int = 5, ts: str = "ts", lateness: str = "2 days", forget: int = 3_650) -> DataFrame:
     """stream (entity, ts, value) -> smoothed daily means."""
     days = by_day(stream, ts, ["entity"], lateness, value=F.avg("value"))
     return days.groupBy("entity").transformWithStateInPandas(
-        statefulProcessor=SmoothState(span, minimum), outputStructType=SMOOTH_OUT, outputMode="Append", timeMode="None")
+        statefulProcessor=SmoothState(span, minimum, forget), outputStructType=SMOOTH_OUT, outputMode="Append", timeMode="EventTime")
 
 
 def upsert_sink(keys: Sequence[str], path: str, order: Sequence[str] = (), every: int = 20) -> Callable[[DataFrame, int], None]:
@@ -230,17 +288,23 @@ def read_upserts(spark, path: str, keys: Sequence[str], order: Sequence[str] = (
     return _folded(_since_full(spark.read.parquet(path)), keys, order).drop("batch", "full")
 
 
+def drain(df: DataFrame, folder: str) -> StreamingQuery:
+    """Drain the available input in append mode into ``folder``; the finished query tells its progress."""
+    q = df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    return q
+
+
 def run_to_end(df: DataFrame, folder: str) -> DataFrame:
     """Drain the available input in append mode into ``folder`` and read the result back.
 
     The sink and the state live in ``folder``, which driver and executors share; what the
     watermark has not closed stays in the state for the next run.
     """
-    q = df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    try:
-        q.awaitTermination()
-    finally:
-        q.stop()
+    drain(df, folder)
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
 
 

@@ -170,6 +170,50 @@ def test_episode_stream_matches_a_loop(spark, tmp_path):
     assert sorted(map(tuple, got[["episode_key", "date", "instance", "event"]].values.tolist())) == sorted(want)
 
 
+def keyed_state(q):
+    """Rows of the keyed operator's state after each batch."""
+    return [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"] if o["operatorName"].startswith("transformWithState")]
+
+
+def one_a_batch(spark, src, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+
+
+def test_silent_detectors_leave_the_state(spark, tmp_path):
+    schema = "detector string, entity string, ts timestamp, severity double"
+    src = tmp_path / "in"
+    days = [[("D", f"e{k}", at(d), 2.0) for k in range(20 if d < 3 else 1)] for d in (1, 2, 5, 9, 13)]
+    write_batches(spark, src, [*days, [("D", "e7", at(30), 1.0)], [("D", "e0", at(40), None)]], schema)
+    q = ST.drain(ST.detector_states(one_a_batch(spark, src, schema), lateness="1 day", expiry=5), str(tmp_path / "run"))
+    sizes = keyed_state(q)
+    assert max(sizes) >= 20 and sizes[-1] <= max(sizes) // 5
+    got = spark.read.parquet(str(tmp_path / "run" / "out")).filter("entity = 'e7'").orderBy("date").collect()
+    assert [(r["date"].day, r["status"]) for r in got] == [(1, "new"), (2, "persisting"), (30, "new")]
+
+
+def test_closed_episodes_and_silent_entities_leave_the_state(spark, tmp_path):
+    schema = "episode_key string, ts timestamp, trigger boolean, ret double"
+    src = tmp_path / "ep"
+    first = [[(f"k{k}", at(1), k < 15, 0.0) for k in range(30)], [(f"k{k}", at(2), False, 0.05) for k in range(30)]]
+    later = [[("k0", at(d), d in (6, 30), 0.05)] for d in (5, 6, 7, 15, 30, 31, 45, 60)]
+    write_batches(spark, src, first + later, schema)
+    q = ST.drain(ST.episode_events(one_a_batch(spark, src, schema), lateness="1 day", forget=10), str(tmp_path / "run"))
+    sizes = keyed_state(q)
+    # a state row and two of its timer: keys without an episode have none
+    assert 15 <= max(sizes) <= 45 and sizes[-1] <= 3
+    got = spark.read.parquet(str(tmp_path / "run" / "out")).filter("episode_key = 'k0'").orderBy("date").collect()
+    assert [(r["date"], r["instance"], r["event"]) for r in got] == [
+        (at(d).date(), i, e) for d, i, e in ((1, 1, "open"), (2, 1, "absorbed"), (6, 2, "open"), (7, 2, "absorbed"), (30, 1, "open"), (31, 1, "absorbed"))]
+    schema = "entity string, ts timestamp, value double"
+    src = tmp_path / "sm"
+    write_batches(spark, src, [[(f"e{k}", at(1), 4.0) for k in range(30)], *[[("e0", at(d), 2.0)] for d in (5, 9, 13, 40, 60)]], schema)
+    q = ST.drain(ST.smoothed(one_a_batch(spark, src, schema), span=3, lateness="1 day", forget=10), str(tmp_path / "smooth"))
+    sizes = keyed_state(q)
+    assert max(sizes) >= 30 and sizes[-1] <= 4
+    got = spark.read.parquet(str(tmp_path / "smooth" / "out")).filter("entity = 'e0'").orderBy("date").collect()
+    assert [r["ewm"] for r in got][:5] == [4.0, 3.0, 2.5, 2.25, 2.0]
+
+
 def test_bounded_replay_closes_what_the_watermark_leaves_open(spark, tmp_path):
     schema = "detector string, entity string, ts timestamp, severity double"
     src = tmp_path / "in"
