@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import month_start
+from ..functions.ranks import positions
 from ..session import settle
 from .features import drawdown, on_calendar, trailing_return
 from .joins import interval_months
@@ -313,11 +314,8 @@ def month_edge_snapshot(stored: DataFrame, current: DataFrame, month: str) -> Da
 
 
 def ranked_discoveries(df: DataFrame, theme: str = "theme", score: str = "score", key: str = "entity") -> DataFrame:
-    """Rank inside each theme and across themes by absolute score."""
-    a = F.abs(F.col(score)).desc()
-    return df.withColumns(
-        {
-            "rank_in_theme": F.row_number().over(Window.partitionBy(theme).orderBy(a, key)).cast("long"),
-            "abs_score": F.abs(score),
-        }
-    )
+    """Rank inside each theme by absolute score, ties by key, and the absolute score for an
+    order across themes; NULL scores come last.  A theme may have any size."""
+    d = df.withColumns({"abs_score": F.abs(score), "_rank_by": F.coalesce(F.abs(score), F.lit(-1))})
+    d = positions(d, [theme], "_rank_by", [key], descending=True, out="rank_in_theme", total="_theme_n")
+    return d.withColumn("rank_in_theme", F.col("rank_in_theme").cast("long")).drop("_rank_by", "_theme_n")

@@ -385,9 +385,16 @@ def best_per_group(df: DataFrame, group: Sequence[str], score: str, tie: Sequenc
 
 
 def diversified(df: DataFrame, cls: str, score: str, tie: str, k: int, dedupe: Sequence[str] = ("entity", "direction")) -> DataFrame:
-    """Strongest of every class first, then the rest by strength, k rows (a headline list)."""
-    o = [F.col(score).desc_nulls_last(), F.col(tie)]
-    d = df.withColumn("_d", F.row_number().over(Window.partitionBy(*dedupe).orderBy(*o))).filter("_d = 1")
-    d = d.withColumn("_c", F.row_number().over(Window.partitionBy(cls).orderBy(*o)))
-    out = d.orderBy((F.col("_c") > 1), *o).limit(k)
-    return out.drop("_d", "_c")
+    """Strongest of every class first, then the rest by strength, k rows (a headline list).
+
+    The strongest of a group is a grouped minimum, so a class of any size combines before it
+    travels.  Behind fewer than k classes the 2 k strongest rows hold k that lead no class.
+    """
+    strength = lambda: F.struct(F.col(score).isNull(), -F.col(score), F.col(tie))
+    order = [F.col(score).desc_nulls_last(), F.col(tie)]
+    strongest = lambda d, by: d.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(F.min_by(F.struct(*df.columns), strength()).alias("_r")).select("_r.*")
+    d = strongest(df, dedupe)
+    leaders = strongest(d, [cls]).orderBy(*order).limit(k).withColumn("_c", F.lit(0))
+    few = leaders.unionByName(d.orderBy(*order).limit(2 * k).withColumn("_c", F.lit(1)))
+    few = few.withColumn("_d", F.row_number().over(Window.partitionBy(*dedupe).orderBy("_c"))).filter("_d = 1")
+    return few.orderBy("_c", *order).limit(k).drop("_d", "_c")

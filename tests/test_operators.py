@@ -141,6 +141,26 @@ def test_forward_track_matches_a_loop(spark, daily_returns):
         assert g[:3] == x[:3] and np.allclose(g[3:], x[3:])
 
 
+@pytest.mark.parametrize("classes", [2, 9, 60])
+def test_headline_list_leads_every_class(spark, classes):
+    rng = np.random.default_rng(classes)
+    rows = [(int(i), f"E{i % 40}", "up" if i % 3 else "down", int(rng.integers(classes)), None if i % 17 == 0 else float(rng.integers(30))) for i in range(400)]
+    p = pd.DataFrame(rows, columns=["id", "entity", "direction", "cls", "score"])
+    o = p.sort_values(["score", "id"], ascending=[False, True], na_position="last")
+    o = o.drop_duplicates(["entity", "direction"])
+    o["c"] = o.groupby("cls").cumcount() > 0
+    want = o.sort_values("c", kind="stable").id.tolist()[:12]
+    d = spark.createDataFrame(rows, "id int, entity string, direction string, cls int, score double")
+    assert [r["id"] for r in S.diversified(d, "cls", "score", "id", 12).collect()] == want
+
+
+def test_ranks_inside_themes_keep_null_scores_last(spark):
+    rows = [("a", f"e{i}", float(v)) for i, v in enumerate((1, -5, 5, 0, 2))] + [("a", "z", None), ("b", "x", None), (None, "y", 3.0), (None, "w", -4.0)]
+    got = G.ranked_discoveries(spark.createDataFrame(rows, "theme string, entity string, score double")).collect()
+    assert {(r["theme"], r["entity"]): r["rank_in_theme"] for r in got} == {
+        ("a", "e1"): 1, ("a", "e2"): 2, ("a", "e4"): 3, ("a", "e0"): 4, ("a", "e3"): 5, ("a", "z"): 6, ("b", "x"): 1, (None, "w"): 1, (None, "y"): 2}
+
+
 def test_swapped_source_breaches(spark):
     m = months(6)
     a = spark.createDataFrame([(d, e, v) for d in m for e, v in (("X", 1.0), ("Y", 5.0), ("Z", 2.0))], "date date, entity string, value double")
