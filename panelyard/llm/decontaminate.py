@@ -3,7 +3,8 @@
 An item of m characters may occur with k edits.  Cut into k + 1 pieces, at least one piece
 of every such occurrence is untouched.  All pieces form one Aho-Corasick automaton, which
 reads each document once; where a piece is found, the item is aligned around it and its
-smallest edit distance to any substring is computed with one machine word per item.
+smallest edit distance to any substring is computed bit-parallel, all rows of the item in one
+integer.  Tasks read the items from the shared folder, so none pass through the driver.
 """
 from __future__ import annotations
 
@@ -12,10 +13,14 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import work_folder, written
+
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 16
 #: Characters of items that one automaton holds; more are searched in several passes.
@@ -109,22 +114,35 @@ class Searcher:
         return [(self.items[n][0], d, max(0, e - len(self.items[n][1])), e) for n, (d, e) in sorted(found.items())]
 
 
-def item_blocks(items: DataFrame, id: str, text: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of bounded size; only one block is at the driver at a time."""
-    total = items.agg(F.sum(F.length(text))).first()[0] or 0
-    blocks = -(-total // block_chars) or 1
-    for i in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64(text), F.lit(blocks)) == i)
-        yield [(r[0], r[1]) for r in part.filter(F.col(text).isNotNull()).select(id, text).collect()]
+def item_blocks(items: DataFrame, id: str, text: str, block_chars: int) -> list[str]:
+    """Write the items to the shared folder, about ``block_chars`` characters in a folder each."""
+    rows = items.filter(F.col(text).isNotNull()).select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    blocks = -(-(rows.agg(F.sum(F.length("_text"))).first()[0] or 0) // block_chars)
+    folder = work_folder(items.sparkSession, "items")
+    if blocks:
+        rows.withColumn("_block", F.pmod(F.xxhash64("_text"), F.lit(blocks))).write.partitionBy("_block").parquet(folder)
+    return [f"{folder}/_block={i}" for i in range(blocks)]
+
+
+def read_block(folder: str) -> list[tuple[object, str]]:
+    """The items (id, text) of a block; none if no item fell to it."""
+    files, path = fs.FileSystem.from_uri(folder)
+    found = files.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    out = []
+    for name in sorted(f.path for f in found if f.path.endswith(".parquet")):
+        with files.open_input_file(name) as f:
+            t = pq.ParquetFile(f).read(["_id", "_text"])
+            out += zip(t.column("_id").to_pylist(), t.column("_text").to_pylist())
+    return out
 
 
 def find_items(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows (id, item_id, distance, start, end) for every document and item that it holds.
 
     An item of m characters occurs where some substring is within m // ``chars_per_edit``
-    edits of it, both in plain form; the row tells the best such place.  Items are read in
+    edits of it, both in plain form; the row tells the best such place.  Items are searched in
     blocks of about ``block_chars`` characters, each of which passes over the documents
-    once.  NULL and blank items occur nowhere; NULL and empty texts hold nothing; repeated
+    once; the rows of several blocks are written, pass by pass.  NULL and blank items occur nowhere; NULL and empty texts hold nothing; repeated
     documents and repeated items give repeated rows; a NULL id stays NULL.  Other columns
     are not read.
     """
@@ -133,32 +151,34 @@ def find_items(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str
     empty = docs.sparkSession.createDataFrame([], "distance int, start int, end int")
     schema = empty.select(F.lit(None).cast(types["_id"]).alias(id), F.lit(None).cast(types["item"]).alias(item_id), "*").schema
     item_type = to_arrow_type(types["item"])
-    out = None
-    for block in item_blocks(items, item_id, item_text, block_chars):
+    out, blocks = docs.sparkSession.createDataFrame([], schema), item_blocks(items, item_id, item_text, block_chars)
+    for block in blocks:
 
-        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            s = Searcher(block, chars_per_edit)
+        def run(batches: Iterator[pa.RecordBatch], block: str = block) -> Iterator[pa.RecordBatch]:
+            s = Searcher(read_block(block), chars_per_edit)
             for b in batches:
                 rows = [(i.as_py(), *hit) for i, t in zip(b.column(0), b.column(1)) for hit in s.search(t.as_py() or "")]
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], item_type), *(pa.array(c, pa.int32()) for c in cols[2:])], names=[id, item_id, "distance", "start", "end"])
 
         hits = d.mapInArrow(run, schema)
-        out = hits if out is None else out.unionByName(hits)
+        if len(blocks) == 1:
+            return hits
+        out = out.unionByName(written(hits, "items-found"))
     return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_text: str = "text", chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, all columns kept, in one pass per block."""
-    out = docs
-    names = docs.columns
-    at = names.index(text)
-    for block in item_blocks(items, item_text, item_text, block_chars):
+    out, at, blocks = docs, docs.columns.index(text), item_blocks(items, item_text, item_text, block_chars)
+    for n, block in enumerate(blocks, 1):
 
-        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            s = Searcher(block, chars_per_edit)
+        def run(batches: Iterator[pa.RecordBatch], block: str = block) -> Iterator[pa.RecordBatch]:
+            s = Searcher(read_block(block), chars_per_edit)
             for b in batches:
                 yield b.filter(pa.array([not s.search(t.as_py() or "") for t in b.column(at)], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
+        if n < len(blocks):
+            out = written(out, "items-dropped")
     return out

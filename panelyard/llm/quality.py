@@ -14,6 +14,7 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ THRESHOLD = 0.3
 #: Steps of the score axis on which the calibration is counted; its size is all that the
 #: driver gets of the labelled rows.
 GRID = 2_000
-#: Tasks whose partial sums are added up.
+#: Partitions whose sums are added up at a time.
 SUMS = 64
 SYMBOL_BYTES = np.frombuffer(b"#*$%&|<>@^_~=+{}[]\\", np.uint8)
 
@@ -114,7 +115,7 @@ def fit(stats: DataFrame, label: str = "label", fold: str = "fold", out: str = "
     Each half is scored by the model of the other half for the calibration; the ridge
     weights come from both.  Without rows every score is 0.5.
     """
-    d = stats.select(F.col(out).alias("x"), F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("f")).filter("y is not null").coalesce(SUMS)
+    d = stats.select(F.col(out).alias("x"), F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("f")).filter("y is not null")
     d = written(d, "quality-training")
     dim = len(STATISTICS)
     sums = d.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).orderBy("i").collect()
@@ -132,14 +133,16 @@ def fit(stats: DataFrame, label: str = "label", fold: str = "fold", out: str = "
             for k in (0, 1):
                 p = phi[f == k]
                 g[k] += p.T @ np.hstack([p, y[f == k, None]])
-        i = np.arange(2 * (FEATURES + 1))
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(list(g.reshape(len(i), -1)), pa.list_(pa.float64()))], names=["i", "v"])
+        i, group = np.arange(2 * (FEATURES + 1)), TaskContext.get().partitionId() // SUMS
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.full(len(i), group)), pa.array(list(g.reshape(len(i), -1)), pa.list_(pa.float64()))], names=["i", "b", "v"])
 
-    def add(key: tuple, batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        return pd.DataFrame({"i": [key[0]], "v": [sum(np.sum(np.stack(x["v"]), axis=0) for x in batches)]})
+    def add(p: pd.DataFrame) -> pd.DataFrame:
+        return p.head(1).assign(v=[np.sum(np.stack(p["v"]), axis=0)])
 
-    parts = d.mapInArrow(partial, "i long, v array<double>")
-    rows = parts.groupBy("i").applyInPandas(lambda key, x: add(key, [x]), "i long, v array<double>").orderBy("i").collect()
+    # the sums of the partitions add up in groups first, so that no task takes those of all
+    schema = "i long, b long, v array<double>"
+    parts = d.mapInArrow(partial, schema).groupBy("i", "b").applyInPandas(add, schema)
+    rows = parts.groupBy("i").applyInPandas(add, schema).orderBy("i").collect()
     g = np.array([r["v"] for r in rows]).reshape(2, FEATURES + 1, FEATURES + 2)
 
     def solve(a: np.ndarray) -> np.ndarray:
