@@ -45,11 +45,16 @@ def laid_out(df: DataFrame, by: Sequence[str], order: Sequence[str], pieces: int
 
 
 def _around(by: Sequence[str]):
-    """Windows over one row per piece: the pieces before, the pieces after, the whole group."""
+    """Windows over one row per piece: the pieces before, the pieces after, the whole group.
+
+    What lies behind is taken from the other end: a frame that grows is kept up row by row,
+    one that shrinks (to UNBOUNDED FOLLOWING) is summed anew for every row.
+    """
     group = [F.col(f"_rw_p.{c}") for c in by]
     whole = Window.partitionBy(*group)
-    o = whole.orderBy("_rw_p._rw_at")
-    return o.rowsBetween(Window.unboundedPreceding, -1), o.rowsBetween(1, Window.unboundedFollowing), whole
+    before = whole.orderBy("_rw_p._rw_at").rowsBetween(Window.unboundedPreceding, -1)
+    after = whole.orderBy(F.col("_rw_p._rw_at").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return before, after, whole
 
 
 def running_weight(
@@ -86,8 +91,9 @@ def least_from_here(
 ) -> DataFrame:
     """Minimum of ``value(position, group size)`` over a row and all rows behind it.
 
-    Two levels: every piece takes its own minima from each row on, and of the pieces behind
-    it one number each.  ``order`` must be unique within a group.
+    Two levels: every piece takes its own minima from its last row up, and of the pieces
+    behind it one number each; time grows with the rows.  ``order`` must be unique within a
+    group.
     """
     by, order = list(by), list(order)
     d = laid_out(df, by, order, pieces)
@@ -97,7 +103,8 @@ def least_from_here(
     o = Window.partitionBy("_rw_p").orderBy(*order)
     d = d.withColumn("_rw_local", F.row_number().over(o)).join(sizes, d["_rw_p"] == sizes["_rw_q"])
     d = d.withColumn("_rw_v", value(F.col("_rw_local") + F.col("_rw_off"), F.col("_rw_all")))
-    d = d.withColumn("_rw_least", F.min("_rw_v").over(o.rowsBetween(0, Window.unboundedFollowing)))
+    up = Window.partitionBy("_rw_p").orderBy(F.col("_rw_local").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_rw_least", F.min("_rw_v").over(up))
     heads = d.filter("_rw_local = 1").select("_rw_p", "_rw_least")
     heads = heads.select(F.col("_rw_p").alias("_rw_h"), F.min("_rw_least").over(after).alias("_rw_behind"))
     d = d.join(heads, d["_rw_p"] == heads["_rw_h"])

@@ -92,3 +92,12 @@ def test_least_from_here_by_definition(spark, pieces):
     want["want"] = (want["v"] * n / pos)[::-1].groupby(want["g"][::-1]).cummin()[::-1]
     m = d.merge(want[["k", "want"]], on="k")
     assert np.allclose(m["low"], m["want"])
+
+
+def test_least_from_here_in_one_piece_grows_with_its_rows(spark):
+    rows = 100_000
+    d = spark.range(rows).select(ranks.F.pmod(ranks.F.col("id") * 7919, ranks.F.lit(rows)).cast("double").alias("v"), ranks.F.col("id").alias("k"))
+    got = ranks.least_from_here(d, [], ["v", "k"], lambda r, n: -r, "low", pieces=1)
+    # Spark sums such a frame anew for every row of the piece.
+    assert "currentrow$(), unboundedfollowing$()" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.filter(f"low = -{rows}").count() == rows
