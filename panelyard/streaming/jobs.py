@@ -51,17 +51,94 @@ def by_day(stream: DataFrame, ts: str, keys: Sequence[str], lateness: str, **sum
     return d.select(*keys, F.to_date("w.start").alias("date"), *sums, F.window_time("w").alias("_at"))
 
 
-def wake(handle: StatefulProcessorHandle, day: dt.date | None) -> None:
-    """Let the key's only timer expire once the watermark has passed the end of ``day``; NULL
-    means no timer.
+#: Buckets of keys; a bucket's state is read and written at once.
+BUCKETS = 4096
 
-    A timer only frees what the rule of its processor counts as forgotten anyway, so results
-    do not depend on when it runs.
+
+class Forgetful(StatefulProcessor):
+    """A rule over the days of every key, given in date order, that frees what it has forgotten.
+
+    ``days`` takes a key's state, which is None or a tuple, and its next days, and gives the
+    new state, the last day on which that state counts (NULL: for good) and the rows to emit.
+    There are very many keys with a few days each, so they come in buckets by their hash: one
+    read, one write and one timer serve all keys of a bucket.  The timer stays where it is
+    while days come; when it expires, it is set anew for the keys that count for longer.
+
+    A timer only frees what the rule counts as forgotten anyway, so results do not depend on
+    when it runs; state that the watermark has already passed is not written at all.
     """
-    for t in list(handle.listTimers()):
-        handle.deleteTimer(t)
-    if day is not None:
-        handle.registerTimer((min(day, LAST_DAY) - EPOCH).days * DAY_MS + DAY_MS)
+
+    keys: tuple[str, ...]
+    schema: str
+    output: T.StructType
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        one = ", ".join([*[f"{k} string" for k in self.keys], self.schema, "until date"])
+        self.state = handle.getValueState("bucket", f"held array<struct<{one}>>, timer long")
+
+    def days(self, key: tuple, state: tuple | None, rows: list[tuple]) -> tuple[tuple | None, dt.date | None, list[tuple]]:
+        raise NotImplementedError
+
+    def _read(self) -> tuple[dict[tuple, tuple], int | None]:
+        held, timer = self.state.get() or ((), None)
+        n = len(self.keys)
+        return {tuple(h[:n]): tuple(h[n:]) for h in held}, timer
+
+    def _keep(self, held: dict[tuple, tuple], timer: int | None, watermark: int, stored: bool) -> None:
+        """Write what counts at this watermark; ``timer`` is the one that is pending."""
+        held = {k: s for k, s in held.items() if s[-1] is None or expiry(s[-1]) > watermark}
+        ends = [s[-1] for s in held.values() if s[-1] is not None]
+        if timer is not None and not ends:
+            self.handle.deleteTimer(timer)
+            timer = None
+        elif timer is None and ends:
+            timer = expiry(min(ends))
+            self.handle.registerTimer(timer)
+        if held:
+            self.state.update(([(*k, *s) for k, s in held.items()], timer))
+        elif stored:
+            self.state.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, timer = self._read()
+        stored, out, of = bool(held), [], {}
+        pdf = pd.concat(list(rows)).sort_values("date", kind="stable")
+        for k, r in zip(zip(*(pdf[c] for c in self.keys)), pdf.itertuples(index=False)):
+            of.setdefault(tuple(map(known, k)), []).append(r)
+        for k, some in of.items():
+            state = held.pop(k, None)
+            now, until, found = self.days(k, state and state[:-1], some)
+            out += found
+            if now is not None:
+                held[k] = (*now, until)
+        self._keep(held, timer, timerValues.getCurrentWatermarkInMs(), stored)
+        yield pd.DataFrame(out, columns=self.output.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, _ = self._read()
+        self._keep(held, None, timerValues.getCurrentWatermarkInMs(), bool(held))
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def by_bucket(days: DataFrame, processor: Forgetful, buckets: int | None = None) -> DataFrame:
+    """The rows that ``processor`` emits for the days of every key."""
+    bucket = F.pmod(F.xxhash64(*processor.keys), F.lit(buckets or BUCKETS))
+    return days.withColumn("_bucket", bucket).groupBy("_bucket").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=processor.output, outputMode="Append", timeMode="EventTime")
+
+
+def expiry(day: dt.date) -> int:
+    """The end of ``day`` as a timer's event time."""
+    return (min(day, LAST_DAY) - EPOCH).days * DAY_MS + DAY_MS
+
+
+def known(x):
+    """NaN stands for NULL."""
+    return None if x is None or x != x else x
 
 
 def late_rows(query) -> int:
@@ -81,7 +158,7 @@ DETECTOR_OUT = T.StructType([T.StructField(n, t) for n, t in (
     ("first_seen", T.DateType()), ("days_active", T.LongType()))])
 
 
-class DetectorState(StatefulProcessor):
+class DetectorState(Forgetful):
     """Status of each (detector, entity) over successive days, given in date order.
 
     A NULL severity says the detector ran and did not fire.  Only active detections have
@@ -90,59 +167,44 @@ class DetectorState(StatefulProcessor):
     silent.
     """
 
+    keys = ("detector", "entity")
+    schema = "severity double, first_seen date, last_date date, days_active long"
+    output = DETECTOR_OUT
+
     def __init__(self, expiry: int = 90):
         self.expiry = expiry
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("active", "severity double, first_seen date, last_date date, days_active long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("date", kind="stable")
-        cur = self.state.get() if self.state.exists() else None
-        out = []
-        for r in pdf.itertuples(index=False):
+    def days(self, key, state, rows):
+        cur, out = state, []
+        for r in rows:
             if cur is not None and (r.date - cur[2]).days > self.expiry:
                 cur = None
-            fired = r.severity is not None and r.severity == r.severity
-            if fired and cur is None:
-                cur = (float(r.severity), r.date, r.date, 1)
-                out.append((*key, r.date, "new", float(r.severity), r.date, 1))
-            elif fired:
-                ps, ns = abs(cur[0]), abs(r.severity)
+            severity = known(r.severity)
+            if severity is not None and cur is None:
+                cur = (severity, r.date, r.date, 1)
+                out.append((*key, r.date, "new", severity, r.date, 1))
+            elif severity is not None:
+                ps, ns = abs(cur[0]), abs(severity)
                 status = "intensifying" if ps > 0 and ns >= 1.2 * ps else "fading" if ps > 0 and ns <= 0.8 * ps else "persisting"
-                cur = (float(r.severity), cur[1], r.date, cur[3] + 1)
-                out.append((*key, r.date, status, float(r.severity), cur[1], cur[3]))
+                cur = (severity, cur[1], r.date, cur[3] + 1)
+                out.append((*key, r.date, status, severity, cur[1], cur[3]))
             elif cur is not None:
                 out.append((*key, r.date, "resolved", 0.0, cur[1], cur[3]))
                 cur = None
-        if cur is not None:
-            self.state.update(cur)
-        elif self.state.exists():
-            self.state.clear()
-        wake(self.handle, cur and days_after(cur[2], self.expiry))
-        yield pd.DataFrame(out, columns=DETECTOR_OUT.names)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+        return cur, cur and days_after(cur[2], self.expiry), out
 
 
 def detector_states(stream: DataFrame, ts: str = "ts", lateness: str = "2 days", expiry: int = 90) -> DataFrame:
     """stream (detector, entity, ts, severity) -> statuses; the strongest firing of a day counts."""
     days = by_day(stream, ts, ["detector", "entity"], lateness, severity=F.max("severity"))
-    return days.groupBy("detector", "entity").transformWithStateInPandas(
-        statefulProcessor=DetectorState(expiry), outputStructType=DETECTOR_OUT, outputMode="Append", timeMode="EventTime")
+    return by_bucket(days, DetectorState(expiry))
 
 
 EPISODE_OUT = T.StructType([T.StructField(n, t) for n, t in (
     ("episode_key", T.StringType()), ("date", T.DateType()), ("instance", T.LongType()), ("event", T.StringType()), ("move", T.DoubleType()), ("age", T.LongType()))])
 
 
-class EpisodeState(StatefulProcessor):
+class EpisodeState(Forgetful):
     """One open episode per key: open on a trigger, mark with each day's move, close when
     absorbed or too old; the instance number counts re-openings.
 
@@ -150,18 +212,17 @@ class EpisodeState(StatefulProcessor):
     key is as new: its next episode is number 1, and an event-time timer frees its state.
     """
 
+    keys = ("episode_key",)
+    schema = "instance long, opened date, cum double, closed date"
+    output = EPISODE_OUT
+
     def __init__(self, absorbed: float = 0.03, max_age: int = 63, forget: int = 3_650):
         self.absorbed, self.max_age, self.forget = absorbed, max_age, forget
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("episode", "instance long, opened date, cum double, closed date")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("date", kind="stable")
-        inst, opened, cum, closed = self.state.get() if self.state.exists() else (0, None, 0.0, None)
+    def days(self, key, state, rows):
+        inst, opened, cum, closed = state or (0, None, 0.0, None)
         out = []
-        for r in pdf.itertuples(index=False):
+        for r in rows:
             if opened is None:
                 if closed is not None and (r.date - closed).days > self.forget:
                     inst, closed = 0, None
@@ -172,60 +233,46 @@ class EpisodeState(StatefulProcessor):
             cum = (1 + cum) * (1 + float(r.ret)) - 1
             age = (r.date - opened).days
             event = "absorbed" if cum >= self.absorbed else "expired" if age > self.max_age else "mark"
-            out.append((key[0], r.date, inst, event, cum, age))
+            out.append((key[0], r.date, inst, event, known(cum), age))
             if event != "mark":
                 opened, closed = None, r.date
-        if inst:
-            self.state.update((inst, opened, cum, closed))
-        elif self.state.exists():
-            self.state.clear()
-        wake(self.handle, closed and days_after(closed, self.forget))
-        yield pd.DataFrame(out, columns=EPISODE_OUT.names)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+        return (inst, opened, cum, closed) if inst else None, closed and days_after(closed, self.forget), out
 
 
 def episode_events(stream: DataFrame, absorbed: float = 0.03, max_age: int = 63, ts: str = "ts", lateness: str = "2 days", forget: int = 3_650) -> DataFrame:
     """stream (episode_key, ts, trigger, ret) -> open / mark / absorbed / expired events; a day
     triggers if any of its rows does, and its returns add up."""
     days = by_day(stream, ts, ["episode_key"], lateness, trigger=F.bool_or("trigger"), ret=F.sum("ret"))
-    return days.groupBy("episode_key").transformWithStateInPandas(
-        statefulProcessor=EpisodeState(absorbed, max_age, forget), outputStructType=EPISODE_OUT, outputMode="Append", timeMode="EventTime")
+    return by_bucket(days, EpisodeState(absorbed, max_age, forget))
 
 
 SMOOTH_OUT = T.StructType([T.StructField(n, t) for n, t in (("entity", T.StringType()), ("date", T.DateType()), ("value", T.DoubleType()), ("ewm", T.DoubleType()), ("z", T.DoubleType()))])
 
 
-class SmoothState(StatefulProcessor):
+class SmoothState(Forgetful):
     """Running exponential mean and prior-history z (Welford) per entity.
 
     An entity without a value for more than ``forget`` days begins anew; an event-time timer
     frees the state of those that stay silent.
     """
 
+    keys = ("entity",)
+    schema = "n long, mean double, m2 double, ewm double, last date"
+    output = SMOOTH_OUT
+
     def __init__(self, span: int = 10, minimum: int = 5, forget: int = 3_650):
         self.alpha, self.minimum, self.forget = 2 / (span + 1), minimum, forget
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("moments", "n long, mean double, m2 double, ewm double, last date")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("date", kind="stable")
-        n, mean, m2, ewm, last = self.state.get() if self.state.exists() else (0, 0.0, 0.0, None, None)
+    def days(self, key, state, rows):
+        n, mean, m2, ewm, last = state or (0, 0.0, 0.0, None, None)
         out = []
-        for r in pdf.itertuples(index=False):
-            if r.value is None or r.value != r.value:
+        for r in rows:
+            x = known(r.value)
+            if x is None:
                 continue
             if last is not None and (r.date - last).days > self.forget:
                 n, mean, m2, ewm = 0, 0.0, 0.0, None
             last = r.date
-            x = float(r.value)
             sd = (m2 / n) ** 0.5 if n else 0.0
             z = (x - mean) / sd if n >= self.minimum and sd > 0 else None
             ewm = x if ewm is None else (1 - self.alpha) * ewm + self.alpha * x
@@ -233,25 +280,14 @@ class SmoothState(StatefulProcessor):
             d = x - mean
             mean += d / n
             m2 += d * (x - mean)
-            out.append((key[0], r.date, x, ewm, z))
-        if last is not None:
-            self.state.update((n, mean, m2, ewm, last))
-        wake(self.handle, last and days_after(last, self.forget))
-        yield pd.DataFrame(out, columns=SMOOTH_OUT.names)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+            out.append((key[0], r.date, x, known(ewm), known(z)))
+        return (n, mean, m2, ewm, last) if last is not None else None, last and days_after(last, self.forget), out
 
 
 def smoothed(stream: DataFrame, span: int = 10, minimum: int = 5, ts: str = "ts", lateness: str = "2 days", forget: int = 3_650) -> DataFrame:
     """stream (entity, ts, value) -> smoothed daily means."""
     days = by_day(stream, ts, ["entity"], lateness, value=F.avg("value"))
-    return days.groupBy("entity").transformWithStateInPandas(
-        statefulProcessor=SmoothState(span, minimum, forget), outputStructType=SMOOTH_OUT, outputMode="Append", timeMode="EventTime")
+    return by_bucket(days, SmoothState(span, minimum, forget))
 
 
 def upsert_sink(keys: Sequence[str], path: str, order: Sequence[str] = (), every: int = 20) -> Callable[[DataFrame, int], None]:

@@ -191,6 +191,19 @@ def test_silent_detectors_leave_the_state(spark, tmp_path):
     assert [(r["date"].day, r["status"]) for r in got] == [(1, "new"), (2, "persisting"), (30, "new")]
 
 
+def test_keys_share_the_state_of_their_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "BUCKETS", 2, raising=False)
+    schema = "detector string, entity string, ts timestamp, severity double"
+    src, names = tmp_path / "in", [None, *(f"e{k}" for k in range(39))]
+    write_batches(spark, src, [[("D", e, at(d), s) for e in names] for d, s in ((1, 2.0), (2, 1.0), (5, None))] + [[("D", "x", at(9), None)]], schema)
+    q = ST.drain(ST.detector_states(one_a_batch(spark, src, schema), lateness="1 day"), str(tmp_path / "run"))
+    assert 1 <= max(keyed_state(q)) <= 6  # two state rows and their timers, not 40
+    got = spark.read.parquet(str(tmp_path / "run" / "out")).collect()
+    want = [(1, "new", 2.0, 1), (2, "fading", 1.0, 2), (5, "resolved", 0.0, 2)]
+    assert {(r["entity"], r["date"].day, r["status"], r["severity"], r["days_active"]) for r in got} == {(e, *w) for e in names for w in want}
+    assert len(got) == 120
+
+
 def test_closed_episodes_and_silent_entities_leave_the_state(spark, tmp_path):
     schema = "episode_key string, ts timestamp, trigger boolean, ret double"
     src = tmp_path / "ep"
