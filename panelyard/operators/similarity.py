@@ -3,21 +3,24 @@
 All-pairs quantities (cosine, lead-lag correlation) are computed block against block: rows
 are hashed into blocks of bounded size, every unordered pair of blocks is one task doing dense
 matrix products, and only the pairs that count (top k, above a threshold) leave a task.  The
-top k by cosine leaves out the blocks that angles to a few pivots rule out.
+top k by cosine writes its blocks once and reads those that angles to a few pivots leave.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import clean, clip
 from ..functions.ranks import average_ranks
-from ..session import settle
+from ..session import checkpoint_folder, settle
 
 BLOCK_ROWS = 2048
 
@@ -57,25 +60,29 @@ def top_per_focal(df: DataFrame, k: int, by: Sequence[str] = ("focal",), score:
 
 #: Pivots of ``top_k_cosine``, whatever the number of rows: they travel with every task.
 PIVOTS = 256
+#: Blocks of focal rows that one task of ``top_k_cosine`` holds.
+HELD = 4
 
 
 def top_k_cosine(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """k most similar other rows per row by cosine, positive similarities only; exact.
 
     Rows gather around the nearest of at most ``pivots`` rows, and blocks of such a cluster
-    know their largest angle from its pivot.  Within its own block a row finds a first k-th
-    score.  By the triangle inequality of angles a block can reach it only if the row's angle
-    to the pivot less the block's radius allows that score, and the row visits just those
-    blocks.  Visitors of a block come in chunks, so no task grows with the data.  Rows that
-    are NULL, empty or zero are similar to none; vectors must have one length.
+    know their largest angle from its pivot.  Each block is written once to the shared folder.
+    A task holds some blocks of focal rows and reads the others one after another, nearest
+    first; by the triangle inequality of angles a block is of use to a row only if the row's
+    angle to the pivot less the block's radius allows its k-th score so far, and blocks of use
+    to no row are not read.  So rows move a fixed number of times, however many blocks they
+    meet; only products and reads grow with the square where the angles rule nothing out.
+    Rows that are NULL, empty or zero are similar to none; vectors must have one length.
     """
-    kind = df.schema[key].dataType.simpleString()
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
     schema = f"focal {kind}, neighbor {kind}, sim double"
     d = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     d = settle(d.filter(F.exists("v", lambda x: x != 0)))
     n = d.count()
     if not n:
-        return d.sparkSession.createDataFrame([], schema + ", rank long")
+        return spark.createDataFrame([], schema + ", rank long")
     m = min(pivots, -(-n // block_rows))
     heads = _unit(np.array([r.v for r in d.orderBy(F.xxhash64("key"), "key").limit(m).collect()]))
 
@@ -92,38 +99,103 @@ def top_k_cosine(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: i
     for r in clusters.collect():
         radius[r.c] = r.r
     placed = settle(near.join(clusters.drop("r"), "c").withColumn("b", F.pmod(F.xxhash64("key"), "parts")).select("key", "v", "c", "b"))
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, names = _unit(np.stack(pdf["v"].to_numpy())), pdf["key"].to_numpy()
-        return _best(x @ x.T, names, names, k)
-
-    own = settle(placed.groupBy("c", "b").applyInPandas(within, schema))
-    least = own.groupBy(F.col("focal").alias("key")).agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(0.0).alias("least"))
-
-    def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            angle = np.arccos(np.clip(_unit(np.stack(pdf["v"].to_numpy())) @ heads.T, -1, 1))
-            go = np.cos(np.clip(angle - radius, 0, np.pi)) >= pdf["least"].fillna(0.0).to_numpy()[:, None] - 1e-9
-            yield pdf.assign(to=[np.flatnonzero(g).astype(np.int64) for g in go]).drop(columns="least")
-
-    asked = placed.join(least, "key", "left").mapInPandas(reached, f"key {kind}, v array<double>, c long, b long, to array<long>")
-    # Pivots without rows have no parts.
-    parts = clusters.select(F.col("c").alias("to"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    visits = asked.withColumn("to", F.explode("to")).join(parts, "to").filter("not (to = c and part = b)")
-    visits = settle(visits.select("key", "v", F.col("to").alias("c"), F.col("part").cast("long").alias("b")))
-    chunks = visits.groupBy("c", "b").agg(F.ceil(F.count("*") / block_rows).alias("chunks"))
-    guests = visits.join(chunks, ["c", "b"]).withColumn("g", F.pmod(F.xxhash64("key"), "chunks")).drop("chunks")
-    seats = chunks.select(F.col("c").alias("c"), F.col("b").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("g"))
-    hosts = placed.join(seats, ["c", "b"])
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return _no_rows("focal", "neighbor", "sim")
-        x, y = _unit(np.stack(left["v"].to_numpy())), _unit(np.stack(right["v"].to_numpy()))
-        return _best(x @ y.T, left["key"].to_numpy(), right["key"].to_numpy(), k)
-
-    far = guests.groupBy("c", "b", "g").cogroup(hosts.groupBy("c", "b", "g")).applyInPandas(meet, schema)
-    return top_per_focal(own.unionByName(far), k)
+    folder = f"{checkpoint_folder(spark)}/cosine-{uuid.uuid4().hex}"
+
+    def store(group: pa.Table) -> pa.Table:
+        # Each attempt writes a file of its own; only those of finished tasks are listed.
+        t = group.sort_by("key").combine_chunks()
+        x = _unit(t.column("v").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(len(t), heads.shape[1]))
+        block = pa.table({"key": t.column("key"), "v": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1])})
+        files, base = fs.FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
+        name = uuid.uuid4().hex
+        with files.open_output_stream(f"{base}/{name}") as out, pa.ipc.new_file(out, block.schema) as f:
+            f.write_table(block)
+        return pa.table({"c": t.column("c")[:1], "b": t.column("b")[:1], "name": pa.array([name])})
+
+    # One name per block goes through the driver, no row.
+    listed = placed.groupBy("c", "b").applyInArrow(store, "c long, b long, name string").collect()
+    blocks = [(r.c, r.name) for r in sorted(listed)]
+    tasks = max(-(-n // (HELD * block_rows)), min(len(blocks), 4 * spark.sparkContext.defaultParallelism))
+    cuts = [len(blocks) * i // tasks for i in range(tasks + 1)]
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(folder)
+
+        def read(name: str) -> pa.Table:
+            with files.open_input_file(f"{base}/{name}") as f:
+                return pa.ipc.open_file(f).read_all().combine_chunks()
+
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                yield from _nearest(blocks[cuts[i] : cuts[i + 1]], blocks, read, heads, radius, k, block_rows).to_batches()
+
+    return top_per_focal(spark.range(0, tasks, 1, tasks).mapInArrow(visit, schema), k)
+
+
+def _nearest(
+    own: list[tuple[int, str]], blocks: list[tuple[int, str]], read: Callable[[str], pa.Table], heads: np.ndarray, radius: np.ndarray, k: int, tile: int
+) -> pa.Table:
+    """Rows (focal, neighbor, sim): the k best of all ``blocks`` for each row of the blocks ``own``.
+
+    Blocks are (cluster, name); ``read`` gives a block's keys, in order, and unit vectors.
+    """
+    mine = pa.concat_tables([read(name) for _, name in own]).combine_chunks()
+    names, x = mine.column("key"), _matrix(mine)
+    named = np.flatnonzero(names.is_valid().to_numpy())
+    mine_named = names.drop_null().to_numpy()
+    # The best similarity that a cluster can have to a row.
+    bound = np.cos(np.clip(np.arccos(np.clip(x @ heads.T, -1, 1)) - radius, 0, np.pi))
+    home, most = {name for _, name in own}, bound.max(axis=0)
+    best = pa.table({"i": pa.array([], pa.int64()), "neighbor": pa.array([], names.type), "sim": pa.array([], pa.float64())})
+    least = np.zeros(len(x))
+    for c, name in sorted(blocks, key=lambda b: (b[1] not in home, -most[b[0]])):
+        rows = np.flatnonzero(bound[:, c] >= least - 1e-9)
+        if not len(rows):
+            continue
+        block = read(name)
+        others, y = block.column("key"), _matrix(block)
+        # Keys are in order, NULL last, so those equal to a row's are one stretch.
+        theirs = others.drop_null().to_numpy()
+        first, last = np.zeros((2, len(x)), np.int64)
+        first[named], last[named] = np.searchsorted(theirs, mine_named, "left"), np.searchsorted(theirs, mine_named, "right")
+        found = [best]
+        for s in range(0, len(rows), tile):
+            part = rows[s : s + tile]
+            sim = x[part] @ y.T
+            for r in np.flatnonzero(first[part] < last[part]):
+                sim[r, first[part[r]] : last[part[r]]] = -np.inf
+            i, j = _at_least(sim, least[part], k)
+            found.append(pa.table({"i": part[i], "neighbor": others.take(pa.array(j)), "sim": sim[i, j]}))
+        if sum(map(len, found)) == len(best):
+            continue
+        best = pa.concat_tables(found).sort_by([("i", "ascending"), ("sim", "descending"), ("neighbor", "ascending")])
+        i = best.column("i").to_numpy()
+        best = best.filter(pa.array(np.arange(len(i)) - np.searchsorted(i, i) < k)).combine_chunks()
+        i, sims = best.column("i").to_numpy(), best.column("sim").to_numpy()
+        full = np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, i) == k - 1)
+        least[i[full]] = sims[full]
+    return pa.table({"focal": names.take(best.column("i")), "neighbor": best.column("neighbor"), "sim": best.column("sim")})
+
+
+def _matrix(block: pa.Table) -> np.ndarray:
+    v = block.column("v").combine_chunks()
+    return v.flatten().to_numpy().reshape(len(block), v.type.list_size)
+
+
+def _at_least(sim: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k highest positive entries of each row that reach its ``least``; of equal ones the first."""
+    keep = sim >= np.maximum(least, np.nextafter(0, 1))[:, None]
+    many = np.flatnonzero(np.count_nonzero(keep, axis=1) > k)
+    if len(many):
+        part = sim[many]
+        cut = np.partition(part, -k, axis=1)[:, -k]
+        top = part >= cut[:, None]
+        for r in np.flatnonzero(top.sum(axis=1) > k):
+            at = np.flatnonzero(part[r] == cut[r])
+            top[r, at[k - int((part[r] > cut[r]).sum()) :]] = False
+        keep[many] = top
+    return np.nonzero(keep)
 
 
 def _no_rows(*columns: str) -> pd.DataFrame:

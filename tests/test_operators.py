@@ -454,3 +454,48 @@ def test_top_k_cosine_visits_few_blocks_and_misses_nothing(spark, monkeypatch):
     assert not [i for i, _ in got if i in (5, 900, 901)]
     assert seen[-1].columns == ["key", "v", "c", "b"] and seen[-1].count() < 0.4 * 600 * (600 / 20)
     assert S.top_k_cosine(d.limit(0), "id", "v", 4).count() == 0 and S.top_k_cosine(d.filter("id = 1"), "id", "v", 4).count() == 0
+
+
+def test_top_k_cosine_moves_rows_a_fixed_number_of_times(spark, monkeypatch):
+    from panelyard.operators import similarity as S
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, 24))  # nothing is ruled out: every row meets every block
+    d = spark.createDataFrame([(f"k{i:03d}", x.tolist()) for i, x in enumerate(v)] + [("k007", v[9].tolist()), (None, v[3].tolist())], "id string, v array<double>")
+    seen = []
+    settle = S.settle
+    monkeypatch.setattr(S, "settle", lambda df: seen.append(settle(df)) or seen[-1])
+    got = S.top_k_cosine(d, "id", "v", 3, block_rows=20).collect()
+    assert sum(x.count() for x in seen) < 3 * 602
+    names = [f"k{i:03d}" for i in range(600)] + ["k007", None]
+    u = np.vstack([v, v[9], v[3]])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    sim = u @ u.T
+    for name in ("k000", "k003", "k007", "k009", "k599"):
+        pairs = [(float(sim[a, b]), names[b] or "") for a in range(602) if names[a] == name for b in range(602) if names[b] != name and sim[a, b] > 0]
+        want = sorted(pairs, key=lambda p: (-round(p[0], 9), p[1]))[:3]
+        found = sorted((r for r in got if r.focal == name), key=lambda r: r["rank"])
+        assert [r.sim for r in found] == pytest.approx([s for s, _ in want], abs=1e-9)
+        assert {r.neighbor or "" for r in found} == {n for _, n in want}
+
+
+def test_blocks_that_angles_rule_out_are_not_read():
+    import pyarrow as pa
+
+    from panelyard.operators import similarity as S
+
+    rng = np.random.default_rng(6)
+    heads = np.linalg.qr(rng.normal(size=(8, 8)))[0]
+    made = {}
+    for c in range(8):
+        for b in range(3):
+            x = S._unit(heads[c] + rng.normal(scale=0.02, size=(10, 8)))
+            made[f"{c}-{b}"] = pa.table({"key": pa.array(range(c * 100 + b * 10, c * 100 + b * 10 + 10)), "v": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8)})
+    angle = [max(float(np.arccos(S._matrix(made[f"{c}-{b}"]) @ heads[c]).max()) for b in range(3)) for c in range(8)]
+    blocks, opened = [(int(n[0]), n) for n in made], []
+    got = S._nearest(blocks[3:4], blocks, lambda n: opened.append(n) or made[n], heads, np.array(angle), 5, 4)
+    assert set(opened) == {"1-0", "1-1", "1-2"} and len(got) == 50
+    x, y = S._matrix(made["1-0"]), np.vstack([S._matrix(made[n]) for n in made])
+    sim = x @ y.T
+    sim[np.arange(10), np.arange(30, 40)] = -1
+    assert got.column("sim").to_numpy().reshape(10, 5) == pytest.approx(np.sort(sim, axis=1)[:, :-6:-1])
