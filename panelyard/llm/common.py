@@ -113,18 +113,42 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     return e.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+#: Bits of the filters that keep rows from travelling, however many keys they stand for.
+FILTER_BITS = 24
+
+
+def marked(df: DataFrame, on: list[str], keys: DataFrame, mark: str = "_maybe", bits: int = FILTER_BITS) -> DataFrame:
+    """``df`` with a boolean: whether its columns ``on`` may be a row of ``keys``.
+
+    It is true for all that are one, and for a few others by chance.  The keys set bits at the
+    place of their hash; every task gets these words, at most ``bits`` bits, so that no row of
+    ``df`` moves.
+    """
+    place = F.pmod(F.xxhash64(*on), F.lit(1 << bits))
+    bit = F.expr("shiftleft(1L, cast(_place & 63 as int))")
+    words = keys.select(place.alias("_place")).groupBy(F.expr("_place >> 6").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    out = df.withColumn("_place", place).withColumn("_word", F.expr("_place >> 6")).join(F.broadcast(words), "_word", "left")
+    return out.withColumn(mark, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_place", "_bits")
+
+
+def likely_in(df: DataFrame, on: list[str], keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``df`` whose columns ``on`` may be a row of ``keys``: see ``marked``."""
+    return marked(df, on, keys, bits=bits).filter("_maybe").drop("_maybe")
+
+
 def text_key(text: str) -> Column:
     """128 bits that stand for a text; NULL counts as empty."""
     return F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
 
 
-def first_of_each(df: DataFrame, labels: DataFrame, id: str, text: str) -> DataFrame:
+def first_of_each(df: DataFrame, labels: DataFrame, id: str, text: str, bits: int = FILTER_BITS) -> DataFrame:
     """One row of ``df`` for each component of its texts; all columns are kept.
 
     labels has one row (_key, component_id) for each ``text_key``.  The row with the smallest
     (id, key) stays, rows without an id behind all others; of rows that agree in both, one.
+    Only rows that may go, or that come more than once, are moved.
     """
-    keyed = df.select(F.col(f"`{id}`").alias("_id"), text_key(text).alias("_key")).distinct()
+    keyed = written(df.select(F.col(f"`{id}`").alias("_id"), text_key(text).alias("_key")).groupBy("_id", "_key").agg(F.count("*").alias("_times")), "first-keys")
     low = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key")).alias("_low")
     lows = keyed.join(labels, "_key").groupBy("component_id").agg(low)
 
@@ -132,5 +156,9 @@ def first_of_each(df: DataFrame, labels: DataFrame, id: str, text: str) -> DataF
         return F.concat(key, F.when(F.col(i).isNull(), "").otherwise(F.concat(F.lit("="), F.col(i).cast("string"))))
 
     stay = written(lows.select(row("_low._id", F.col("_low._key")).alias("_row")), "first-rows")
+    known = keyed.select(row("_id", F.col("_key")).alias("_row"), "_times")
+    unsure = known.join(stay, "_row", "left_anti").select("_row").unionByName(known.filter("_times > 1").select("_row"))
+    rows = marked(df.withColumn("_row", row(f"`{id}`", text_key(text))), ["_row"], written(unsure, "first-unsure"), "_unsure", bits)
     # The join and the choice among equal rows share one distribution of the rows.
-    return df.withColumn("_row", row(f"`{id}`", text_key(text))).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    moved = rows.filter("_unsure").join(stay, "_row", "left_semi").dropDuplicates(["_row"])
+    return rows.filter("not _unsure").unionByName(moved).drop("_row", "_unsure")
