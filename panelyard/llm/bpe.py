@@ -9,15 +9,19 @@ proved dead are never tried again.  Two tokens are compatible if the merge rules
 have built another token across their border, so the tokens found are those of the merges.
 
 White space separates words, so a text is a sequence of chunks between white space; a worker
-remembers the ids of chunks it has seen, up to a bound, after which it starts anew.
+remembers the ids of chunks it has seen, up to a bound, after which it starts anew.  What it
+remembers goes when no task has come for some seconds: the same process serves what follows.
 """
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
+import threading
 import unicodedata
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import ahocorasick
@@ -27,14 +31,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart
+from .common import apart, give_back, tidy
 
-#: Chunks and words, each, that a worker remembers: about 500 bytes for one of both.
+#: Chunks and words, each, that a worker remembers: about 300 bytes for one of both.
 REMEMBERED = 160_000
 #: Token pairs whose compatibility a worker remembers.
 PAIRS = 250_000
+#: Seconds without a task after which a worker lets go of its encoders.
+IDLE = 5.0
 #: Texts longer than this are encoded and hashed in several steps.
 STEP_TOKENS = 1 << 20
+#: Texts whose ids are held at a time.
+STEP_TEXTS = 1_000
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Characters that str.split() takes for white space and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")
@@ -87,7 +95,7 @@ class Encoder:
         self._automaton()
         self._tables()
         self.words = Memory(self.word_of, remembered)
-        self.memory = Memory(lambda c: np.array(self.chunk_ids(c), np.int32).tobytes(), remembered)
+        self.memory = Memory(self.chunk_ids, remembered)
 
     def _symbols(self, token: str) -> str:
         """A token as one character per base symbol; marked ones are moved out of the way."""
@@ -112,7 +120,7 @@ class Encoder:
         forms = {self._symbols(t): i for t, i in self.ids.items()}
         self.size = {i: len(s) for s, i in forms.items()}
         self.machine = ahocorasick.Automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         # Tokens that the merges cannot reach are left out.
         reached = {s: i for s, i in forms.items() if len(s) == 1 or (i in self.parts and self.compatible(*self.parts[i], self.made[i]))}
         for s, i in reached.items():
@@ -141,7 +149,7 @@ class Encoder:
         some pair across the border merges before the merges that built its two sides.
         ``below`` looks only at merges of a lower rank.
         """
-        key = (a, b)
+        key = a << 32 | b
         if below is None and (known := self.fits.get(key)) is not None:
             return known
         last, good = 1 << 60 if below is None else below, True
@@ -165,9 +173,9 @@ class Encoder:
             self.fits[key] = good
         return good
 
-    def word_of(self, w: str) -> list[int]:
+    def word_of(self, w: str) -> bytes:
         s = w.encode().decode("latin-1").translate(self.inner)
-        return self.word_ids(s[:-1] + chr(ord(s[-1]) + 0x10000) if self.mark else s)
+        return _packed(self.word_ids(s[:-1] + chr(ord(s[-1]) + 0x10000) if self.mark else s))
 
     def word_ids(self, symbols: str) -> list[int]:
         """The tokens of one word given as base symbols."""
@@ -195,18 +203,18 @@ class Encoder:
                 pos -= size[token]
         return out
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        """Ids of a text without white space."""
-        out: list[int] = []
+    def chunk_ids(self, chunk: str) -> bytes:
+        """Ids of a text without white space, packed as int32."""
+        out: list[bytes] = []
         for part in self.apart.split(chunk) if self.apart else [chunk]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(_packed([self.special[part]]))
                 continue
             plain = part if part.isascii() else unicodedata.normalize("NFC", part)
             low = plain.lower() if "Σ" not in plain else "".join(c.lower() for c in plain)
             for w in [low] if low.isascii() and low.isalpha() else self.word.findall(low):
-                out += self.words[w]
-        return out
+                out.append(self.words[w])
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text as int32."""
@@ -217,6 +225,10 @@ class Encoder:
         return spelled(ids, *self.texts).decode()
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum([0, *(len(p) + 1 for p in parts)])
     return np.frombuffer(b" ".join(parts) + b" ", np.uint8), ends
@@ -245,6 +257,39 @@ def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     return Encoder(path, remembered)
 
 
+_lock = threading.Lock()
+_tasks = 0
+_timer: threading.Timer | None = None
+
+
+@contextmanager
+def lent(path: str, remembered: int = REMEMBERED, idle: float = IDLE) -> Iterator[Encoder]:
+    """The encoder of this worker for the time of a task; ``idle`` seconds after the last one it is let go."""
+    global _tasks, _timer
+    with _lock:
+        if _timer:
+            _timer.cancel()
+        _tasks, _timer = _tasks + 1, None
+    try:
+        yield encoder(path, remembered)
+    finally:
+        with _lock:
+            _tasks -= 1
+            if not _tasks:
+                _timer = threading.Timer(idle, _let_go)
+                _timer.daemon = True
+                _timer.start()
+
+
+def _let_go() -> None:
+    with _lock:
+        if not _tasks:
+            encoder.cache_clear()
+    # An encoder and its memories refer to each other.
+    gc.collect()
+    give_back()
+
+
 @apart("text")
 def encode_texts(df: DataFrame, path: str, text: str = "text", ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """Add token_ids (if ``ids``), n_tokens, ids_sha256 and decoded_sha256 to every row.
@@ -260,16 +305,16 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: bool = True,
     d = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, remembered)
-        for b in batches:
-            rows = [e.encode(t.as_py() or "") for t in b.column(len(keep))]
-            cols = [pa.array(rows, pa.list_(pa.int32()))] if ids else []
-            cols += [pa.array([len(r) for r in rows], pa.int64()), pa.array([digest(r, *e.digits) for r in rows], pa.string()), pa.array([digest(r, *e.texts) for r in rows], pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[*keep, *names])
+        with lent(path, remembered) as e:
+            for b in (whole.slice(i, STEP_TEXTS) for whole in batches for i in range(0, whole.num_rows, STEP_TEXTS)):
+                rows = [e.encode(t.as_py() or "") for t in b.column(len(keep))]
+                cols = [pa.array(rows, pa.list_(pa.int32()))] if ids else []
+                cols += [pa.array([len(r) for r in rows], pa.int64()), pa.array([digest(r, *e.digits) for r in rows], pa.string()), pa.array([digest(r, *e.texts) for r in rows], pa.string())]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[*keep, *names])
 
     fields = {"token_ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
     schema = d.drop("_text").withColumns({n: F.lit(None).cast(fields[n]) for n in names}).schema
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(tidy(run), schema)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -278,9 +323,9 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", out: str = "dec
     d = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids}`").alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
-        for b in batches:
-            texts = [e.decode(np.array(r or [], np.int64)) for r in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, out])
+        with lent(path) as e:
+            for b in batches:
+                texts = [e.decode(np.array(r or [], np.int64)) for r in b.column(len(keep)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, out])
 
     return d.mapInArrow(run, d.drop("_ids").withColumn(out, F.lit("")).schema)

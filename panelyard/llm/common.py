@@ -4,8 +4,9 @@ from __future__ import annotations
 import functools
 import inspect
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,23 @@ def work_folder(spark: SparkSession, kind: str) -> str:
     return f"{sc.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
 
 
+def give_back() -> None:
+    """Return memory that is free in this process, Arrow's and the allocator's, to the system."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; what a task no longer needs does not stay with the worker, which
+    waits beside the JVM while other stages run."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 

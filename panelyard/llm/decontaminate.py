@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import work_folder, written
+from .common import tidy, work_folder, written
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 16
@@ -161,7 +161,7 @@ def find_items(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], item_type), *(pa.array(c, pa.int32()) for c in cols[2:])], names=[id, item_id, "distance", "start", "end"])
 
-        hits = d.mapInArrow(run, schema)
+        hits = d.mapInArrow(tidy(run), schema)
         if len(blocks) == 1:
             return hits
         out = out.unionByName(written(hits, "items-found"))
@@ -178,7 +178,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", tex
             for b in batches:
                 yield b.filter(pa.array([not s.search(t.as_py() or "") for t in b.column(at)], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(tidy(run), docs.schema)
         if n < len(blocks):
             out = written(out, "items-dropped")
     return out

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 STATISTICS = (
     "log_words", "log_bytes", "word_bytes", "lower", "upper", "digit", "blank", "lines", "symbol", "bar", "shout", "stop", "comma",
@@ -69,7 +69,7 @@ def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> Da
             rows = [statistics(t.as_py() or "") for t in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(rows, pa.list_(pa.float64()))], names=[*keep, out])
 
-    return d.mapInArrow(run, d.drop("_text").withColumn(out, F.array().cast("array<double>")).schema)
+    return d.mapInArrow(tidy(run), d.drop("_text").withColumn(out, F.array().cast("array<double>")).schema)
 
 
 def matrix(col: pa.Array) -> np.ndarray:
@@ -213,4 +213,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
             x = np.array([statistics(t.as_py() or "") for t in b.column(at)]).reshape(-1, len(STATISTICS))
             yield b.filter(pa.array(model.scores(x) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
